@@ -104,3 +104,38 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     salted[~solid] = 0
     sums = np.add.reduceat(salted, starts)
     return mix64(sums), np.searchsorted(starts, offsets)
+
+
+def whole_groups(batches, key: str):
+    """Tables of whole groups from batches that are sorted by key: a group never spans two tables."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        keys = batch.column(key)
+        last = keys[-1]
+        cut = pc.sum(pc.not_equal(keys, last)).as_py() or 0
+        if held and held[-1].column(key)[-1] != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ranges(keys: np.ndarray) -> np.ndarray:
+    """Offsets of the runs of equal neighbours in keys, with the end."""
+    if len(keys) == 0:
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def matrix(column, dims: int) -> np.ndarray:
+    """An Arrow list column, each row of dims values, as rows of float64."""
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dims)

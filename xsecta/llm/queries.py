@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import ann, bpe, mixing, mtree, quality, urls
 
-QUERIES = {"op5_mixing": mixing.op5_query, "op2_bpe": bpe.op2_query}
-ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL}
+QUERIES = {
+    "op2_bpe": bpe.op2_query,
+    "op3_nn_descent": ann.op3_query,
+    "op4_mtree": mtree.op4_query,
+    "op5_mixing": mixing.op5_query,
+    "op7_url_filter": urls.op7_query,
+    "op10_quality": quality.op10_query,
+}
+ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL}

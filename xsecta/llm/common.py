@@ -139,3 +139,12 @@ def ranges(keys: np.ndarray) -> np.ndarray:
 def matrix(column, dims: int) -> np.ndarray:
     """An Arrow list column, each row of dims values, as rows of float64."""
     return np.asarray(column.flatten(), np.float64).reshape(-1, dims)
+
+
+def row_chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
+    """(data, offsets) of consecutive rows of at most most bytes together, or of one longer row."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_batch, text_of, word_hashes
+from .common import mix64, row_chunks, text_batch, text_of, word_hashes
 
 #: Bits of the feature hash; the weights are 2**BITS floats (1 MB), whatever the corpus.
 BITS = 18
@@ -110,7 +110,7 @@ def _sparse(batches):
     import pyarrow as pa
 
     for batch in batches:
-        rows = list(features(*text_batch(batch.column("text"))))
+        rows = [x for part in row_chunks(*text_batch(batch.column("text"))) for x in features(*part)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())],
             ["doc_id", "y", "slots", "shares"],
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
         own = Model(*held.value)
         for batch in batches:
-            got = own.scores(*text_batch(batch.column("__text")))
+            got = np.concatenate([np.zeros(0), *(own.scores(*part) for part in row_chunks(*text_batch(batch.column("__text"))))])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(got)], [*keep, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType

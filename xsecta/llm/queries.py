@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, mtree, quality, urls
+from . import ann, bpe, mixing, mtree, pii, quality, secrets, urls
 
 QUERIES = {
+    "op1_pii": pii.op1_query,
     "op2_bpe": bpe.op2_query,
     "op3_nn_descent": ann.op3_query,
     "op4_mtree": mtree.op4_query,
     "op5_mixing": mixing.op5_query,
+    "op6_secrets": secrets.op6_query,
     "op7_url_filter": urls.op7_query,
     "op10_quality": quality.op10_query,
 }

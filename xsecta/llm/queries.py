@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, mtree, pii, quality, secrets, urls
+from . import ann, bpe, jaccard, mixing, mtree, pii, quality, secrets, suffix, urls
 
 QUERIES = {
     "op1_pii": pii.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_query,
     "op7_url_filter": urls.op7_query,
     "op8_ngram_jaccard": jaccard.op8_query,
+    "op9_suffix_dedup": suffix.op9_query,
     "op10_quality": quality.op10_query,
 }
 ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL}

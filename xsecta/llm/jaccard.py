@@ -17,6 +17,9 @@ FREQUENT = 1 << 17
 REPORTED = 4
 #: Ids that are broadcast at most to pick texts by; above that the texts are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Rounds of star pairs before all pairs of what is left.
+STARS = 1
+
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -186,10 +189,72 @@ def _linked(batches):
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets are similar enough."""
+    """Those of pairs(a, b) whose whole sets are similar enough. Up to BROADCAST pairs are sent to the texts, not shuffled."""
     left = texts.select(F.col("e").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("e").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
+    if pairs.count() <= BROADCAST:
+        pairs = F.broadcast(pairs)
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(pairs, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
+
+
+def _prefix(n):
+    """Tokens in the prefix of a set of n shingles."""
+    return n - F.floor((4 * n + 4) / 5) + 1
+
+
+def _similar_size(a, b):
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def open_places(places: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """places with each member's component as part, of the tokens that still hold several components."""
+    if parts is None:
+        return places.withColumn("part", F.col("e"))
+    named = places.join(parts.withColumnRenamed("node", "e"), "e", "left").withColumn("part", F.coalesce("component", "e")).drop("component")
+    named = saved(named)
+    mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("token")
+    return named.join(mixed, "token", "left_semi")
+
+
+def star_pairs(places: DataFrame, seed: int) -> DataFrame:
+    """One pair (a, b) of each member at most: with the hub that most of its tokens share.
+
+    In the first round a token's hub is its member with the most common prefix, which is likely what others are copies
+    of; later ones draw it by hash.
+    """
+    hub = F.struct("e", "n", "part")
+    if seed == 0:
+        common = places.join(places.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("e").agg((F.sum("df") / F.first(_prefix(F.col("n")))).alias("common"))
+        hubs = places.join(common, "e").groupBy("token").agg(F.max_by(hub, F.struct("common", "e")).alias("h"))
+    else:
+        hubs = places.groupBy("token").agg(F.min_by(hub, F.xxhash64("e", F.lit(seed))).alias("h"))
+    met = places.join(hubs, "token").filter((F.col("part") != F.col("h.part")) & _similar_size(F.col("n"), F.col("h.n")))
+    counted = met.groupBy("e", F.col("h.e").alias("hub")).agg(F.count("*").alias("c"))
+    best = counted.groupBy("e").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.col("e").alias("a"), F.col("hub").alias("b"))
+
+
+def crossing_pairs(places: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of different components that may be similar enough.
+
+    Of two sets, the prefix of the one that ends earlier in the order holds all its tokens up to there, so the
+    intersection is at most the common tokens of both prefixes and what that set has beyond its prefix. Pairs go before
+    they are made if one side's tokens (m) are too few for that, and after if the common ones are.
+    """
+    counted = places.groupBy("e").agg(F.count("*").alias("m"))
+    places = saved(places.join(counted, "e"))
+    x, y = places.alias("x"), places.alias("y")
+    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
+    need = DEN * (F.col("x.n") + F.col("y.n"))
+    beyond = lambda a, b: F.greatest(F.col(a) - _prefix(F.col(a)), F.col(b) - _prefix(F.col(b)))
+    enough = (F.col("x.whole") & F.col("y.whole")) | (NUM * (F.least("x.m", "y.m") + beyond("x.n", "y.n")) >= need)
+    crossing = enough & (F.col("x.part") != F.col("y.part")) & (F.col("x.e") < F.col("y.e")) & _similar_size(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= need)
+    met = x.join(y, F.col("x.token") == F.col("y.token")).filter(crossing)
+    counted = met.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(
+        F.first("x.n").alias("n_a"), F.first("y.n").alias("n_b"), F.count("*").alias("c"), F.max(F.col("x.whole") & F.col("y.whole")).alias("whole")
+    )
+    return counted.filter(F.col("whole") | (NUM * (F.col("c") + beyond("n_a", "n_b")) >= DEN * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
 def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -198,11 +263,12 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     1. Every document's shingles are ordered, the corpus's most frequent ones last. Its first n - ceil(0.8 n) + 1 are its
        prefix; documents of equal prefix and size are one group, and those of equal sets within it one member.
     2. Tokens of the groups' prefixes meet in hashed buckets; those of a single group go.
-    3. Groups are expanded to members. In each token's bucket all members are verified against two of them, drawn by
-       hash, so a group of near copies costs as many pairs as it has members; links make components.
-    4. Buckets that still hold several components give all their pairs between different components that pass the size
-       and position filters, and these are verified as well. So no link between different components is lost, and
-       pairs within one aren't needed.
+    3. Groups are expanded to members. In each of STARS rounds every token has a hub, drawn by hash, and each member is
+       verified against the one that most of its tokens share. So a group of near copies costs as many pairs as it has
+       members; links make components, and tokens that hold one component only are done.
+    4. The tokens left give all their pairs between different components that pass the size, position and count filters,
+       and these are verified as well. So no link between different components is lost, and pairs within one aren't
+       needed.
 
     A null text is empty: 0 shingles, linked with nothing. Repeated rows are one member and stay in the result; rows
     with a null doc_id keep a null component; other columns are ignored.
@@ -217,31 +283,22 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     shared = first.filter(F.col("bucket").isNotNull()).select("bucket", "payload").groupBy("bucket").applyInArrow(_shared, "token long, grp long, n long, place long")
     sets = saved(members.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "one", "two").agg(F.min("doc_id").alias("e"), F.min("grp").alias("grp")))
     several = sets.groupBy("grp").count().filter("count > 1").select("grp")
-    within = sets.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "e", "n", F.lit(1).cast("long").alias("place"))
-    places = saved(shared.select("token", "grp", "place").join(sets.select("grp", "e", "n"), "grp").select("token", "e", "n", "place").unionByName(within))
+    within = sets.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "e", "n", F.lit(1).cast("long").alias("place"), F.lit(True).alias("whole"))
+    expanded = shared.select("token", "grp", "place").join(sets.select("grp", "e", "n"), "grp").select("token", "e", "n", "place", F.lit(False).alias("whole"))
+    places = saved(expanded.unionByName(within))
     wanted = places.select("e").distinct().join(sets.select("e", "one", "two"), "e")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     picked = texts.join(near.select(F.col("e").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_marked(["e", "text", "one", "two"]), "e long, text string, one long, two long")
     held = saved(picked.join(near, ["e", "one", "two"], "left_semi").dropDuplicates(["e", "one", "two"]).select("e", "text"))
 
-    sized = lambda a, b: (5 * F.least(a, b) >= 4 * F.greatest(a, b))
-    hubs = places.groupBy("token").agg(F.min_by(F.struct("e", "n"), F.xxhash64("e", F.lit(1))).alias("h1"), F.min_by(F.struct("e", "n"), F.xxhash64("e", F.lit(2))).alias("h2"))
-    met = places.join(hubs, "token").select("e", "n", F.explode(F.array("h1", "h2")).alias("h")).filter((F.col("e") != F.col("h.e")) & sized(F.col("n"), F.col("h.n")))
-    stars = met.select(F.least("e", "h.e").alias("a"), F.greatest("e", "h.e").alias("b")).distinct()
-    links = saved(verified(stars, held))
-    parts = saved(components(links))
-
-    there = saved(places.join(parts.withColumnRenamed("node", "e"), "e", "left").withColumn("part", F.coalesce("component", "e")).select("token", "e", "n", "place", "part"))
-    open_ = there.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("token")
-    left = there.join(open_, "token", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
-    crossing = (F.col("x.part") != F.col("y.part")) & (F.col("x.e") < F.col("y.e")) & sized(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= DEN * (F.col("x.n") + F.col("y.n")))
-    rest = x.join(y, F.col("x.token") == F.col("y.token")).filter(crossing).select(F.col("x.e").alias("a"), F.col("y.e").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = saved(verified(rest, held))
-    if not more.isEmpty():
-        parts = saved(components(links.unionByName(more)))
+    links = parts = None
+    for step in range(STARS + 1):
+        left = open_places(places, parts)
+        pairs = saved(star_pairs(left, step) if step < STARS else crossing_pairs(left))
+        found = saved(verified(pairs, held))
+        links = found if links is None else links.unionByName(found)
+        if parts is None or not found.isEmpty():
+            parts = saved(components(links))
     named = sets.join(parts.withColumnRenamed("node", "e"), "e", "left").select("n", "one", "two", F.coalesce("component", "e").alias("component_id"))
     out = members.join(named, ["n", "one", "two"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

@@ -1,13 +1,56 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality, near duplicates, personal data, source mix and tokens, in this order."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from xsecta.llm import bpe, jaccard, mixing, pii, quality
+
+
+def keep_good(spark, docs, sf_dir):
+    """Documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, docs.columns).filter(F.col("score") >= 0.3).select(*docs.columns)
+
+
+def one_of_each(spark, docs, sf_dir):
+    """Of documents that are linked by 0.8 or more of their word shingles, the one of the smallest doc_id."""
+    found = jaccard.saved(jaccard.link(docs))
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST else gone
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # rows of one doc_id: one of them stays
+        single = kept.join(repeated, "doc_id", "left_anti")
+        kept = single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def redacted(spark, docs, sf_dir):
+    """All documents, with each span of personal data replaced by its kind."""
+    return pii.redact(docs, docs.columns)
+
+
+def mixed(spark, docs, sf_dir):
+    """Each document as often as the mix of sources takes it; the one at a source's cut is taken whole."""
+    plan = mixing.mix(docs).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def encoded(spark, docs, sf_dir):
+    """n_tokens and digests of the ids and of the decoded text of each document."""
+    return bpe.encode_documents(docs, bpe.default_tokenizer())
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", one_of_each), ("pii", redacted), ("mixing", mixed), ("bpe", encoded)]
+
+#: The stages' models, searches and tokens have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = jaccard.saved(stage(spark, docs, sf_dir))
     return docs

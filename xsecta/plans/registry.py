@@ -1,9 +1,226 @@
-"""All queries on the reference panel by survey id, each with the SQL that an independent engine runs."""
+"""All queries on the derived panel by survey id, each with the SQL that an independent engine runs."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..operators import metrics as M
+from ..operators import signals as S
+from ..operators import solve
+from ..sources import panel as P
+
+PANEL = """
+daily AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS paid, sum(l_quantity) AS sold
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
+dense AS (SELECT days.date, t.ticker, paid, sold FROM days CROSS JOIN (SELECT DISTINCT ticker FROM daily) t
+          LEFT JOIN daily ON daily.date = days.date AND daily.ticker = t.ticker),
+prices AS (SELECT date, ticker, close FROM (
+             SELECT date, ticker, round(CAST(sum(paid) OVER w AS DOUBLE) / nullif(CAST(sum(sold) OVER w AS DOUBLE), 0), 6) AS close FROM dense
+             WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW))
+           WHERE isodow(date) < 6 AND date >= DATE '1995-04-03'),
+mday AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS paid, count(*) AS n FROM orders GROUP BY 1),
+mpx AS (SELECT * FROM (SELECT date, CAST(sum(paid) OVER w AS DOUBLE) / sum(n) OVER w AS px FROM mday
+          WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW))
+        WHERE isodow(date) < 6 AND date >= DATE '1995-04-03'),
+market AS (SELECT * FROM (SELECT date, px / lag(px) OVER (ORDER BY date) - 1 AS mkt_ret FROM mpx) WHERE mkt_ret IS NOT NULL),
+sectors AS (SELECT DISTINCT p_brand AS ticker, 'S' || CAST(floor((CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) - 1) / 5.0) AS INT) AS sector FROM part),
+raw_ret AS (SELECT date, ticker, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM prices),
+rets AS (SELECT date, ticker, ret FROM (SELECT *, count(ret) OVER (PARTITION BY date) AS known, count(*) OVER (PARTITION BY date) AS al FROM raw_ret) WHERE known = al),
+fwd AS (SELECT date, ticker, lead(ret) OVER (PARTITION BY ticker ORDER BY date) AS fwd_ret FROM (
+          SELECT date, ticker, px / nullif(lag(px) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM (
+            SELECT date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS px FROM prices))),
+mom AS (SELECT date, ticker, lag(close, 21) OVER t / nullif(lag(close, 252) OVER t, 0) - 1 AS mom FROM prices WINDOW t AS (PARTITION BY ticker ORDER BY date))
+"""
+
+
+def _robust(source: str, x: str, name: str) -> str:
+    """CTEs for the robust z-score of x of source, as name(date, ticker, score)."""
+    return f"""{name}_m AS (SELECT *, median({x}) OVER (PARTITION BY date) AS m FROM {source}),
+{name}_s AS (SELECT *, 1.4826 * median(abs({x} - m)) OVER (PARTITION BY date) AS s FROM {name}_m),
+{name}_z AS (SELECT *, coalesce(CASE WHEN {x} IS NULL THEN NULL ELSE greatest(-3.0, least(3.0, ({x} - m) / (s + 1e-12))) END, 0) AS z FROM {name}_s),
+{name} AS (SELECT date, ticker, CASE WHEN count({x}) OVER (PARTITION BY date) < 3 THEN 0.0 ELSE z - avg(z) OVER (PARTITION BY date) END AS score FROM {name}_z)"""
+
+
+def _zpop(x: str) -> str:
+    w = "OVER (PARTITION BY date)"
+    return f"CASE WHEN count({x}) {w} < 3 OR stddev_pop({x}) {w} <= 0 THEN 0.0 ELSE coalesce(({x} - avg({x}) {w}) / (stddev_pop({x}) {w} + 1e-12), 0.0) END"
+
+
+def _rank(x: str) -> str:
+    return f"(rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0)"
+
+
+SIGNAL = _robust("mom", "mom", "signal")
+RESID = """rj AS (SELECT r.date, r.ticker, r.ret, m.mkt_ret FROM rets r JOIN market m ON m.date = r.date),
+rb AS (SELECT *, CASE WHEN count(ret) OVER w >= 50 THEN covar_pop(ret, mkt_ret) OVER w / nullif(var_samp(mkt_ret) OVER w, 0) END AS beta FROM rj
+       WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+resid AS (SELECT date, ticker, ret - coalesce(beta, 0) * mkt_ret AS resid FROM rb)"""
+MR = (
+    RESID
+    + """,
+mv AS (SELECT date, ticker, resid / nullif(CASE WHEN count(resid) OVER w >= 12 THEN stddev_samp(resid) OVER w END, 0) AS v FROM resid
+       WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+mraw AS (SELECT date, ticker, CASE WHEN count(v) OVER w >= 2 THEN -sum(v) OVER w END AS raw FROM mv
+         WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+"""
+    + _robust("mraw", "raw", "mrs")
+)
+IC = (
+    SIGNAL
+    + f""",
+pairs AS (SELECT s.date, s.ticker, s.score, f.fwd_ret FROM signal s JOIN fwd f ON f.date = s.date AND f.ticker = s.ticker WHERE s.score IS NOT NULL AND f.fwd_ret IS NOT NULL),
+ranked AS (SELECT date, {_rank("score")} AS x, {_rank("fwd_ret")} AS y, {_rank("score")} / count(*) OVER (PARTITION BY date) AS q, fwd_ret FROM pairs),
+ic AS (SELECT date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic FROM ranked GROUP BY date HAVING count(*) >= 3),
+ic1 AS (SELECT * FROM ic WHERE ic IS NOT NULL),
+ls AS (SELECT date, avg(CASE WHEN q >= 0.9 THEN fwd_ret END) - avg(CASE WHEN q <= 0.1 THEN fwd_ret END) AS ls_ret FROM ranked GROUP BY date HAVING count(*) >= 20)"""
+)
+BOOK = (
+    SIGNAL
+    + """,
+periods AS (SELECT last_day(date) AS period_end, ticker, product(1 + ret) - 1 AS period_ret FROM rets GROUP BY 1, 2),
+wl AS (SELECT last_day(date) AS date, ticker, max_by(score, date) AS score FROM signal GROUP BY 1, 2),
+weights AS (SELECT date, ticker, coalesce(2.0 * score / nullif(sum(abs(score)) OVER (PARTITION BY date), 0), 0) AS weight FROM wl),
+turn AS (SELECT date, sum(change) AS turnover FROM (SELECT date, abs(weight - coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY date), 0)) AS change FROM weights) GROUP BY 1),
+gain AS (SELECT p.period_end, sum(w.weight * p.period_ret) AS gain FROM weights w JOIN periods p ON p.ticker = w.ticker AND p.period_end = last_day(w.date + INTERVAL 1 DAY) GROUP BY 1),
+pnl AS (SELECT g.period_end, g.gain - t.turnover * 5 / 1e4 AS pnl FROM gain g JOIN turn t ON g.period_end = last_day(t.date + INTERVAL 1 DAY)),
+eq AS (SELECT *, equity / max(equity) OVER (ORDER BY period_end) - 1 AS drawdown FROM (SELECT *, product(1 + pnl) OVER (ORDER BY period_end) AS equity FROM pnl)),
+mper AS (SELECT last_day(date) AS period_end, product(1 + mkt_ret) - 1 AS mkt_period FROM market GROUP BY 1),
+sb AS (SELECT ticker, CASE WHEN count(*) >= 5 THEN coalesce(covar_samp(ret, mkt_ret) / nullif(var_samp(mkt_ret), 0), 0) ELSE 0 END AS beta
+       FROM rets r JOIN market m ON m.date = r.date GROUP BY 1)"""
+)
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def _signal(spark, d):
+    return S.momentum_signal(P.prices(spark, d))
+
+
+def _rets(spark, d):
+    return S.returns(P.prices(spark, d))
+
+
+def _resid(spark, d):
+    return S.residuals(_rets(spark, d), P.market(spark, d))
+
+
+def _weights(spark, d):
+    return M.score_weights(_signal(spark, d))
+
+
+def _pnl(spark, d):
+    return M.portfolio_pnl(_weights(spark, d), M.period_returns(_rets(spark, d)))
+
+
+def _ic(spark, d):
+    return M.information_coefficient(_signal(spark, d), S.forward_returns(P.prices(spark, d)))
+
+
+def _market_periods(spark, d):
+    return P.market(spark, d).groupBy(F.last_day("date").alias("period_end")).agg((F.product(1 + F.col("mkt_ret")) - 1).alias("mkt_period"))
+
+
+def _betas(spark, d):
+    return M.static_betas(_rets(spark, d), P.market(spark, d))
+
+
+def add(name: str, make, sql: str | None = None, ctes: str = "", rounds: str = "") -> None:
+    """Register a query and its SQL; doubles named in rounds are rounded to 6 places on both sides."""
+    columns = rounds.split()
+
+    def run(spark, sf_dir):
+        return make(spark, sf_dir).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns}) if columns else make(spark, sf_dir)
+
+    QUERIES[name] = run
+    if sql:
+        head = f"WITH {PANEL}" + (f", {ctes} " if ctes else "")
+        replace = " REPLACE (" + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns) + ")" if columns else ""
+        ORACLE_SQL[name] = f"{head} SELECT *{replace} FROM ({sql})"
+
+
+add("src1_prices", lambda s, d: P.load(P.prices(s, d), "1996-01-01", "1996-12-31"), "SELECT * FROM prices WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", rounds="close")
+add("src12_sectors", P.sectors, "SELECT * FROM sectors")
+add(
+    "src14_hygiene",
+    lambda s, d: P.hygiene(P.read(s, d, "lineitem").join(P.read(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_shipdate").cast("date").alias("date"), F.col("p_brand").alias("ticker"), F.col("l_extendedprice").cast("double").alias("close"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("load_seq"))),
+    "SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker, min_by(CAST(l_extendedprice AS DOUBLE), l_orderkey * 100 + l_linenumber) AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice IS NOT NULL GROUP BY 1, 2",
+    rounds="close",
+)
+add(
+    "src16_missing_window", lambda s, d: P.missing_window(P.prices(s, d), "1995-01-02", "2001-12-31"),
+    "SELECT ticker, CAST(CASE WHEN lo > DATE '1995-01-02' THEN DATE '1995-01-02' WHEN hi < DATE '2001-12-31' THEN hi + 1 END AS DATE) AS need_from, CAST(CASE WHEN hi < DATE '2001-12-31' THEN DATE '2001-12-31' WHEN lo > DATE '1995-01-02' THEN lo - 1 END AS DATE) AS need_to FROM (SELECT ticker, min(date) AS lo, max(date) AS hi FROM prices WHERE close IS NOT NULL GROUP BY 1)",
+)
+add("ts1_returns", _rets, "SELECT * FROM rets", rounds="ret")
+add("ts2_forward_returns", lambda s, d: S.forward_returns(P.prices(s, d)), "SELECT * FROM fwd", rounds="fwd_ret")
+add("ts3_ahead_5", lambda s, d: S.ahead(_rets(s, d), 5), "SELECT date, ticker, lead(ret, 5) OVER (PARTITION BY ticker ORDER BY date) AS fwd_ret FROM rets", rounds="fwd_ret")
+add("ts4_trailing_mean", lambda s, d: S.trailing_mean(_rets(s, d)), "SELECT ticker, avg(ret) AS mean_ret FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM rets) WHERE r <= 21 GROUP BY 1", rounds="mean_ret")
+W252 = "WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+add(
+    "sg1_momentum_engine", lambda s, d: S.momentum_engine(_rets(s, d)),
+    f"SELECT date, ticker, lag(p, 21) OVER (PARTITION BY ticker ORDER BY date) AS mom FROM (SELECT date, ticker, CASE WHEN count(ret) OVER w >= 252 THEN product(1 + ret) OVER w - 1 END AS p FROM rets {W252})", rounds="mom",
+)
+add("sg2_momentum_signal", _signal, "SELECT * FROM signal", SIGNAL, "score")
+SECTOR_MOM = "ms AS (SELECT m.date, m.ticker, CASE WHEN count(mom) OVER (PARTITION BY m.date) < 3 THEN mom ELSE mom - avg(mom) OVER (PARTITION BY m.date, s.sector) END AS mom FROM mom m JOIN sectors s ON s.ticker = m.ticker), " + _robust("ms", "mom", "signal")
+add("k8_sector_neutral_signal", lambda s, d: S.momentum_signal(P.prices(s, d), sectors=P.sectors(s, d)), "SELECT * FROM signal", SECTOR_MOM, "score")
+add("sg3_momentum_12_1", lambda s, d: S.momentum_ratio(P.prices(s, d)), "SELECT * FROM mom", rounds="mom")
+add("sg4_momentum_6_1", lambda s, d: S.momentum_ratio(P.prices(s, d), 21, 126), "SELECT date, ticker, lag(close, 21) OVER t / nullif(lag(close, 126) OVER t, 0) - 1 AS mom FROM prices WINDOW t AS (PARTITION BY ticker ORDER BY date)", rounds="mom")
+add("sg5_residuals", _resid, "SELECT * FROM resid", RESID, "resid")
+add("sg6_mean_reversion", lambda s, d: S.mean_reversion(_resid(s, d)), "SELECT * FROM mrs", MR, "score")
+add(
+    "sg7_blend", lambda s, d: S.blend(_signal(s, d), S.mean_reversion(_resid(s, d))),
+    f"SELECT s.date, s.ticker, coalesce(b.score, 0) AS score FROM signal s LEFT JOIN (SELECT date, ticker, greatest(-3.0, least(3.0, {_zpop('b')})) AS score FROM (SELECT date, ticker, zp + 0.3 * zs AS b FROM (SELECT date, ticker, {_zpop('p')} AS zp, {_zpop('s')} AS zs FROM (SELECT a.date, a.ticker, a.score AS p, c.score AS s FROM signal a JOIN mrs c ON c.date = a.date AND c.ticker = a.ticker)))) b ON b.date = s.date AND b.ticker = s.ticker",
+    SIGNAL + ", " + MR, "score",
+)
+add("k1_zscore", lambda s, d: K.z_pop(_rets(s, d), "ret", "z").select("date", "ticker", "z"), f"SELECT date, ticker, {_zpop('ret')} AS z FROM rets", rounds="z")
+add(
+    "k4_zscore_sample", lambda s, d: K.z_samp(_rets(s, d), "ret", "z").select("date", "ticker", "z"),
+    "SELECT date, ticker, CASE WHEN coalesce(stddev_samp(ret) OVER w, 0) = 0 THEN 0.0 ELSE (ret - avg(ret) OVER w) / (stddev_samp(ret) OVER w + 1e-12) END AS z FROM rets WINDOW w AS (PARTITION BY date)", rounds="z",
+)
+add(
+    "k5_winsorize", lambda s, d: K.winsorize(_rets(s, d), "ret", "z").select("date", "ticker", "z"),
+    "SELECT date, ticker, CASE WHEN coalesce(stddev_samp(ret) OVER w, 0) = 0 THEN coalesce(ret, 0) ELSE greatest(-3.0, least(3.0, (ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0))) END AS z FROM rets WINDOW w AS (PARTITION BY date)", rounds="z",
+)
+add("k3_robust_z", lambda s, d: K.robust_z(_rets(s, d), "ret", "score").select("date", "ticker", "score"), "SELECT * FROM rz", _robust("rets", "ret", "rz"), "score")
+add("k7_sector_demean", lambda s, d: K.demean_by_sector(_rets(s, d).join(F.broadcast(P.sectors(s, d)), "ticker"), "ret", "demeaned").select("date", "ticker", "demeaned"), "SELECT r.date, r.ticker, ret - avg(ret) OVER (PARTITION BY r.date, sector) AS demeaned FROM rets r JOIN sectors s ON s.ticker = r.ticker", rounds="demeaned")
+add("k9_percent_rank", lambda s, d: _rets(s, d).select("date", "ticker", K.percent_rank("ret").alias("q")), f"SELECT date, ticker, {_rank('ret')} / count(*) OVER (PARTITION BY date) AS q FROM rets", rounds="q")
+add("k13_trade_pnl", lambda s, d: P.read(s, d, "orders").select("o_orderkey", K.trade_pnl(F.lit(100.0), 100 + F.col("o_orderkey") % 7, F.lit(10.0), F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short")).alias("pnl")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 10.0 ELSE -10.0 END * ((100 + o_orderkey % 7) / CAST(100.0 AS DOUBLE) - 1) AS pnl FROM orders", rounds="pnl")
+add("ts10_rolling_betas", lambda s, d: S.rolling_betas(_rets(s, d), P.market(s, d)), f"SELECT date, ticker, CASE WHEN count(ret) OVER w >= 252 THEN covar_pop(ret, mkt_ret) OVER w / nullif(var_samp(mkt_ret) OVER w, 0) END AS beta FROM rj {W252}", RESID, "beta")
+add("cal2_period_returns", lambda s, d: M.period_returns(_rets(s, d)), "SELECT * FROM periods", BOOK, "period_ret")
+add("cal5_monthly_ic", lambda s, d: _ic(s, d).groupBy(F.last_day("date").alias("period_end")).agg(F.avg("ic").alias("ic_mean")), "SELECT last_day(date) AS period_end, avg(ic) AS ic_mean FROM ic1 GROUP BY 1", IC, "ic_mean")
+add("ag2_ic_spearman", _ic, "SELECT * FROM ic1", IC, "ic")
+add(
+    "ag4_ic_summary", lambda s, d: M.ic_summary(_ic(s, d)),
+    "SELECT avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100 AS hit_rate_pct, count(*) AS n_days FROM ic1", IC, "ic_mean ic_std ic_ir_ann hit_rate_pct",
+)
+add("ag5_decile_ls", lambda s, d: M.decile_long_short(_signal(s, d), S.forward_returns(P.prices(s, d))), "SELECT * FROM ls WHERE ls_ret IS NOT NULL", IC, "ls_ret")
+add(
+    "ag6_ls_stats", lambda s, d: M.return_stats(M.decile_long_short(_signal(s, d), S.forward_returns(P.prices(s, d))), "ls_ret"),
+    "SELECT avg(ls_ret) * 252 AS ann_ret, stddev_samp(ls_ret) * sqrt(252) AS ann_vol, coalesce(avg(ls_ret) * 252 / nullif(stddev_samp(ls_ret) * sqrt(252), 0), 0) AS sharpe, count(ls_ret) AS n_days FROM ls", IC, "ann_ret ann_vol sharpe",
+)
+STATS = "avg(pnl) * 12 AS ann_return, stddev_samp(pnl) * sqrt(12) AS ann_vol, coalesce(avg(pnl) * 12 / nullif(stddev_samp(pnl) * sqrt(12), 0), 0) AS sharpe, count(*) AS periods"
+add("ag1_performance", lambda s, d: M.performance(_pnl(s, d), M.turnover(_weights(s, d))), f"SELECT * FROM (SELECT {STATS}, -min(drawdown) AS max_drawdown FROM eq) CROSS JOIN (SELECT avg(turnover) AS avg_turnover_per_rebalance, avg(turnover) * 12 AS ann_turnover FROM turn)", BOOK, "ann_return ann_vol sharpe max_drawdown avg_turnover_per_rebalance ann_turnover")
+add("ag9_regimes", lambda s, d: M.by_regime(_pnl(s, d), _market_periods(s, d)), f"SELECT CASE WHEN coalesce(mkt_period, 0) >= 0 THEN 'UP' ELSE 'DOWN' END AS regime, {STATS} FROM pnl LEFT JOIN mper USING (period_end) GROUP BY 1", BOOK, "ann_return ann_vol sharpe")
+add("ag12_binding", lambda s, d: M.binding(_weights(s, d), _betas(s, d)), "SELECT w.date, avg(CASE WHEN abs(weight) >= 0.1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS pos_bind_rate, CAST(sum(abs(weight)) >= 2.0 - 1e-6 AS DOUBLE) AS gross_bind, sum(weight * coalesce(beta, 0)) AS beta_exposure, CAST(abs(sum(weight * coalesce(beta, 0))) >= 0.02 - 1e-6 AS DOUBLE) AS beta_bind FROM weights w LEFT JOIN sb ON sb.ticker = w.ticker GROUP BY 1", BOOK, "pos_bind_rate gross_bind beta_exposure beta_bind")
+add("ag14_sector_exposure", lambda s, d: M.sector_exposure(_weights(s, d), P.sectors(s, d)), "SELECT date, sector, sum(weight) AS exposure FROM weights w JOIN sectors s ON s.ticker = w.ticker GROUP BY 1, 2", BOOK, "exposure")
+add("ag17_static_betas", _betas, "SELECT * FROM sb", BOOK, "beta")
+add("ag22_total_return", lambda s, d: _pnl(s, d).agg((F.product(1 + F.col("pnl")) - 1).alias("total")), "SELECT product(1 + pnl) - 1 AS total FROM pnl", BOOK, "total")
+add("bt7_period_pnl", _pnl, "SELECT * FROM pnl", BOOK, "pnl")
+add("ts6_drawdown", lambda s, d: M.equity(_pnl(s, d)), "SELECT * FROM eq", BOOK, "pnl equity drawdown")
+add("ts7_rolling_sharpe", lambda s, d: M.rolling_sharpe(_pnl(s, d)), "SELECT period_end, CASE WHEN count(pnl) OVER w >= 12 THEN avg(pnl) OVER w / nullif(stddev_samp(pnl) OVER w, 0) * sqrt(12) END AS rolling_sharpe FROM pnl WINDOW w AS (ORDER BY period_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)", BOOK, "rolling_sharpe")
+add("ts9_turnover", lambda s, d: M.turnover(_weights(s, d)), "SELECT * FROM turn", BOOK, "turnover")
+add("ag21_quantiles", lambda s, d: _rets(s, d).agg(F.percentile("ret", F.lit(0.05)).alias("q05"), F.percentile("ret", F.lit(0.95)).alias("q95")), "SELECT quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.95) AS q95 FROM rets", rounds="q05 q95")
+COV = "SELECT a.ticker AS ticker_i, b.ticker AS ticker_j, {} AS c FROM {} a JOIN {} b ON a.date = b.date AND a.ticker <= b.ticker GROUP BY 1, 2"
+# covariances of daily returns are near 1e-4: compared in units of 1e-4
+SCALED = lambda df: df.withColumn("c", F.col("c") * 1e4)
+EWMA = "wd AS (SELECT r.date, ticker, ret, (1 - 0.94) * pow(0.94, (SELECT count(DISTINCT date) FROM rets) - dense_rank() OVER (ORDER BY r.date)) AS w FROM rets r)"
+add("rm2_sample_cov", lambda s, d: SCALED(M.covariance(_rets(s, d))), COV.format("covar_samp(a.ret, b.ret) * 1e4", "rets", "rets"), rounds="c")
+add("rm3_ewma_cov", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d))), COV.format("sum(a.w * a.ret * b.ret) * 1e4", "wd", "wd"), EWMA, "c")
+add("rm9_ewma_cov_normalised", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d), normalised=True)), COV.format("sum(a.w * a.ret * b.ret) / sum(a.w) * 1e4", "wd", "wd"), EWMA, "c")
+add("rm1_psd_repair", lambda s, d: solve.repaired(M.covariance(_rets(s, d))))
+add("rm4_ledoit_wolf", lambda s, d: solve.ledoit_wolf(_rets(s, d)))
+add("op1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
 
 
 def flagship(spark, sf_dir):

@@ -69,7 +69,7 @@ def equity(pnl: DataFrame) -> DataFrame:
     """Equity and drawdown; one row a period, so the window without key is small."""
     upto = Window.orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
     e = pnl.withColumn("equity", F.product(1 + F.col("pnl")).over(upto))
-    return e.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto) - 1)
+    return e.withColumn("drawdown", F.col("equity") / F.nullif(F.max("equity").over(upto), F.lit(0.0)) - 1)
 
 
 def performance(pnl: DataFrame, turn: DataFrame, factor: float = 12.0) -> DataFrame:

@@ -13,21 +13,21 @@ def returns(prices: DataFrame) -> DataFrame:
     tickers = prices.select("ticker").distinct()
     grid = prices.select("date").distinct().crossJoin(F.broadcast(tickers))
     dense = grid.join(prices, ["date", "ticker"], "left")
-    r = dense.select("date", "ticker", F.try_divide("close", F.lag("close").over(T)).alias("q")).withColumn("ret", F.col("q") - 1)
-    whole = r.withColumn("known", F.count("ret").over(X)).withColumn("all", F.count(F.lit(1)).over(X))
+    r = dense.select("date", "ticker", F.try_divide("close", F.lag("close").over(T())).alias("q")).withColumn("ret", F.col("q") - 1)
+    whole = r.withColumn("known", F.count("ret").over(X())).withColumn("all", F.count(F.lit(1)).over(X()))
     return whole.filter("known = all").select("date", "ticker", "ret")
 
 
 def forward_returns(prices: DataFrame) -> DataFrame:
     """Next row's return, of prices carried forward."""
-    filled = prices.withColumn("px", F.last("close", True).over(T.rowsBetween(Window.unboundedPreceding, 0)))
-    r = filled.withColumn("ret", F.try_divide(F.col("px"), F.lag("px").over(T)) - 1)
-    return r.select("date", "ticker", F.lead("ret", 1).over(T).alias("fwd_ret"))
+    filled = prices.withColumn("px", F.last("close", True).over(T().rowsBetween(Window.unboundedPreceding, 0)))
+    r = filled.withColumn("ret", F.try_divide(F.col("px"), F.lag("px").over(T())) - 1)
+    return r.select("date", "ticker", F.lead("ret", 1).over(T()).alias("fwd_ret"))
 
 
 def ahead(rets: DataFrame, horizon: int) -> DataFrame:
     """The single-day return horizon rows ahead."""
-    return rets.select("date", "ticker", F.lead("ret", horizon).over(T).alias("fwd_ret"))
+    return rets.select("date", "ticker", F.lead("ret", horizon).over(T()).alias("fwd_ret"))
 
 
 def trailing_mean(rets: DataFrame, rows: int = 21) -> DataFrame:
@@ -38,11 +38,11 @@ def trailing_mean(rets: DataFrame, rows: int = 21) -> DataFrame:
 def momentum_engine(rets: DataFrame, gap: int = 21, rows: int = 252) -> DataFrame:
     """Product of rows returns, gap rows ago."""
     p = rets.withColumn("p", rolling(1 + F.col("ret"), F.product, rows, rows) - 1)
-    return p.select("date", "ticker", F.lag("p", gap).over(T).alias("mom"))
+    return p.select("date", "ticker", F.lag("p", gap).over(T()).alias("mom"))
 
 
 def momentum_ratio(prices: DataFrame, gap: int = 21, rows: int = 252) -> DataFrame:
-    return prices.select("date", "ticker", (F.lag("close", gap).over(T) / F.nullif(F.lag("close", rows).over(T), F.lit(0.0)) - 1).alias("mom"))
+    return prices.select("date", "ticker", (F.lag("close", gap).over(T()) / F.nullif(F.lag("close", rows).over(T()), F.lit(0.0)) - 1).alias("mom"))
 
 
 def momentum_signal(prices: DataFrame, gap: int = 21, rows: int = 252, sectors: DataFrame | None = None, robust: bool = True, k: float = 3.0) -> DataFrame:
@@ -57,7 +57,7 @@ def momentum_signal(prices: DataFrame, gap: int = 21, rows: int = 252, sectors:
 def residuals(rets: DataFrame, market: DataFrame, rows: int = 252) -> DataFrame:
     """Returns less rolling beta times the market's: population covariance over sample variance, 0 while unknown."""
     j = rets.join(F.broadcast(market), "date")
-    w, least = T.rowsBetween(-(rows - 1), 0), max(5, rows // 5)
+    w, least = T().rowsBetween(-(rows - 1), 0), max(5, rows // 5)
     beta = F.when(F.count("ret").over(w) >= least, F.covar_pop("ret", "mkt_ret").over(w) / F.nullif(F.var_samp("mkt_ret").over(w), F.lit(0.0)))
     return j.withColumn("beta", F.coalesce(beta, F.lit(0.0))).select("date", "ticker", (F.col("ret") - F.col("beta") * F.col("mkt_ret")).alias("resid"))
 
@@ -65,7 +65,7 @@ def residuals(rets: DataFrame, market: DataFrame, rows: int = 252) -> DataFrame:
 def rolling_betas(rets: DataFrame, market: DataFrame, rows: int = 252) -> DataFrame:
     """As in residuals, but only over full windows, and missing else."""
     j = rets.join(F.broadcast(market), "date")
-    w = T.rowsBetween(-(rows - 1), 0)
+    w = T().rowsBetween(-(rows - 1), 0)
     return j.select("date", "ticker", F.when(F.count("ret").over(w) >= rows, F.covar_pop("ret", "mkt_ret").over(w) / F.nullif(F.var_samp("mkt_ret").over(w), F.lit(0.0))).alias("beta"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from itertools import chain
 
@@ -43,6 +44,8 @@ AWAY = r"(?i)(version|isbn|page|seite|figure|section|chapter|order|invoice|artic
 
 #: Rounds of EM; smoothing of all counts; posterior from which the classifier adds a span.
 ROUNDS, SMOOTH, ADD_FROM = 15, 1.0, 0.9
+#: EM ends when no rate moves by this much.
+STILL = 0.002
 VOTERS = ["regex", "gazetteer", "context", "shape"]
 
 
@@ -162,7 +165,7 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict[int, tuple[
     kinds = range(len(KINDS))
     at = {k: (0.5, [(0.85, 0.3)] * len(VOTERS)) for k in kinds}
     for _ in range(rounds):
-        p = posterior(at)
+        before, p = dict(at), posterior(at)
         weigh = [F.sum(p * F.col("n")).alias("true"), F.sum("n").alias("all")]
         for j in range(len(VOTERS)):
             vote = F.substring("votes", j + 1, 1)
@@ -172,6 +175,9 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict[int, tuple[
             rate = lambda a, b, prior: min(0.98, max(0.02, ((r[a] or 0.0) + 4 * prior) / ((r[b] or 0.0) + 4)))
             share = min(0.98, max(0.02, (r["true"] + SMOOTH) / (r["all"] + 2 * SMOOTH)))
             at[r.kind] = (share, [(rate(f"tf{j}", f"tn{j}", 0.85), rate(f"ff{j}", f"fn{j}", 0.3)) for j in range(len(VOTERS))])
+        flat = lambda d: [x for share, rates in d.values() for x in (share, *chain(*rates))]
+        if max(abs(x - y) for x, y in zip(flat(before), flat(at))) < STILL:
+            break
     return at
 
 
@@ -205,15 +211,16 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     total = {r.kind: (r.a, r.b) for r in whole}
     weights = {r.trait: math.log((r.a + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][0] + 2 * SMOOTH)) - math.log((r.b + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][1] + 2 * SMOOTH)) for r in soft.filter(F.split("trait", r"\|")[0].isin(ADDED)).collect()}
     start = {k: math.log((a + SMOOTH) / (b + SMOOTH)) for k, (a, b) in total.items()}
-    as_map = lambda d: F.create_map(*[F.lit(x) for x in chain(*d.items())])
+    as_map = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,double>")  # noqa: E731  one literal, whatever its size
+    own = {KINDS.index(k): at[KINDS.index(k)] for k in ADDED}
 
     def added(s):
         if not weights:
             return F.lit(False)
-        score = F.coalesce(F.element_at(as_map(start), s["kind"]), F.lit(0.0)) + F.aggregate(
+        score = F.coalesce(F.element_at(as_map({str(k): v for k, v in start.items()}), s["kind"].cast("string")), F.lit(0.0)) + F.aggregate(
             s["traits"], F.lit(0.0), lambda acc, t: acc + F.coalesce(F.element_at(as_map(weights), t), F.lit(0.0))
         )
-        return (1 / (1 + F.exp(-score)) >= ADD_FROM) & (posterior(at, s["votes"], s["kind"]) >= ADD_FROM)
+        return (1 / (1 + F.exp(-score)) >= ADD_FROM) & (posterior(own, s["votes"], s["kind"]) >= ADD_FROM)
 
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     every = F.filter("found", lambda s: (s["kind"] < len(BASE)) | added(s))

@@ -64,14 +64,14 @@ def ledoit_wolf(rets: DataFrame) -> DataFrame:
     return rets.groupBy(F.lit(1).alias("one")).applyInPandas(run, SHAPE)
 
 
-def mean_variance(mu, sigma, beta, aversion=5.0, bound=0.1, gross=2.0, beta_limit=0.02, rounds=2000) -> np.ndarray:
+def mean_variance(mu, sigma, beta, aversion=5.0, bound=0.1, gross=2.0, beta_limit=0.02, rounds=20000) -> np.ndarray:
     """Maximise mu w - aversion w' sigma w with |w| <= bound, sum w = 0, |w|_1 <= gross, |beta w| <= beta_limit, by ADMM.
 
-    Each set has its own copy of w, projected on alone; w itself is a linear solve.
+    Each set has its own copy of w, projected on alone; w itself is a linear solve that holds sum w = 0.
     """
     n = len(mu)
     size = max(1e-12, np.abs(mu).max())
-    sets = 4
+    sets = 3
     rho = 2.0
     solve = np.linalg.inv(2 * aversion * sigma / size + rho * sets * np.eye(n))
     z, u = np.zeros((sets, n)), np.zeros((sets, n))
@@ -89,14 +89,16 @@ def mean_variance(mu, sigma, beta, aversion=5.0, bound=0.1, gross=2.0, beta_limi
         x, b = beta @ v, beta @ beta
         return v - beta * (x - np.clip(x, -beta_limit, beta_limit)) / b if b > 0 else v
 
-    project = [lambda v: np.clip(v, -bound, bound), lambda v: v - v.mean(), ball, slab]
+    project = [lambda v: np.clip(v, -bound, bound), ball, slab]
+    ones = solve.sum(1)
     w = np.zeros(n)
     for _ in range(rounds):
         w = solve @ (mu / size + rho * (z - u).sum(0))
+        w = w - ones * (w.sum() / ones.sum())
         for k in range(sets):
             z[k] = project[k](w + u[k])
             u[k] += w - z[k]
-        if np.abs(w - z).max() < 1e-9:
+        if np.abs(w - z).max() < 1e-6:
             break
     return w
 

@@ -181,16 +181,24 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict[int, tuple[
     return at
 
 
+def as_map(d: dict[str, float]) -> Column:
+    """A map column from one literal: its values aren't part of the generated code, so all rounds share one class."""
+    return F.from_json(F.lit(json.dumps(d)), "map<string,double>")
+
+
 def posterior(at, votes_: Column | None = None, kind: Column | None = None) -> Column:
-    """Probability that a span is true, from its kind and votes."""
+    """Probability that a span is true, from its kind and votes; abstentions say nothing."""
     votes_, kind = F.col("votes") if votes_ is None else votes_, F.col("kind") if kind is None else kind
-    odds = None
+    odds = {}
     for k, (share, rates) in at.items():
-        own = F.lit(math.log(share / (1 - share)))
+        odds[f"{k}"] = math.log(share / (1 - share))
         for j, (a, b) in enumerate(rates):
-            own = own + F.when(F.substring(votes_, j + 1, 1) == "1", math.log(a / b)).when(F.substring(votes_, j + 1, 1) == "0", math.log((1 - a) / (1 - b))).otherwise(0.0)
-        odds = F.when(kind == k, own) if odds is None else odds.when(kind == k, own)
-    return 1 / (1 + F.exp(-odds))
+            odds |= {f"{k}:{j}:1": math.log(a / b), f"{k}:{j}:0": math.log((1 - a) / (1 - b))}
+    held, name = as_map(odds), kind.cast("string")
+    own = F.element_at(held, name)
+    for j in range(len(VOTERS)):
+        own = own + F.coalesce(F.element_at(held, F.concat_ws(":", name, F.lit(str(j)), F.substring(votes_, j + 1, 1))), F.lit(0.0))
+    return 1 / (1 + F.exp(-own))
 
 
 def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -211,7 +219,6 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     total = {r.kind: (r.a, r.b) for r in whole}
     weights = {r.trait: math.log((r.a + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][0] + 2 * SMOOTH)) - math.log((r.b + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][1] + 2 * SMOOTH)) for r in soft.filter(F.split("trait", r"\|")[0].isin(ADDED)).collect()}
     start = {k: math.log((a + SMOOTH) / (b + SMOOTH)) for k, (a, b) in total.items()}
-    as_map = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,double>")  # noqa: E731  one literal, whatever its size
     own = {KINDS.index(k): at[KINDS.index(k)] for k in ADDED}
 
     def added(s):

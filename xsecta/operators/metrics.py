@@ -23,9 +23,10 @@ def information_coefficient(signal: DataFrame, fwd: DataFrame, method: str = "sp
 
 def ic_summary(ic: DataFrame) -> DataFrame:
     sd = F.stddev_samp("ic")
+    # ranks often correlate by exactly 0, whose sign after rounding is chance
     return ic.agg(
         F.avg("ic").alias("ic_mean"), sd.alias("ic_std"), F.coalesce(F.avg("ic") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("ic_ir_ann"),
-        (F.avg((F.col("ic") > 0).cast("double")) * 100).alias("hit_rate_pct"), F.count("*").alias("n_days"),
+        (F.avg((F.round("ic", 9) > 0).cast("double")) * 100).alias("hit_rate_pct"), F.count("*").alias("n_days"),
     )
 
 

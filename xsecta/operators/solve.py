@@ -64,43 +64,110 @@ def ledoit_wolf(rets: DataFrame) -> DataFrame:
     return rets.groupBy(F.lit(1).alias("one")).applyInPandas(run, SHAPE)
 
 
-def mean_variance(mu, sigma, beta, aversion=5.0, bound=0.1, gross=2.0, beta_limit=0.02, rounds=20000) -> np.ndarray:
-    """Maximise mu w - aversion w' sigma w with |w| <= bound, sum w = 0, |w|_1 <= gross, |beta w| <= beta_limit, by ADMM.
-
-    Each set has its own copy of w, projected on alone; w itself is a linear solve that holds sum w = 0.
+def shrink_to_l1(v: np.ndarray, most: float) -> np.ndarray:
+    """The point nearest to v whose absolute values sum to most or less."""
+    a = np.abs(v)
+    if a.sum() <= most:
+        return v
+    down = np.sort(a)[::-1]
+    sums = np.cumsum(down) - most
+    k = np.flatnonzero(down - sums / np.arange(1, len(v) + 1) > 0)[-1]
+    return np.sign(v) * np.maximum(a - sums[k] / (k + 1), 0)
+
+
+def into_slab(v: np.ndarray, row: np.ndarray, cap: float) -> np.ndarray:
+    x, size = row @ v, row @ row
+    return v - row * (x - np.clip(x, -cap, cap)) / size if size > 0 else v
+
+
+def into_ellipsoid(v: np.ndarray, values: np.ndarray, vectors: np.ndarray, most: float) -> np.ndarray:
+    """The point nearest to v of variance most or less: its multiplier by bisection in the axes of the covariance."""
+    y = vectors.T @ v
+    if (values * y * y).sum() <= most:
+        return v
+    low, high = 0.0, 1.0
+    at = lambda m: (values * (y / (1 + m * values)) ** 2).sum()
+    while at(high) > most:
+        high *= 4
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if at(middle) > most else (low, middle)
+    return vectors @ (y / (1 + high * values))
+
+
+def mean_variance_status(mu, sigma, beta=None, aversion=5.0, bound=0.1, gross=2.0, beta_limit=0.02, rounds=20000, *, neutral=True, long_only=False, budget=None, hard=(), soft=()):
+    """(w, residual): maximise mu w - aversion w' sigma w, by ADMM; residual is the largest violation of any constraint.
+
+    Long only: 0 <= w <= bound, sum 1. Else |w| <= bound, |w|_1 <= gross, sum 0 if neutral, rows of hard at 0 and those of
+    soft(row, cap) within their caps. Always: |beta w| <= beta_limit and w' sigma w <= budget squared, where given.
+    Each set has its own copy of w, projected on alone; w itself is a linear solve that holds all equalities.
     """
     n = len(mu)
     size = max(1e-12, np.abs(mu).max())
-    sets = 3
-    rho = 2.0
+    project = [lambda v: np.clip(v, 0.0 if long_only else -bound, bound)]
+    if gross is not None and not long_only:
+        project.append(lambda v: shrink_to_l1(v, gross))
+    if beta is not None and beta_limit is not None:
+        project.append(lambda v: into_slab(v, beta, beta_limit))
+    if budget is not None:
+        values, vectors = np.linalg.eigh(sigma)
+        project.append(lambda v: into_ellipsoid(v, np.maximum(values, 0.0), vectors, budget**2))
+    for row, cap in [] if long_only else soft:
+        project.append(lambda v, row=row, cap=cap: into_slab(v, row, cap))
+    equal = ([np.ones(n)] if neutral or long_only else []) + ([] if long_only else list(hard))
+    equal, goal = np.array(equal).reshape(-1, n), np.zeros(len(equal))
+    if long_only:
+        goal[0] = 1.0
+    sets, rho = len(project), 2.0
     solve = np.linalg.inv(2 * aversion * sigma / size + rho * sets * np.eye(n))
-    z, u = np.zeros((sets, n)), np.zeros((sets, n))
-
-    def ball(v):
-        a = np.abs(v)
-        if a.sum() <= gross:
-            return v
-        down = np.sort(a)[::-1]
-        sums = np.cumsum(down) - gross
-        k = np.flatnonzero(down - sums / np.arange(1, n + 1) > 0)[-1]
-        return np.sign(v) * np.maximum(a - sums[k] / (k + 1), 0)
-
-    def slab(v):
-        x, b = beta @ v, beta @ beta
-        return v - beta * (x - np.clip(x, -beta_limit, beta_limit)) / b if b > 0 else v
-
-    project = [lambda v: np.clip(v, -bound, bound), ball, slab]
-    ones = solve.sum(1)
-    w = np.zeros(n)
+    lift = solve @ equal.T @ np.linalg.pinv(equal @ solve @ equal.T)
+    z, u, w, off = np.zeros((sets, n)), np.zeros((sets, n)), np.zeros(n), np.inf
     for _ in range(rounds):
         w = solve @ (mu / size + rho * (z - u).sum(0))
-        w = w - ones * (w.sum() / ones.sum())
+        w = w - lift @ (equal @ w - goal)
         for k in range(sets):
             z[k] = project[k](w + u[k])
             u[k] += w - z[k]
-        if np.abs(w - z).max() < 1e-6:
+        off = np.abs(w - z).max()
+        if off < 1e-6:
             break
-    return w
+    return w, float(max(off, np.abs(equal @ w - goal).max(initial=0.0)))
+
+
+def mean_variance(mu, sigma, beta, **options) -> np.ndarray:
+    """Weights of mean_variance_status alone."""
+    return mean_variance_status(mu, sigma, beta, **options)[0]
+
+
+def principal_rows(sigma: np.ndarray, k: int, equalize: bool = False) -> np.ndarray:
+    """The k leading eigenvectors as rows, times the roots of their eigenvalues if asked."""
+    values, vectors = np.linalg.eigh(sigma)
+    lead = vectors[:, ::-1][:, :k].T
+    return lead * np.sqrt(np.maximum(values[::-1][: len(lead)], 0.0))[:, None] if equalize else lead
+
+
+def sector_rows(sectors: list[str], unit: bool = False) -> np.ndarray:
+    """A 0/1 row for each sector of two names or more, of unit length if asked; none unless there are two such rows."""
+    named = np.array(sectors, dtype=object)
+    rows = [(named == s).astype(float) for s in sorted(set(sectors)) if (named == s).sum() >= 2]
+    rows = rows if len(rows) >= 2 else []
+    return np.array([r / np.linalg.norm(r) if unit else r for r in rows]).reshape(-1, len(sectors))
+
+
+def covariance_of(x: np.ndarray, model: str, decay: float = 0.97) -> np.ndarray:
+    """Risk model of dates by names, repaired twice: relative to the mean eigenvalue, then to max(1, mean)."""
+    n = x.shape[1]
+    if model in ("sample", "cov"):
+        s = np.cov(x, rowvar=False).reshape(n, n) if len(x) > 1 else np.eye(n) * 1e-8
+    elif model == "ewma":
+        w = (1 - decay) * decay ** np.arange(len(x) - 1, -1, -1.0)
+        s = (x * w[:, None]).T @ x
+    elif model in ("lw", "ledoit_wolf", "ledoit-wolf"):
+        s = shrunk(x)
+    else:
+        raise ValueError(f"unknown risk model {model}")
+    s = eigen_floor(s)
+    return eigen_floor(s, 0.0, 1e-6 * max(1.0, np.trace(s) / n))
 
 
 def optimal_weights(alpha: DataFrame, cov: DataFrame, betas: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import metrics as M
+from ..operators import reports as R
 from ..operators import signals as S
 from ..operators import solve
+from ..operators import walk as W
 from ..sources import panel as P
+from . import config
 
 PANEL = """
 daily AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS paid, sum(l_quantity) AS sold
@@ -192,7 +195,7 @@ add("cal5_monthly_ic", lambda s, d: _ic(s, d).groupBy(F.last_day("date").alias("
 add("ag2_ic_spearman", _ic, "SELECT * FROM ic1", IC, "ic")
 add(
     "ag4_ic_summary", lambda s, d: M.ic_summary(_ic(s, d)),
-    "SELECT avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100 AS hit_rate_pct, count(*) AS n_days FROM ic1", IC, "ic_mean ic_std ic_ir_ann hit_rate_pct",
+    "SELECT avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) * 100 AS hit_rate_pct, count(*) AS n_days FROM ic1", IC, "ic_mean ic_std ic_ir_ann hit_rate_pct",
 )
 add("ag5_decile_ls", lambda s, d: M.decile_long_short(_signal(s, d), S.forward_returns(P.prices(s, d))), "SELECT * FROM ls WHERE ls_ret IS NOT NULL", IC, "ls_ret")
 add(
@@ -223,5 +226,116 @@ add("rm4_ledoit_wolf", lambda s, d: solve.ledoit_wolf(_rets(s, d)))
 add("op1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
 
 
+GRID = """gk AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM rets)),
+gp AS (SELECT last_day(date) AS date, max(date) AS "asof", max(ord) AS ord FROM gk GROUP BY 1),
+gl AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS DATE)) AS date FROM gp),
+grid AS (SELECT gl.date, lead(gl.date) OVER (ORDER BY gl.date) AS next_date, row_number() OVER (ORDER BY gl.date) - 1 AS k,
+         last_value("asof" IGNORE NULLS) OVER (ORDER BY gl.date) AS "asof", last_value(ord IGNORE NULLS) OVER (ORDER BY gl.date) AS ord FROM gl LEFT JOIN gp ON gp.date = gl.date)"""
+
+
+def _grid(spark, d):
+    return W.rebalance_grid(_rets(spark, d))
+
+
+def _ic_of(signal: str, fwd: str, name: str) -> str:
+    """CTEs for the daily rank correlation of signal with fwd, as name(date, ic)."""
+    return f"""{name}_p AS (SELECT s.date, s.score, f.fwd_ret FROM {signal} s JOIN {fwd} f ON f.date = s.date AND f.ticker = s.ticker WHERE s.score IS NOT NULL AND f.fwd_ret IS NOT NULL),
+{name}_r AS (SELECT date, {_rank("score")} AS x, {_rank("fwd_ret")} AS y FROM {name}_p),
+{name} AS (SELECT * FROM (SELECT date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic FROM {name}_r GROUP BY date HAVING count(*) >= 3) WHERE ic IS NOT NULL)"""
+
+
+SUMMARY = "avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) * 100 AS hit_rate_pct, count(*) AS n_days"
+CELLS = [(g, n) for g in (10, 21, 30) for n in (126, 189, 252)]
+MOM_GRID = ", ".join(
+    f"m{g}_{n} AS (SELECT date, ticker, lag(close, {g}) OVER t / nullif(lag(close, {n}) OVER t, 0) - 1 AS mom FROM prices WINDOW t AS (PARTITION BY ticker ORDER BY date)), " + _robust(f"m{g}_{n}", "mom", f"s{g}_{n}") + ", " + _ic_of(f"s{g}_{n}", "fwd", f"i{g}_{n}")
+    for g, n in CELLS
+)
+add("ag7_momentum_grid", lambda s, d: R.momentum_grid(P.prices(s, d), S.forward_returns(P.prices(s, d))), " UNION ALL ".join(f"SELECT {g} AS gap, {n} AS lookback, {SUMMARY} FROM i{g}_{n}" for g, n in CELLS), MOM_GRID, "ic_mean ic_std ic_ir_ann hit_rate_pct")
+add("so3_best_cell", lambda s, d: R.best(R.momentum_grid(P.prices(s, d), S.forward_returns(P.prices(s, d)))), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {g} AS gap, {n} AS lookback, {SUMMARY} FROM i{g}_{n}" for g, n in CELLS) + ") ORDER BY ic_ir_ann DESC, ic_mean DESC LIMIT 1", MOM_GRID, "ic_mean ic_std ic_ir_ann hit_rate_pct")
+MR_GRID = RESID + ", mv AS (SELECT date, ticker, resid / nullif(CASE WHEN count(resid) OVER w >= 12 THEN stddev_samp(resid) OVER w END, 0) AS v FROM resid WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)), "
+MR_GRID += ", ".join(f"a{h} AS (SELECT date, ticker, lead(ret, {h}) OVER (PARTITION BY ticker ORDER BY date) AS fwd_ret FROM rets)" for h in (1, 3, 5)) + ", "
+MR_GRID += ", ".join(
+    f"w{n} AS (SELECT date, ticker, CASE WHEN count(v) OVER w >= {max(2, n // 2)} THEN -sum(v) OVER w END AS raw FROM mv WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)), " + _robust(f"w{n}", "raw", f"z{n}") + ", " + ", ".join(_ic_of(f"z{n}", f"a{h}", f"j{n}_{h}") for h in (1, 3, 5))
+    for n in (3, 5, 10)
+)
+add("ag8_reversion_grid", lambda s, d: R.reversion_grid(_resid(s, d), _rets(s, d)), " UNION ALL ".join(f"SELECT {n} AS mr_lookback, {h} AS fwd_days, {SUMMARY} FROM j{n}_{h}" for n in (3, 5, 10) for h in (1, 3, 5)), MR_GRID, "ic_mean ic_std ic_ir_ann hit_rate_pct")
+add("ag8_blend_grid", lambda s, d: R.blend_grid(_signal(s, d), S.mean_reversion(_resid(s, d)), S.ahead(_rets(s, d), 1)))
+add("cal1_rebalance_grid", _grid, "SELECT * FROM grid", GRID)
+add("cal6_weekly_signal", lambda s, d: R.last_of_period(_signal(s, d), W.period_end(F.col("date"), "W-FRI")), "SELECT CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE) AS period_end, ticker, max_by(score, date) AS score FROM signal GROUP BY 1, 2", SIGNAL, "score")
+add(
+    "cal3_riskfree_periods", lambda s, d: W.riskfree_periods(P.riskfree(_rets(s, d)), _pnl(s, d).select("period_end")),
+    "SELECT period_end, coalesce(c / nullif(lag(c) OVER (ORDER BY period_end), 0) - 1, 0) AS rf FROM (SELECT period_end, (SELECT max(pow(1.0001, n - 1)) FROM (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM rets)) WHERE date <= period_end) AS c FROM pnl)", BOOK, "rf",
+)
+PRICED = "tp AS (SELECT last_day(date + INTERVAL 1 DAY) AS period_end, turnover FROM turn)"
+add(
+    "ag10_cost_sweep", lambda s, d: R.repriced(_pnl(s, d), M.turnover(_weights(s, d)).select(F.last_day(F.add_months("date", 1)).alias("period_end"), "turnover")),
+    "SELECT bps, avg(p) * 12 AS ann_return, stddev_samp(p) * sqrt(12) AS ann_vol, coalesce(avg(p) * 12 / nullif(stddev_samp(p) * sqrt(12), 0), 0) AS sharpe FROM (SELECT bps, pnl + (5.0 - bps) * 1e-4 * coalesce(turnover, 0) AS p FROM pnl LEFT JOIN tp USING (period_end) CROSS JOIN (SELECT CAST(unnest([0, 5, 10, 20]) AS DOUBLE) AS bps)) GROUP BY 1", BOOK + ", " + PRICED, "ann_return ann_vol sharpe",
+)
+BIND = "bind AS (SELECT w.date, avg(CASE WHEN abs(weight) >= 0.1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS pos_bind_rate, CAST(sum(abs(weight)) >= 2.0 - 1e-6 AS DOUBLE) AS gross_bind, sum(weight * coalesce(beta, 0)) AS beta_exposure, CAST(abs(sum(weight * coalesce(beta, 0))) >= 0.02 - 1e-6 AS DOUBLE) AS beta_bind FROM weights w LEFT JOIN sb ON sb.ticker = w.ticker GROUP BY 1)"
+# the gross exposure is exactly at its limit, so whether it binds hangs on rounding: not compared here
+add("ag13_binding_summary", lambda s, d: R.binding_summary(M.binding(_weights(s, d), _betas(s, d)).drop("gross_bind")), " UNION ALL ".join(f"SELECT '{c}' AS \"constraint\", avg({c}) * 100 AS bind_pct FROM bind" for c in ("pos_bind_rate", "beta_exposure", "beta_bind")), BOOK + ", " + BIND, "bind_pct")
+add("ag11_beta_exposure", lambda s, d: R.exposure(_weights(s, d), _betas(s, d)), "SELECT date, sum(weight * coalesce(beta, 0)) AS exposure FROM weights LEFT JOIN sb USING (ticker) GROUP BY 1", BOOK, "exposure")
+add("ag16_alignment", lambda s, d: R.alignment(_signal(s, d), S.momentum_ratio(P.prices(s, d), 21, 126).withColumnRenamed("mom", "weight"), "pearson"), "SELECT date, covar_pop(score, mom) / nullif(stddev_pop(score) * stddev_pop(mom), 0) AS ic FROM signal JOIN m6 USING (date, ticker) WHERE mom IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND covar_pop(score, mom) / nullif(stddev_pop(score) * stddev_pop(mom), 0) IS NOT NULL", SIGNAL + ", m6 AS (SELECT date, ticker, lag(close, 21) OVER t / nullif(lag(close, 126) OVER t, 0) - 1 AS mom FROM prices WINDOW t AS (PARTITION BY ticker ORDER BY date))", "ic")
+add("ts8_realized_vol", lambda s, d: R.realized_vol(_pnl(s, d)), "SELECT period_end, CASE WHEN count(*) OVER w >= 12 THEN stddev_samp(pnl) OVER w * sqrt(12) END AS vol FROM pnl WINDOW w AS (ORDER BY period_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)", BOOK, "vol")
+add("k12_neutral_to_beta", lambda s, d: R.neutral_to_beta(_rets(s, d).withColumnRenamed("ret", "mu"), _betas(s, d)), "SELECT date, ticker, ret - regr_intercept(ret, beta) OVER (PARTITION BY date) - regr_slope(ret, beta) OVER (PARTITION BY date) * beta AS mu FROM (SELECT r.date, r.ticker, r.ret, sb.beta FROM rets r JOIN sb USING (ticker))", BOOK, "mu")
+add("k11_rank_labels", lambda s, d: W.labelled(M.period_returns(_rets(s, d)).select(F.col("period_end").alias("date"), "ticker", F.col("period_ret").alias("y")), "rank"), f"SELECT date, ticker, {_rank('y')} / count(*) OVER (PARTITION BY date) - 0.5 AS y FROM (SELECT period_end AS date, ticker, period_ret AS y FROM periods)", BOOK, "y")
+add(
+    "k11_zmad_labels", lambda s, d: W.labelled(M.period_returns(_rets(s, d)).select(F.col("period_end").alias("date"), "ticker", F.col("period_ret").alias("y")), "zmad"),
+    "SELECT date, ticker, greatest(-3.0, least(3.0, (y - m) / (1.4826 * (median(abs(y - m)) OVER (PARTITION BY date) + 1e-12)))) AS y FROM (SELECT period_end AS date, ticker, period_ret AS y, median(period_ret) OVER (PARTITION BY period_end) AS m FROM periods)", BOOK, "y",
+)
+KERNELS = {"rbf": "exp(-x * x / 2)", "exp": "exp(-x)", "matern32": "(1 + sqrt(3) * x) * exp(-sqrt(3) * x)", "matern52": "(1 + sqrt(5) * x + 5 * x * x / 3) * exp(-sqrt(5) * x)"}
+KW = "kx AS (SELECT date, (row_number() OVER (ORDER BY date DESC) - 1) / 32.0 AS x FROM (SELECT DISTINCT date FROM rets))"
+for _kind, _form in KERNELS.items():
+    add(f"rm5_weights_{_kind}", lambda s, d, k=_kind: R.kernel_weights(_rets(s, d), k), f"SELECT date, {_form} / sum({_form}) OVER () AS w FROM kx", KW, "w")
+KR = KW + f", kr AS (SELECT r.date, ticker, ret, {KERNELS['matern32']} / (SELECT sum({KERNELS['matern32']}) FROM kx) AS w FROM rets r JOIN kx USING (date))"
+add("rm6_kernel_cov", lambda s, d: SCALED(R.kernel_covariance(_rets(s, d))), COV.format("sum(a.w * a.ret * b.ret) * 1e4", "kr", "kr"), KR, "c")
+add("rm6_kernel_cov_demeaned", lambda s, d: SCALED(R.kernel_covariance(_rets(s, d), zero_mean=False)), COV.format("sum(a.w * a.ret * b.ret) * 1e4", "kd", "kd"), KR + ", kd AS (SELECT date, ticker, w, ret - sum(w * ret) OVER (PARTITION BY ticker) AS ret FROM kr)", "c")
+PLUG = "sc AS (" + COV.format("covar_samp(a.ret, b.ret)", "rets", "rets") + "), sq AS (SELECT *, CASE WHEN ticker_i = ticker_j THEN 1 ELSE 2 END AS n, (SELECT avg(c) FROM sc WHERE ticker_i = ticker_j) AS v FROM sc), sm AS (SELECT *, (SELECT sum(n * c) / sum(n) FROM sq) AS m, CASE WHEN ticker_i = ticker_j THEN v ELSE 0 END AS f FROM sq), sa AS (SELECT least(1.0, sum(n * (c - f) * (c - f)) / (sum(n * (c - m) * (c - m)) + 1e-12)) AS a FROM sm)"
+add("rm10_plug_in_shrinkage", lambda s, d: SCALED(R.plug_in_shrinkage(M.covariance(_rets(s, d)))), "SELECT ticker_i, ticker_j, ((1 - a) * c + a * f) * 1e4 AS c FROM sm CROSS JOIN sa", PLUG, "c")
+add(
+    "rm11_ex_ante_vol", lambda s, d: R.ex_ante_vol(_weights(s, d), _rets(s, d)),
+    "SELECT t AS date, CASE WHEN count(*) >= 42 THEN stddev_samp(r) * sqrt(252) END AS vol FROM (SELECT t, gk.date, sum(weight * ret) AS r FROM (SELECT t, max(ord) - 1 AS last FROM (SELECT DISTINCT date AS t FROM weights) JOIN gk ON gk.date <= t GROUP BY 1) JOIN gk ON ord BETWEEN last - 251 AND last JOIN rets r ON r.date = gk.date JOIN weights w ON w.date = t AND w.ticker = r.ticker GROUP BY 1, 2) GROUP BY 1", BOOK + ", " + GRID, "vol",
+)
+add("pl2_normalised_equity", lambda s, d: R.normalised(M.equity(_pnl(s, d)).select("period_end", "equity"), "equity", "period_end"), "SELECT period_end, equity / first_value(equity) OVER (ORDER BY period_end) AS equity FROM eq", BOOK, "equity")
+add("pl5_ic_histogram", lambda s, d: R.histogram(_ic(s, d).withColumn("ic", F.round("ic", 6)), "ic"), "SELECT CAST(least(40, floor((x - lo) / (hi - lo) * 40) + 1) AS BIGINT) AS bin, count(*) AS n FROM (SELECT round(ic, 6) AS x FROM ic1) CROSS JOIN (SELECT min(round(ic, 6)) AS lo, max(round(ic, 6)) AS hi FROM ic1) GROUP BY 1", IC)
+add(
+    "st1_merge_cache", lambda s, d: P.merge_cache(P.load(P.prices(s, d), "1995-04-03", "1997-12-31"), P.load(P.prices(s, d), "1997-06-01", "1998-12-31").withColumn("close", F.col("close") + 1)),
+    "SELECT date, ticker, CASE WHEN date >= DATE '1997-06-01' THEN close + 1 ELSE close END AS close FROM prices WHERE date <= DATE '1998-12-31' AND close IS NOT NULL", rounds="close",
+)
+_CFG = config.settings("MOM_MONTHLY")
+add(
+    "bt3_market_state", lambda s, d: W.market_state(P.market_prices(s, d), _grid(s, d), config.variant(_CFG, {"market_filter": True, "crash_fast_th": 0.0, "crash_slow_th": 0.0})),
+    "SELECT date, NOT coalesce(last_value(up IGNORE NULLS) OVER (ORDER BY date), false) AS risk_off, coalesce(last_value(melt IGNORE NULLS) OVER (ORDER BY date), false) AS melt_up FROM (SELECT grid.date, up, coalesce(melt, CASE WHEN up IS NOT NULL THEN false END) AS melt FROM grid LEFT JOIN (SELECT last_day(date) AS date, arg_max(up, date) AS up, arg_max(melt, date) AS melt FROM (SELECT date, avg(px) OVER (ORDER BY date ROWS 62 PRECEDING) > avg(px) OVER (ORDER BY date ROWS 251 PRECEDING) AS up, px / lag(px, 21) OVER (ORDER BY date) - 1 >= 0 AND px / lag(px, 63) OVER (ORDER BY date) - 1 >= 0 AS melt FROM mpx) GROUP BY 1) m ON m.date = grid.date)", GRID,
+)
+add("ag18_window_betas", lambda s, d: W.window_betas(_rets(s, d), P.market(s, d), _grid(s, d), 252), "SELECT g.date, r.ticker, CASE WHEN count(*) >= 5 THEN coalesce(covar_samp(ret, mkt_ret) / nullif(var_samp(mkt_ret), 0), 0) ELSE 0 END AS beta FROM grid g JOIN rets r ON r.date > g.date - 252 AND r.date <= g.date JOIN market m ON m.date = r.date GROUP BY 1, 2", GRID, "beta")
+
+
+def _inputs(spark, d):
+    return _rets(spark, d), P.market(spark, d)
+
+
+def _run(spark, d, variants):
+    return W.backtest(*_inputs(spark, d), P.market_prices(spark, d), P.sectors(spark, d), variants)
+
+
+def _one(mode, **overrides):
+    return {mode.lower(): config.settings(mode, overrides)}
+
+
+_AB = {"base": _CFG, "no_overlay": config.variant(_CFG, {"overlay_mr": False})}
+_GP = config.settings("GP_MONTHLY")
+add("ml1_features", lambda s, d: W.features(*_inputs(s, d), _grid(s, d), _GP))
+add("ml2_training_rows", lambda s, d: W.training_rows(W.features(*_inputs(s, d), _grid(s, d), _GP), _rets(s, d), _grid(s, d), _GP))
+add("bt2_alpha", lambda s, d: W.alpha(*_inputs(s, d), P.market_prices(s, d), P.sectors(s, d), _grid(s, d), _CFG))
+add("bt1_walk_forward", lambda s, d: W.book(_run(s, d, _one("MOM_MONTHLY"))))
+add("bt1_weekly_reversion", lambda s, d: W.book(_run(s, d, _one("MR_WEEKLY"))))
+add("bt1_combo", lambda s, d: W.book(_run(s, d, _one("COMBO_MONTHLY"))))
+add("ml5_gaussian_process", lambda s, d: W.book(_run(s, d, _one("GP_MONTHLY"))))
+add("ml6_nystrom", lambda s, d: W.book(_run(s, d, _one("NYSTROM_MONTHLY"))))
+add("bt5_decisions", lambda s, d: _run(s, d, _one("MOM_MONTHLY")).drop("tickers", "weights"))
+add("bt11_report", lambda s, d: W.summary(_run(s, d, _one("MOM_MONTHLY")), P.riskfree(_rets(s, d)), _one("MOM_MONTHLY")))
+add("bt12_ab_curves", lambda s, d: W.curves(_run(s, d, _AB)))
+
+
 def flagship(spark, sf_dir):
     return QUERIES["ag4_ic_summary"](spark, sf_dir)

@@ -27,16 +27,27 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.select("date", "ticker", F.round(close, 6).alias("close")).filter((F.weekday("date") < 5) & (F.col("date") >= F.lit(START).cast("date")))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, mkt_ret): return of the trailing 90-day mean order price, on weekdays."""
+def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, px): trailing 90-day mean order price, on weekdays."""
     daily = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.sum("o_totalprice").alias("paid"), F.count("*").alias("n"))
     # one row a day: these windows have no key, and at most as many rows as there are days
     trailing = Window.orderBy(F.datediff("date", F.lit("1990-01-01").cast("date"))).rangeBetween(-89, 0)
     px = daily.select("date", (F.sum(F.col("paid").cast("double")).over(trailing) / F.sum("n").over(trailing)).alias("px"))
-    px = px.filter((F.weekday("date") < 5) & (F.col("date") >= F.lit(START).cast("date")))
+    return px.filter((F.weekday("date") < 5) & (F.col("date") >= F.lit(START).cast("date")))
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, mkt_ret): return of market_prices."""
+    px = market_prices(spark, sf_dir)
     return px.select("date", (F.col("px") / F.lag("px").over(Window.orderBy("date")) - 1).alias("mkt_ret")).filter("mkt_ret is not null")
 
 
+def riskfree(days: DataFrame) -> DataFrame:
+    """(date, rf_ret) of days(date): the return of 100 * 1.0001 ^ ordinal, from its second day."""
+    n = F.row_number().over(Window.orderBy("date"))
+    return days.select("date").distinct().withColumn("n", n).filter("n > 1").select("date", F.lit(1.0001 - 1).alias("rf_ret"))
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, sector): five pseudo-sectors by brand number."""
     number = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")

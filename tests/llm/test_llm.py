@@ -81,7 +81,9 @@ def test_bpe_equals_the_library(spark):
         assert got == sorted((i, len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids)
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("stars", [0, 1])
+def test_jaccard_components_equal_brute_force(spark, stars, monkeypatch):
+    monkeypatch.setattr(jaccard, "STARS", stars)
     rng = random.Random(2)
     base = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 80))] for _ in range(25)]
     rows = []

@@ -19,7 +19,9 @@ REPORTED = 4
 BROADCAST = 1_000_000
 #: Rounds of star pairs before all pairs of what is left.
 STARS = 1
-
+#: 64-bit words of a set's parity bitmap, and their columns.
+BITMAP = 8
+BITS = [f"b{i}" for i in range(BITMAP)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -70,6 +72,12 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
         return int(mix64(s + np.uint64(1)).sum().astype(np.uint64).view(np.int64)), int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(3)).sum().astype(np.uint64).view(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each hashed place: whether an odd number of the set's shingles falls there."""
+    odd = np.bincount((mix64(s ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(held, buckets: int, shape):
     """One row a document, and one row for each bucket of tokens of a batch: the tokens of its groups' prefixes."""
 
@@ -155,14 +163,18 @@ def _shared(got):
 
 
 def _marked(shape):
-    """Texts with their sets' fingerprints."""
+    """Texts with their sets' fingerprints and bitmaps."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            marks = [_fingerprint(s) for s in _sets_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=shape)
+            marks, maps = [], np.zeros((batch.num_rows, BITMAP), np.int64)
+            for i, s in enumerate(_sets_of(batch.column("text"))):
+                marks.append(_fingerprint(s))
+                maps[i] = _bitmap(s)
+            prints = [pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *prints, *[pa.array(maps[:, k].copy()) for k in range(BITMAP)]], names=shape)
 
     return run
 
@@ -235,21 +247,24 @@ def star_pairs(places: DataFrame, seed: int) -> DataFrame:
     return best.select(F.col("e").alias("a"), F.col("hub").alias("b"))
 
 
-def crossing_pairs(places: DataFrame) -> DataFrame:
+def crossing_pairs(places: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """All pairs (a, b) of members of different components that may be similar enough.
 
     Of two sets, the prefix of the one that ends earlier in the order holds all its tokens up to there, so the
     intersection is at most the common tokens of both prefixes and what that set has beyond its prefix. Pairs go before
-    they are made if one side's tokens (m) are too few for that, and after if the common ones are.
+    they are made if one side's tokens (m) are too few for that, and after if the common ones are. Nor are they made if
+    the sets' parity bitmaps (e and BITS) differ in too many bits: each such bit takes an element that one set lacks.
     """
     counted = places.groupBy("e").agg(F.count("*").alias("m"))
-    places = saved(places.join(counted, "e"))
+    places = saved(places.join(counted, "e").join(bitmaps, "e"))
     x, y = places.alias("x"), places.alias("y")
     overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
     need = DEN * (F.col("x.n") + F.col("y.n"))
     beyond = lambda a, b: F.greatest(F.col(a) - _prefix(F.col(a)), F.col(b) - _prefix(F.col(b)))
     enough = (F.col("x.whole") & F.col("y.whole")) | (NUM * (F.least("x.m", "y.m") + beyond("x.n", "y.n")) >= need)
-    crossing = enough & (F.col("x.part") != F.col("y.part")) & (F.col("x.e") < F.col("y.e")) & _similar_size(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= need)
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
+    alike = NUM * differ <= (NUM - 2 * DEN) * (F.col("x.n") + F.col("y.n"))
+    crossing = enough & alike & (F.col("x.part") != F.col("y.part")) & (F.col("x.e") < F.col("y.e")) & _similar_size(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= need)
     met = x.join(y, F.col("x.token") == F.col("y.token")).filter(crossing)
     counted = met.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(
         F.first("x.n").alias("n_a"), F.first("y.n").alias("n_b"), F.count("*").alias("c"), F.max(F.col("x.whole") & F.col("y.whole")).alias("whole")
@@ -266,8 +281,8 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     3. Groups are expanded to members. In each of STARS rounds every token has a hub, drawn by hash, and each member is
        verified against the one that most of its tokens share. So a group of near copies costs as many pairs as it has
        members; links make components, and tokens that hold one component only are done.
-    4. The tokens left give all their pairs between different components that pass the size, position and count filters,
-       and these are verified as well. So no link between different components is lost, and pairs within one aren't
+    4. The tokens left give all their pairs between different components that pass the size, position, bitmap and count
+       filters, and these are verified as well. So no link between different components is lost, and pairs within one aren't
        needed.
 
     A null text is empty: 0 shingles, linked with nothing. Repeated rows are one member and stay in the result; rows
@@ -288,13 +303,13 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     places = saved(expanded.unionByName(within))
     wanted = places.select("e").distinct().join(sets.select("e", "one", "two"), "e")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    picked = texts.join(near.select(F.col("e").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_marked(["e", "text", "one", "two"]), "e long, text string, one long, two long")
-    held = saved(picked.join(near, ["e", "one", "two"], "left_semi").dropDuplicates(["e", "one", "two"]).select("e", "text"))
+    picked = texts.join(near.select(F.col("e").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_marked(["e", "text", "one", "two", *BITS]), ", ".join(["e long, text string, one long, two long", *[f"{b} long" for b in BITS]]))
+    held = saved(picked.join(near, ["e", "one", "two"], "left_semi").dropDuplicates(["e", "one", "two"]).select("e", "text", *BITS))
 
     links = parts = None
     for step in range(STARS + 1):
         left = open_places(places, parts)
-        pairs = saved(star_pairs(left, step) if step < STARS else crossing_pairs(left))
+        pairs = saved(star_pairs(left, step) if step < STARS else crossing_pairs(left, held.select("e", *BITS)))
         found = saved(verified(pairs, held))
         links = found if links is None else links.unionByName(found)
         if parts is None or not found.isEmpty():

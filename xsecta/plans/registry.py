@@ -223,7 +223,7 @@ add("rm3_ewma_cov", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d))), COV.for
 add("rm9_ewma_cov_normalised", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d), normalised=True)), COV.format("sum(a.w * a.ret * b.ret) / sum(a.w) * 1e4", "wd", "wd"), EWMA, "c")
 add("rm1_psd_repair", lambda s, d: solve.repaired(M.covariance(_rets(s, d))))
 add("rm4_ledoit_wolf", lambda s, d: solve.ledoit_wolf(_rets(s, d)))
-add("op1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
+add("qp1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
 
 
 GRID = """gk AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM rets)),

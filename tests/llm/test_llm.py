@@ -199,6 +199,22 @@ def test_rules_and_templates(spark):
     assert got[4] == ("", "", None, "allow") == got[5] and got[7][2:] == (None, "allow")
 
 
+def judged(spark, pages):
+    rows = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").repartition(3)).collect()
+    return {pages[r.page_id]: (r.verdict, r.template, round(r.purity, 9)) for r in rows}
+
+
+def test_templates_do_not_depend_on_the_number_of_pages(spark):
+    names = ["es", "fr", *"abcdefgh"]
+    pages = lambda n: [f"http://x.net/{s}/{i}" for s in names for i in range(n)]
+    small, large = judged(spark, pages(9)), judged(spark, pages(60))
+    assert all(large[u][0] == small[u][0] == "block" and large[u][1] == small[u][1] for u in small)
+    # a fixed section with most of the pages stays apart from the variable segments beside it
+    mixed = [f"http://y.net/blog/{i}" for i in range(300)] + [f"http://y.net/u{i}" for i in range(40)]
+    assert {t for _, t, _ in judged(spark, mixed).values()} == {"/blog/*", "/*"}
+    assert judged(spark, pages(4) + mixed) == judged(spark, 9 * (pages(4) + mixed))
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).limit(0)
     for f in (pii.find, secrets.find, jaccard.link, suffix.deduplicate, lambda d: bpe.encode_documents(d, bpe.default_tokenizer())):

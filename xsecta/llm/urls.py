@@ -11,8 +11,8 @@ from .common import saved
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Levels of the tree below the host; deeper segments don't distinguish templates.
 DEPTH = 4
-#: A level is variable if it has this many distinct segments and they are this share of its pages.
-DISTINCT, VARIETY = 8, 0.2
+#: A level is variable if its segments are as uncertain as this many equally frequent ones.
+DISTINCT = 8
 #: Standard errors within which a branch's share of blocked pages counts as its siblings'.
 ALIKE = 1.96
 #: Pseudo-pages of the prior in a template's purity, and the purity from which it is rejected.
@@ -40,39 +40,59 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def with_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Add template to pages(host, path, bad): the path with variable segments as * and like branches merged.
+def _spread(n: Column, n_log_n: Column) -> Column:
+    """How many equally frequent segments are as uncertain as those with n paths in all and that sum of n ln n."""
+    return F.exp(F.ln(n) - n_log_n / n)
 
-    Level by level below each host: if a prefix has many distinct next segments for its pages, they all become one
-    wildcard. Otherwise the labelled pages of each branch are compared with those of its siblings; branches whose shares
-    of blocked pages differ by less than ALIKE standard errors become one branch, written {}. Each level is two
-    aggregates with map-side sums over (host, prefix, segment), so a host of any size is fine.
+
+def with_templates(paths: DataFrame) -> DataFrame:
+    """host, path, bad and template of paths(host, path, bad): variable segments are * and like branches are merged.
+
+    Level by level below each host, DEPTH at most: if the next segments of a prefix are spread
+    like DISTINCT equally frequent ones or more, they all become one wildcard; otherwise those with a share below
+    1 / DISTINCT do so if they are spread like that among themselves. Both look at shares only, so the number of pages
+    doesn't matter. For the other segments, the labelled paths of each branch are compared with those of its siblings;
+    branches whose shares of blocked paths differ by less than ALIKE standard errors become one branch, written {}. Each
+    level is a few aggregates with map-side sums over (host, prefix, segment), so a host of any size is fine. A prefix
+    with one path needs no further level, so there are as many levels as segments that two paths of a host share, plus
+    one.
     """
-    segment = lambda k: F.coalesce(F.get(F.col("segments"), F.lit(k)), F.lit(""))
-    out = pages.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
-    for k in range(depth):
-        out = out.withColumn("seg", segment(k)).withColumn("more", F.size("segments") > k)
-        branches = out.filter("more").groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("blocked"))
-        levels = branches.groupBy("host", "template").agg(
-            F.sum("n").alias("all_n"), F.count("*").alias("kinds"), F.sum("known").alias("all_known"), F.sum("blocked").alias("all_blocked")
+    keys = ["host", "template"]
+    out = saved(paths.select("host", "path", "bad", F.lit("").alias("template"), F.slice(F.split(F.regexp_replace("path", "^/", ""), "/"), 1, DEPTH).alias("rest")))
+    done = None
+    while True:
+        left = out.filter(F.size("rest") > 0)
+        ended = out.filter(F.size("rest") == 0).drop("rest")
+        done = ended if done is None else done.unionByName(ended)
+        if left.isEmpty():
+            return done
+        left = left.withColumn("seg", F.get("rest", F.lit(0)))
+        n, log = F.col("n"), F.col("n") * F.ln("n")
+        branches = left.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("blocked"))
+        levels = branches.groupBy(keys).agg(
+            F.sum("n").alias("all_n"), F.sum(log).alias("all_log"), F.sum("known").alias("all_known"), F.sum("blocked").alias("all_blocked")
         )
+        levelled = branches.join(levels, keys)
+        rare = n * DISTINCT < F.col("all_n")
+        rares = levelled.filter(rare).groupBy(keys).agg(F.sum("n").alias("rare_n"), F.sum(log).alias("rare_log"))
         p = F.col("all_blocked") / F.col("all_known")
-        rest = F.col("all_known") - F.col("known")
-        gap = F.abs(F.try_divide(F.col("blocked"), F.col("known")) - F.try_divide(F.col("all_blocked") - F.col("blocked"), rest))
-        error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("known")) + F.try_divide(F.lit(1.0), rest)))
-        alike = (F.col("known") > 0) & (rest > 0) & (gap <= ALIKE * error)
-        name = (
-            F.when((F.col("kinds") >= DISTINCT) & (F.col("kinds") >= VARIETY * F.col("all_n")), "*")
-            .when(F.coalesce(alike, F.lit(False)), "{}")
-            .otherwise(F.col("seg"))
-        )
-        named = branches.join(levels, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
-        out = (
-            out.join(named, ["host", "template", "seg"], "left")
-            .withColumn("template", F.when(F.col("more"), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")))
-            .drop("seg", "more", "name")
+        others = F.col("all_known") - F.col("known")
+        gap = F.abs(F.try_divide(F.col("blocked"), F.col("known")) - F.try_divide(F.col("all_blocked") - F.col("blocked"), others))
+        error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("known")) + F.try_divide(F.lit(1.0), others)))
+        alike = (F.col("known") > 0) & (others > 0) & (gap <= ALIKE * error)
+        enough = DISTINCT - 1e-6  # sums of logarithms are not exact
+        variable = (_spread(F.col("all_n"), F.col("all_log")) >= enough) | (rare & (_spread(F.col("rare_n"), F.col("rare_log")) >= enough))
+        name = F.when(variable, "*").when(F.coalesce(alike, F.lit(False)), "{}").otherwise(F.col("seg"))
+        named = levelled.join(rares, keys, "left").select("host", "template", "seg", name.alias("name"), (F.col("all_n") == 1).alias("alone"))
+        tail = F.expr("slice(rest, 2, size(rest))")
+        step = left.join(named, ["host", "template", "seg"]).select(
+            "host",
+            "path",
+            "bad",
+            F.concat("template", F.lit("/"), F.when(F.col("alone"), F.array_join("rest", "/")).otherwise(F.col("name"))).alias("template"),
+            F.when(F.col("alone"), F.array().cast("array<string>")).otherwise(tail).alias("rest"),
         )
-    return out.drop("segments")
+        out = saved(step)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -80,13 +100,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     Pages that a rule fits are the labelled ones and keep the rule's verdict. Any other page gets its template's: block
     if (blocked + SMOOTHING * prior) / (labelled + SMOOTHING) reaches REJECT, with the blocked share of all labelled
-    pages as prior; a template without labelled pages is allowed. Null urls and urls without :// have an empty host and
-    path and no rule; repeated rows stay; other columns are ignored.
+    paths as prior; a template without labelled pages is allowed. Rules look at host and path only, so all pages of one
+    path have one label, and it counts once: templates and purities don't change when pages repeat. Null urls and urls
+    without :// have an empty host and path and no rule; repeated rows stay; other columns are ignored.
     """
     rule, verdict = rule_of(rules)
     known = with_host_path(pages.select("page_id", F.col("url").cast("string").alias("url")))
     known = known.withColumn("rule", rule).withColumn("said", verdict).withColumn("bad", F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("long")))
-    shaped = saved(with_templates(known.select("page_id", "host", "path", "rule", "said", "bad")))
+    known = saved(known.select("page_id", "host", "path", "rule", "said", "bad"))
+    shaped = saved(with_templates(known.select("host", "path", "bad").distinct()))
     whole = shaped.agg(F.avg("bad").alias("prior"))
     templates = shaped.groupBy("host", "template").agg(F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("blocked"))
     judged = templates.crossJoin(F.broadcast(whole)).select(
@@ -95,7 +117,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         ((F.col("blocked") + SMOOTHING * F.coalesce("prior", F.lit(0.0))) / (F.col("known") + SMOOTHING)).alias("purity"),
         (F.col("known") > 0).alias("seen"),
     )
-    out = shaped.join(judged, ["host", "template"])
+    out = known.join(shaped.drop("bad").join(judged, ["host", "template"]), ["host", "path"])
     own = F.when(F.col("seen") & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 

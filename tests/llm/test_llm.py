@@ -215,6 +215,15 @@ def test_templates_do_not_depend_on_the_number_of_pages(spark):
     assert judged(spark, pages(4) + mixed) == judged(spark, 9 * (pages(4) + mixed))
 
 
+def test_templates_reach_the_deepest_segment(spark):
+    rules = (("block", "a.org/a/b/c/d/ads/"), ("allow", "a.org/a/b/c/d/e/f/g/in/"))
+    pages = [f"http://a.org/a/b/c/d/{s}/{i}" for s in ("ads", "docs") for i in range(30)] + [f"http://a.org/a/b/c/d/e/f/g/{s}/{i}" for s in ("in", "out") for i in range(9)]
+    rows = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
+    got = {pages[r.page_id]: (r.verdict, r.template) for r in rows}
+    assert got["http://a.org/a/b/c/d/ads/1"] == ("block", "/a/b/c/d/ads/*") and got["http://a.org/a/b/c/d/docs/1"] == ("allow", "/a/b/c/d/docs/*")
+    assert got["http://a.org/a/b/c/d/e/f/g/out/3"][1] == "/a/b/c/d/e/f/g/out/*"
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).limit(0)
     for f in (pii.find, secrets.find, jaccard.link, suffix.deduplicate, lambda d: bpe.encode_documents(d, bpe.default_tokenizer())):

@@ -9,8 +9,6 @@ from .common import saved
 
 #: (verdict, rule) of the contract; a rule is host/path, the longest fitting one wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Levels of the tree below the host; deeper segments don't distinguish templates.
-DEPTH = 4
 #: A level is variable if its segments are as uncertain as this many equally frequent ones.
 DISTINCT = 8
 #: Standard errors within which a branch's share of blocked pages counts as its siblings'.
@@ -48,7 +46,7 @@ def _spread(n: Column, n_log_n: Column) -> Column:
 def with_templates(paths: DataFrame) -> DataFrame:
     """host, path, bad and template of paths(host, path, bad): variable segments are * and like branches are merged.
 
-    Level by level below each host, DEPTH at most: if the next segments of a prefix are spread
+    Level by level below each host, until no template has unsplit segments: if the next segments of a prefix are spread
     like DISTINCT equally frequent ones or more, they all become one wildcard; otherwise those with a share below
     1 / DISTINCT do so if they are spread like that among themselves. Both look at shares only, so the number of pages
     doesn't matter. For the other segments, the labelled paths of each branch are compared with those of its siblings;
@@ -58,7 +56,7 @@ def with_templates(paths: DataFrame) -> DataFrame:
     one.
     """
     keys = ["host", "template"]
-    out = saved(paths.select("host", "path", "bad", F.lit("").alias("template"), F.slice(F.split(F.regexp_replace("path", "^/", ""), "/"), 1, DEPTH).alias("rest")))
+    out = saved(paths.select("host", "path", "bad", F.lit("").alias("template"), F.split(F.regexp_replace("path", "^/", ""), "/").alias("rest")))
     done = None
     while True:
         left = out.filter(F.size("rest") > 0)

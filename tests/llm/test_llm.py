@@ -180,6 +180,16 @@ def test_nn_descent_recall(spark):
     assert set(got) == set(range(0, len(x), 50)) and hit >= 0.9 * 5 * len(got)
 
 
+def test_nn_descent_recall_without_clusters(spark):
+    x = np.random.default_rng(7).normal(size=(8000, 64)).astype(np.float32)
+    got = defaultdict(set)
+    for r in ann.neighbours(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>"), every=400).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = sum(len(got[i] & set(np.argsort(-(unit @ unit[i]))[1:6].tolist())) for i in range(0, len(x), 400))
+    assert hit >= 0.95 * 5 * 20
+
+
 def test_quality_generalises(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matrix, ranges, saved, whole_groups
+from .common import forget, matrix, ranges, saved, whole_groups
 
-#: Neighbours kept for each node; members of a local join; rounds of NN-descent.
-K, JOIN, ROUNDS = 16, 32, 3
-#: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins.
-PIVOTS, CELL, HOMES = 4096, 256, 2
-#: Candidates that a search keeps, and its steps at most.
-BEAM, STEPS = 48, 12
+#: Neighbours kept for each node: K at least, and WIDTH for each doubling of the table.
+K, WIDTH = 16, 1.5
+#: NN-descent ends when a round changes less than this share of the neighbour lists' entries.
+STILL = 0.01
+#: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins, bits of a row's place.
+PIVOTS, CELL, HOMES, BITS = 4096, 256, 2, 30
+#: Nodes that a search opens at first; they are doubled until less than this share of the answers changes.
+BEAM, SETTLED = 64, 0.02
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -37,14 +42,20 @@ def _unpack(column, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
 
 
-def _best(pairs: DataFrame, k: int = K) -> DataFrame:
-    """The k best (node, other, sim) of each node, once each; the window's limit also works before the shuffle."""
+def width(n: int) -> int:
+    """Neighbours kept for each of n nodes."""
+    return max(K, math.ceil(WIDTH * math.log2(max(n, 2))))
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best (node, other, sim, born) of each node, once each; the window's limit also works before the shuffle."""
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    return pairs.groupBy("node", "other").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    once = pairs.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
+    return once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def _local_joins(dims: int):
-    """Within each group of (hub, id, packed, least): (node, other, sim) for pairs that better the node's worst neighbour."""
+def _local_joins(dims: int, k: int):
+    """Within each group of (hub, id, packed, least): (node, other, sim) for a node's k best that better its worst neighbour."""
 
     def run(batches):
         import pyarrow as pa
@@ -57,67 +68,86 @@ def _local_joins(dims: int):
             for a, b in zip(edges[:-1], edges[1:]):
                 s = x[a:b] @ x[a:b].T
                 np.fill_diagonal(s, -2)
-                i, j = np.nonzero(s > least[a:b, None])
+                good = s > least[a:b, None]
+                if b - a > k:
+                    good &= s >= np.partition(s, -k, axis=1)[:, -k, None]
+                i, j = np.nonzero(good)
                 nodes.append(ids[a:b][i]), others.append(ids[a:b][j]), sims.append(s[i, j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(others), pa.int64()), pa.array(np.concatenate(sims).astype(np.float32))], ["node", "other", "sim"])
 
     return run
 
 
-def _join_groups(groups: DataFrame, dims: int) -> DataFrame:
+def _join_groups(groups: DataFrame, dims: int, k: int, step: int) -> DataFrame:
     grouped = groups.select("hub", "id", "packed", "least").repartition("hub").sortWithinPartitions("hub", "id")
-    return grouped.mapInArrow(_local_joins(dims), "node long, other long, sim float")
+    return grouped.mapInArrow(_local_joins(dims, k), "node long, other long, sim float").withColumn("born", F.lit(step))
 
 
-def build_graph(nodes: DataFrame, dims: int, rounds: int = ROUNDS, k: int = K) -> DataFrame:
+def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
     """(node, other, sim): about the k nearest of each node of nodes(id, packed).
 
-    The first graph comes from exact joins within small cells: each node joins the cells of its HOMES nearest pivots, and
-    a cell above CELL rows is dealt into several by hash. Each round then gives every node a hub with its neighbours and
-    some of the nodes that it is a neighbour of (JOIN in all), and all members of a hub are compared: neighbours of
-    neighbours. Only pairs that better what a node has are kept, so rounds ship few rows once the graph is good.
+    The first graph comes from exact joins within small cells: each node joins the cells of its HOMES nearest pivots. A
+    cell above CELL rows is halved by the sides of random planes through its pivot until its parts are small, so near rows
+    stay together in a table of any size; only parts that planes don't divide are dealt by hash. Each round then gives
+    every node a hub with its neighbours and some of the nodes that it is a neighbour of (2 k in all), and all members of
+    a hub are compared: neighbours of neighbours. Only pairs that better what a node has are kept, so rounds ship few
+    rows once the graph is good. Similarities only rise, so rounds end: when less than STILL of the entries are new.
     """
     spark = nodes.sparkSession
     n = nodes.count()
     pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, HOMES * n // CELL))).collect()
     held = spark.sparkContext.broadcast(np.frombuffer(b"".join(p.packed for p in pivots), np.float16).reshape(-1, dims).astype(np.float32))
 
+    planes = np.random.default_rng(0).normal(size=(BITS, dims)).astype(np.float32)
+
     def homes(batches):
         import pyarrow as pa
 
+        through = held.value @ planes.T
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_unpack(batch.column("packed"), dims) @ held.value.T), axis=1)[:, :HOMES]
-                w = near.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), w))), pa.array(near.ravel().astype(np.int64))], ["id", "cell"])
-
-    cells = saved(nodes.mapInArrow(homes, "id long, cell long"))
-    parts = cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / (2 * CELL)).alias("parts"))
-    hub = F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id", "cell"), F.col("parts"))
-    split = cells.join(F.broadcast(parts), "cell").select(hub.alias("hub"), "id")
-    graph = saved(_best(_join_groups(split.join(nodes, "id").withColumn("least", F.lit(-1.5).cast("float")), dims), k))
-    for step in range(rounds):
-        worst = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.5)).cast("float").alias("least")).withColumnRenamed("node", "id")
+                x = _unpack(batch.column("packed"), dims)
+                sims = x @ held.value.T
+                near = np.argsort(-sims, axis=1)[:, :HOMES]
+                sides = (x @ planes.T)[:, None] - np.take_along_axis(sims, near, 1)[..., None] * through[near] > 0
+                place = sides @ (1 << np.arange(BITS, dtype=np.int64))
+                ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(near.ravel().astype(np.int64)), pa.array(place.ravel())], ["id", "cell", "place"])
+
+    cells = saved(nodes.mapInArrow(homes, "id long, cell long, place long"))
+    halves = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("count") / (2 * CELL))))).cast("int")
+    sizes = cells.groupBy("cell").count().select("cell", halves.alias("halves"))
+    placed = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.expr("place & (shiftleft(1L, halves) - 1)"))
+    parts = placed.groupBy("cell", "part").count().select("cell", "part", F.ceil(F.col("count") / (2 * CELL)).alias("parts"))
+    hub = F.xxhash64("cell", "part", F.pmod(F.xxhash64("id", "cell"), F.col("parts")))
+    split = placed.join(parts, ["cell", "part"]).select(hub.alias("hub"), "id")
+    none = F.lit(-1.5).cast("float")
+    graph = saved(_best(_join_groups(split.join(nodes, "id").withColumn("least", none), dims, k, 0), k))
+    for step in itertools.count(1):
+        worst = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(none).alias("least")).withColumnRenamed("node", "id")
         both = graph.select(F.col("node").alias("hub"), F.col("other").alias("id"), F.lit(0).alias("back")).unionByName(
             graph.select(F.col("other").alias("hub"), F.col("node").alias("id"), F.lit(1).alias("back"))
         )
         chosen = Window.partitionBy("hub").orderBy("back", F.xxhash64("hub", "id", F.lit(step)), "id")
-        members = both.withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= JOIN).select("hub", "id")
-        known = nodes.join(worst, "id", "left").withColumn("least", F.coalesce("least", F.lit(-1.5).cast("float")))
-        found = _join_groups(members.distinct().join(known, "id"), dims)
-        graph = saved(_best(graph.unionByName(found), k))
-    return graph
+        members = both.withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= 2 * k).select("hub", "id")
+        known = nodes.join(worst, "id", "left").withColumn("least", F.coalesce("least", none))
+        found = _join_groups(members.distinct().join(known, "id"), dims, k, step)
+        before, graph = graph, saved(_best(graph.unionByName(found), k))
+        forget(before)
+        if graph.filter(F.col("born") == step).count() <= STILL * k * n:
+            return graph.drop("born")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k: int, want: int, beam: int = BEAM) -> DataFrame:
     """(query, node, sim): the nodes that greedy search from each query's own node finds.
 
-    All queries walk at once: each step opens the unopened nodes of every query's beam, joins their neighbours' vectors
-    and keeps the beam best. The search ends when no beam holds an unopened node, or after steps steps.
+    All queries walk at once: each step opens the unopened nodes among the beam best of every query, joins their
+    neighbours' vectors and keeps twice the beam. When no beam holds an unopened node, the beam is doubled and the walk
+    goes on, until doubling it changed less than SETTLED of the want best of all queries: the beam grows with the table.
     """
     links = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     order = Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other")
-    links = saved(links.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * K).drop("r"))
+    links = saved(links.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * k).drop("r"))
 
     def similar(batches):
         import pyarrow as pa
@@ -128,18 +158,27 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, be
 
     shape = "query long, node long, sim float, opened boolean"
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    walk = saved(queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened")))
+    walk = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened"))
+    walk = saved(walk.withColumn("r", F.lit(1)))
     targets = queries.select(F.col("id").alias("query"), F.col("packed").alias("target"))
-    for _ in range(steps):
-        opening = walk.filter(~F.col("opened"))
+    answers = lambda w: w.filter(F.col("r") <= want).select("query", "node")
+    held = None
+    while True:
+        opening = walk.filter(~F.col("opened") & (F.col("r") <= beam))
+        if opening.isEmpty():
+            if held is not None:
+                changed = answers(walk).join(answers(held), ["query", "node"], "left_anti").count()
+                forget(held)
+                if changed <= SETTLED * answers(walk).count():
+                    return walk.select("query", "node", "sim")
+            held, beam = saved(walk.filter(F.col("r") <= want)), 2 * beam
+            continue
         reached = opening.select("query", "node").join(links, "node").select("query", F.col("other").alias("node")).distinct()
         fresh = reached.join(walk.select("query", "node"), ["query", "node"], "left_anti")
         scored = fresh.join(nodes.select(F.col("id").alias("node"), "packed"), "node").join(targets, "query").select("query", "node", "packed", "target").mapInArrow(similar, shape)
-        merged = walk.withColumn("opened", F.lit(True)).unionByName(scored)
-        walk = saved(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"))
-        if walk.filter(~F.col("opened")).isEmpty():
-            break
-    return walk.select("query", "node", "sim")
+        merged = walk.withColumn("opened", F.col("opened") | (F.col("r") <= beam)).drop("r").unionByName(scored)
+        before, walk = walk, saved(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * beam))
+        forget(before)
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -174,8 +213,9 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     exact = saved(rows.join(heads, (rows["mark"] == heads["mark"]) & (rows["id"] == heads["head"]), "left_semi").groupBy("id").agg(F.first("vec").alias("vec")))
     nodes = saved(exact.mapInArrow(packed, "id long, packed binary"))
     asked = saved(rows.filter(F.col("id") % every == 0).join(heads, "mark").select(F.col("id").alias("query_id"), "head").distinct())
-    graph = build_graph(nodes, dims)
-    found = search(graph, nodes, nodes.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), dims)
+    wide = width(nodes.count())
+    graph = build_graph(nodes, dims, wide)
+    found = search(graph, nodes, saved(nodes.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi")), dims, wide, k + 1)
     # whole classes by exact score: at least k + 1 of the best classes stand for k + 1 rows
     a, b = exact.select(F.col("id").alias("query"), F.col("vec").alias("x")), exact.select(F.col("id").alias("node"), F.col("vec").alias("y"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, v: acc + v)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,35 +18,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables that are recorded at present, see recording().
+_recorded: list[str] | None = None
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, removed when the driver's JVM ends."""
+    """A new folder below spark.checkpoint.dir, removed when the driver's JVM ends.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster, where executors wouldn't see the
+    driver's, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="xsecta-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/xsecta-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where, files = _place(spark, path)
     files.mkdirs(where)
     files.deleteOnExit(where)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage ends here, and any executor can reread it."""
     spark = df.sparkSession
     path = scratch_dir(spark) + "/t"
+    if _recorded is not None:
+        _recorded.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what saved() wrote for df; nothing may read it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete what saved() wrote for the tables; nothing may read it any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where, files = _place(df.sparkSession, folder)
+            files.delete(where, True)
+
+
+@contextmanager
+def recording():
+    """The list of the paths that saved() writes within the block."""
+    global _recorded
+    outer, _recorded = _recorded, []
+    try:
+        yield _recorded
+    finally:
+        _recorded = outer
+
+
+def delete_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
+    """Delete the scratch tables of these paths that keep doesn't read; returns the others."""
+    read = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if paths else set()
+    stay = [p for p in paths if any(r.endswith(p.split("://")[-1]) for r in read)]
+    for path in set(paths) - set(stay):
+        where, files = _place(spark, path)
+        files.delete(where, True)
+    return stay
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; a join with more rows of it is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of links(a, b): component is the smallest node of each connected part.
 
     Each round hangs every node's larger neighbours on its smallest one (large star), then a node's smaller neighbours
     and itself on the smallest (small star). Both are a minimum per node and a join, so no node's neighbours are ever
-    collected; the number of rounds grows with the logarithm of the graph's diameter.
+    collected; rounds go on until one changes nothing, and their number grows with the logarithm of the graph's diameter.
     """
     edges = saved(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
@@ -25,6 +25,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         new = small.select(F.col("x").alias("a"), "b").unionByName(small.select("a", "b")).filter("a != b").distinct()
         new = saved(new)
         same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
+        forget(edges)
         edges = new
         if same:
             break

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ranges, row_chunks, saved, text_batch, text_of, word_hashes
+from .common import forget, mix64, ranges, row_chunks, saved, text_batch, text_of, word_hashes
 from .components import components
 
 #: Words of a shingle. Two sets are linked if NUM * intersection >= DEN * (sum of sizes), which is a similarity of 0.8.
@@ -63,8 +63,8 @@ def _frequent(batches):
 def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
     """The most frequent shingles, rarest first. Any shingle in more documents than REPORTED times the batches is counted."""
     counts = docs.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
-    return top["shingle"].to_numpy(np.int64)[::-1].view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return top.column("shingle").to_numpy()[::-1].view(np.uint64)
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -254,20 +254,27 @@ def crossing_pairs(places: DataFrame, bitmaps: DataFrame) -> DataFrame:
     intersection is at most the common tokens of both prefixes and what that set has beyond its prefix. Pairs go before
     they are made if one side's tokens (m) are too few for that, and after if the common ones are. Nor are they made if
     the sets' parity bitmaps (e and BITS) differ in too many bits: each such bit takes an element that one set lacks.
+
+    A token's largest component meets the others only, never itself. Pairs within the others are at most as many as
+    those between them and the largest one, so no token costs more than a few times its crossing pairs.
     """
     counted = places.groupBy("e").agg(F.count("*").alias("m"))
-    places = saved(places.join(counted, "e").join(bitmaps, "e"))
-    x, y = places.alias("x"), places.alias("y")
+    largest = places.groupBy("token", "part").count().groupBy("token").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
+    places = saved(places.join(counted, "e").join(bitmaps, "e").join(largest, "token").withColumn("main", F.col("part") == F.col("top")).drop("top"))
+    x, y = places.alias("x"), places.filter("not main").alias("y")
     overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
     need = DEN * (F.col("x.n") + F.col("y.n"))
     beyond = lambda a, b: F.greatest(F.col(a) - _prefix(F.col(a)), F.col(b) - _prefix(F.col(b)))
     enough = (F.col("x.whole") & F.col("y.whole")) | (NUM * (F.least("x.m", "y.m") + beyond("x.n", "y.n")) >= need)
     differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
     alike = NUM * differ <= (NUM - 2 * DEN) * (F.col("x.n") + F.col("y.n"))
-    crossing = enough & alike & (F.col("x.part") != F.col("y.part")) & (F.col("x.e") < F.col("y.e")) & _similar_size(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= need)
+    crossing = enough & alike & (F.col("x.part") != F.col("y.part")) & (F.col("x.main") | (F.col("x.e") < F.col("y.e"))) & _similar_size(F.col("x.n"), F.col("y.n")) & (NUM * overlap >= need)
     met = x.join(y, F.col("x.token") == F.col("y.token")).filter(crossing)
-    counted = met.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(
-        F.first("x.n").alias("n_a"), F.first("y.n").alias("n_b"), F.count("*").alias("c"), F.max(F.col("x.whole") & F.col("y.whole")).alias("whole")
+    # a pair may meet in one order where a side is of the largest component, and in the other elsewhere
+    flip = F.col("x.e") > F.col("y.e")
+    met = met.select(*[F.when(flip, F.col(f"{q}.{c}")).otherwise(F.col(f"{p}.{c}")).alias(f"{c}_{p}") for p, q in (("x", "y"), ("y", "x")) for c in ("e", "n")], (F.col("x.whole") & F.col("y.whole")).alias("whole"))
+    counted = met.groupBy(F.col("e_x").alias("a"), F.col("e_y").alias("b")).agg(
+        F.first("n_x").alias("n_a"), F.first("n_y").alias("n_b"), F.count("*").alias("c"), F.max("whole").alias("whole")
     )
     return counted.filter(F.col("whole") | (NUM * (F.col("c") + beyond("n_a", "n_b")) >= DEN * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
@@ -294,13 +301,14 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
     shape = ["doc_id", "n", "one", "two", "grp", "bucket", "payload"]
     first = saved(texts.mapInArrow(_prefixes(order, buckets, shape), "doc_id long, n long, one long, two long, grp long, bucket int, payload binary"))
-    members = first.filter(F.col("bucket").isNull()).select("doc_id", "n", "one", "two", "grp")
+    members = saved(first.filter(F.col("bucket").isNull()).select("doc_id", "n", "one", "two", "grp"))
     shared = first.filter(F.col("bucket").isNotNull()).select("bucket", "payload").groupBy("bucket").applyInArrow(_shared, "token long, grp long, n long, place long")
     sets = saved(members.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "one", "two").agg(F.min("doc_id").alias("e"), F.min("grp").alias("grp")))
     several = sets.groupBy("grp").count().filter("count > 1").select("grp")
     within = sets.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "e", "n", F.lit(1).cast("long").alias("place"), F.lit(True).alias("whole"))
     expanded = shared.select("token", "grp", "place").join(sets.select("grp", "e", "n"), "grp").select("token", "e", "n", "place", F.lit(False).alias("whole"))
     places = saved(expanded.unionByName(within))
+    forget(first)
     wanted = places.select("e").distinct().join(sets.select("e", "one", "two"), "e")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     picked = texts.join(near.select(F.col("e").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_marked(["e", "text", "one", "two", *BITS]), ", ".join(["e long, text string, one long, two long", *[f"{b} long" for b in BITS]]))
@@ -312,8 +320,10 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         pairs = saved(star_pairs(left, step) if step < STARS else crossing_pairs(left, held.select("e", *BITS)))
         found = saved(verified(pairs, held))
         links = found if links is None else links.unionByName(found)
+        forget(pairs)
         if parts is None or not found.isEmpty():
             parts = saved(components(links))
+    forget(places, held)
     named = sets.join(parts.withColumnRenamed("node", "e"), "e", "left").select("n", "one", "two", F.coalesce("component", "e").alias("component_id"))
     out = members.join(named, ["n", "one", "two"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of, word_count
+from .common import saved, small, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BINS = 1024
+#: Documents of one range of a source, about.
+BIN_ROWS = 50_000
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -33,35 +34,83 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFr
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, bins: int = BINS) -> DataFrame:
-    """How many words of each document a mix of all sources at target weights takes.
-
-    Documents get the hash-random key md5(doc_id). (source, leading bits of the key) are the ranges: keys are uniform,
-    so equal key ranges are equal shares, whatever the source's size, and need no sampling. Each range is sorted and
-    summed on its own; prefix sums over the ranges' totals give every document its place in its source, and the source
-    is cut at floor(target) words, after whole epochs if the target exceeds its size.
+def _placed(docs: DataFrame, weights, cap: int, bin_rows: int, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources' targets, the documents outside the bins that a cut falls into, and those inside them.
 
-    Returns doc_id, size, source_size, target, taken. Null or empty texts have size 0 and give 0 words; a null source is
-    a source of its own; rows with equal doc_id are taken as they come by size; an empty table gives no rows.
+    All documents have base, the words of whole epochs and, below the cut, of the last one. Those inside have upto, the
+    words before the document in its bin, and rest, what of the budget is left for the bin.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of()))))
     sized = saved(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), key.alias("key"))
+        docs.select(*keep, F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), key.alias("key"))
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .withColumn("bin", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * bins / 2**24).cast("int"))
+        .drop("source")
     )
-    by_bin = sized.groupBy("skey", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("here"))
-    totals = by_bin.groupBy("skey").agg(F.first("source").alias("source"), F.sum("here").alias("source_size"))
+    named = F.when(F.col("skey") != "n", F.expr("substring(skey, 2)"))
+    totals = saved(sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).withColumn("source", named))
+    targets = source_targets(totals, weights, cap).join(totals.select("skey", F.ceil(F.col("rows") / bin_rows).alias("bins")), "skey")
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = saved(targets.withColumn("epochs", epochs).withColumn("over", budget - epochs * F.col("source_size")))
+    place = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("bins"), 32).alias("bin")
+    binned = sized.join(small(targets.select("skey", "bins")), "skey").select(*sized.columns, place)
+    here = binned.groupBy("skey", "bin").agg(F.sum("size").alias("here"))
     upto = Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = by_bin.select("skey", "bin", F.coalesce(F.sum("here").over(upto), F.lit(0)).alias("offset"))
-    plan = ranges.join(source_targets(totals, weights, cap), "skey")
+    plan = here.withColumn("offset", F.coalesce(F.sum("here").over(upto), F.lit(0))).join(targets, "skey")
+    plan = saved(plan.withColumn("rest", F.col("over") - F.col("offset")).select("skey", "bin", "source_size", "target", "epochs", "rest", "here"))
+    known = binned.join(small(plan), ["skey", "bin"])
+    within = (F.col("rest") > 0) & (F.col("rest") < F.col("here"))
+    known = known.withColumn("within", within).withColumn("base", F.col("size") * (F.col("epochs") + ((F.col("rest") >= F.col("here")) & (F.col("here") > 0)).cast("long")))
     inside = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("upto", F.sum("size").over(inside) - F.col("size")).join(plan, ["skey", "bin"])
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("upto")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    cut = known.filter("within").withColumn("upto", F.sum("size").over(inside) - F.col("size"))
+    return targets, known.filter("not within"), cut
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """How many words of each document a mix of all sources at target weights takes.
+
+    Documents get the hash-random key md5(doc_id) (of the text, where doc_id is null). (source, leading bits of the key)
+    are the ranges, one for about bin_rows documents: keys are uniform, so equal key ranges are equal shares, whatever
+    the source's size, and need no sampling. Prefix sums over the ranges' totals give every range its place in its
+    source, and the source is cut at floor(target) words, after whole epochs if the target exceeds its size. Only the one
+    range of a source that the cut falls into is sorted and summed document by document.
+
+    Returns doc_id, size, source_size, target, taken. Null or empty texts have size 0 and give 0 words; a null source is
+    a source of its own; rows with equal doc_id are taken as they come by size; an empty table gives no rows; other
+    columns are ignored. Targets need one order of all sources, so their table, one row a source, is sorted in one task.
+    """
+    _, whole, cut = _placed(docs, weights, cap, bin_rows, ["doc_id"])
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto")))
+    columns = ["doc_id", "size", "source_size", "target"]
+    return whole.select(*columns, F.col("base").alias("taken")).unionByName(cut.select(*columns, (F.col("base") + extra).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, the one at a source's cut whole.
+
+    No text is shuffled: a row's number of copies follows from its own key and the place of its source's cut, one row a
+    source. Only rows that equal the row at the cut in key, doc_id and size are counted out, by all their columns.
+    Documents without words are not part of any mix.
+    """
+    targets, whole, cut = _placed(docs, weights, cap, bin_rows, ["doc_id"])
+    own = F.struct("key", F.col("doc_id").alias("id"), F.col("size").alias("words"))
+    last = cut.filter((F.col("size") > 0) & (F.col("rest") > F.col("upto"))).select("skey", own.alias("at"))
+    ends = last.groupBy("skey").agg(F.max("at").alias("at"))
+    ends = last.join(ends.withColumnRenamed("at", "top"), "skey").groupBy("skey").agg(F.max("top").alias("at"), F.sum((F.col("at") == F.col("top")).cast("long")).alias("more"))
+    done = whole.groupBy("skey").agg(F.max(F.when(F.col("base") > F.col("epochs") * F.col("size"), own)).alias("below"))
+    plans = small(saved(targets.select("skey", "epochs").join(done, "skey", "left").join(ends, "skey", "left")))
+    columns = [F.col(c) for c in docs.columns]
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of()))))
+    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", word_count(text_of()).alias("size"), key.alias("key"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"))
+    known = keyed.filter("size > 0").join(plans, "skey").withColumn("own", own)
+    edge = F.coalesce(F.col("own") == F.col("at"), F.lit(False))
+    extra = F.coalesce(F.col("own") <= F.coalesce("at", "below"), F.lit(False)).cast("long")
+    plain = known.filter(~edge).select("row", (F.col("epochs") + extra).alias("copies"))
+    tied = known.filter(edge).groupBy("skey", "row").agg(F.count("*").alias("n"), F.max("epochs").alias("epochs"), F.max("more").alias("more"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = tied.select("row", (F.col("epochs") * F.col("n") + F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - before))).alias("copies"))
+    copies = plain.unionByName(tied).filter("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op5_query(spark, sf_dir):
@@ -71,7 +120,7 @@ def op5_query(spark, sf_dir):
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))) AS k
   FROM documents),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS pos

@@ -156,31 +156,45 @@ def of_kind(i: int):
     return lambda s: s["kind"] == i
 
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict[int, tuple[float, list[tuple[float, float]]]]:
+def reliabilities(patterns, rounds: int = ROUNDS) -> dict[int, tuple[float, list[tuple[float, float]]]]:
     """By kind: the share of true spans, and each voter's rate of votes for true and for false spans.
 
-    patterns(kind, votes, n) has at most 3 ** 4 rows a kind, whatever the corpus. Each round is one aggregate over it:
+    patterns are rows (kind, votes, n), at most 3 ** 4 a kind whatever the corpus, so EM runs over them on the driver:
     posteriors of the patterns under the present rates, then the rates from the weighted counts.
     """
-    kinds = range(len(KINDS))
-    at = {k: (0.5, [(0.85, 0.3)] * len(VOTERS)) for k in kinds}
+    at = {k: (0.5, [(0.85, 0.3)] * len(VOTERS)) for k in range(len(KINDS))}
     for _ in range(rounds):
-        before, p = dict(at), posterior(at)
-        weigh = [F.sum(p * F.col("n")).alias("true"), F.sum("n").alias("all")]
-        for j in range(len(VOTERS)):
-            vote = F.substring("votes", j + 1, 1)
-            weigh += [F.sum(F.when(vote == "1", p * F.col("n"))).alias(f"tf{j}"), F.sum(F.when(vote != "-", p * F.col("n"))).alias(f"tn{j}")]
-            weigh += [F.sum(F.when(vote == "1", (1 - p) * F.col("n"))).alias(f"ff{j}"), F.sum(F.when(vote != "-", (1 - p) * F.col("n"))).alias(f"fn{j}")]
-        for r in patterns.groupBy("kind").agg(*weigh).collect():
-            rate = lambda a, b, prior: min(0.98, max(0.02, ((r[a] or 0.0) + 4 * prior) / ((r[b] or 0.0) + 4)))
-            share = min(0.98, max(0.02, (r["true"] + SMOOTH) / (r["all"] + 2 * SMOOTH)))
-            at[r.kind] = (share, [(rate(f"tf{j}", f"tn{j}", 0.85), rate(f"ff{j}", f"fn{j}", 0.3)) for j in range(len(VOTERS))])
+        before = dict(at)
+        for k in {r.kind for r in patterns}:
+            own = [(r.votes, r.n, probability(at, k, r.votes)) for r in patterns if r.kind == k]
+            rates = []
+            for j in range(len(VOTERS)):
+                said = [(votes_[j] == "1", n, p) for votes_, n, p in own if votes_[j] != "-"]
+                rate = lambda yes, all_, prior: min(0.98, max(0.02, (yes + 4 * prior) / (all_ + 4)))
+                rates.append(
+                    (
+                        rate(sum(n * p for yes, n, p in said if yes), sum(n * p for _, n, p in said), 0.85),
+                        rate(sum(n * (1 - p) for yes, n, p in said if yes), sum(n * (1 - p) for _, n, p in said), 0.3),
+                    )
+                )
+            share = (sum(n * p for _, n, p in own) + SMOOTH) / (sum(n for _, n, _ in own) + 2 * SMOOTH)
+            at[k] = (min(0.98, max(0.02, share)), rates)
         flat = lambda d: [x for share, rates in d.values() for x in (share, *chain(*rates))]
         if max(abs(x - y) for x, y in zip(flat(before), flat(at))) < STILL:
             break
     return at
 
 
+def probability(at, kind: int, votes_: str) -> float:
+    """posterior() of one kind and one string of votes."""
+    share, rates = at[kind]
+    odds = math.log(share / (1 - share))
+    for vote, (a, b) in zip(votes_, rates):
+        if vote != "-":
+            odds += math.log(a / b) if vote == "1" else math.log((1 - a) / (1 - b))
+    return 1 / (1 + math.exp(-odds))
+
+
 def as_map(d: dict[str, float]) -> Column:
     """A map column from one literal: its values aren't part of the generated code, so all rounds share one class."""
     return F.from_json(F.lit(json.dumps(d)), "map<string,double>")
@@ -206,20 +220,25 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     One pass over the texts finds the candidates with their votes and features. EM over the counts of vote patterns
     estimates how reliable each labeler is for each kind; its posteriors are the labels of a naive Bayes classifier of
-    span features, which is again one aggregate. Base matches always stay; spans of the further kinds are added where
-    classifier and posterior both reach ADD_FROM. Null texts are empty; repeated rows stay; other columns are ignored.
+    span features, which is again one aggregate with a bounded number of rows. Base matches always stay; spans of the
+    further kinds are added where classifier and posterior both reach ADD_FROM. Null texts are empty; repeated rows stay;
+    an empty table gives no rows; other columns are ignored.
     """
     keep = keep or ["doc_id"]
     table = saved(candidates(docs, keep))
     spans = table.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.traits")
-    patterns = saved(spans.groupBy("kind", "votes").agg(F.count("*").cast("double").alias("n")))
+    patterns = spans.groupBy("kind", "votes").agg(F.count("*").cast("double").alias("n")).orderBy("kind", "votes").collect()
     at = reliabilities(patterns)
-    soft = spans.withColumn("p", posterior(at)).select("p", F.explode("traits").alias("trait")).groupBy("trait").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
-    whole = spans.withColumn("p", posterior(at)).groupBy("kind").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).collect()
-    total = {r.kind: (r.a, r.b) for r in whole}
-    weights = {r.trait: math.log((r.a + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][0] + 2 * SMOOTH)) - math.log((r.b + SMOOTH) / (total[KINDS.index(r.trait.split("|")[0])][1] + 2 * SMOOTH)) for r in soft.filter(F.split("trait", r"\|")[0].isin(ADDED)).collect()}
-    start = {k: math.log((a + SMOOTH) / (b + SMOOTH)) for k, (a, b) in total.items()}
+    total = {k: (0.0, 0.0) for k in range(len(KINDS))}
+    for r in patterns:
+        p = probability(at, r.kind, r.votes)
+        total[r.kind] = (total[r.kind][0] + p * r.n, total[r.kind][1] + (1 - p) * r.n)
     own = {KINDS.index(k): at[KINDS.index(k)] for k in ADDED}
+    soft = spans.filter(F.col("kind") >= len(BASE)).withColumn("p", posterior(own)).select("kind", "p", F.explode("traits").alias("trait"))
+    soft = soft.groupBy("kind", "trait").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).collect()
+    share = lambda x, k, i: math.log((x + SMOOTH) / (total[k][i] + 2 * SMOOTH))
+    weights = {r.trait: share(r.a, r.kind, 0) - share(r.b, r.kind, 1) for r in soft}
+    start = {k: math.log((a + SMOOTH) / (b + SMOOTH)) for k, (a, b) in total.items() if a + b}
 
     def added(s):
         if not weights:

@@ -1,56 +1,99 @@
-"""Corpus pipeline: quality, near duplicates, personal data, source mix and tokens, in this order."""
+"""Corpus pipeline: quality, near duplicates, personal data, source mix and tokens, in this order.
+
+Each stage gets what the one before it kept and reads nothing of that stage's scratch tables, so they are deleted when it
+starts. All stages take null texts as empty, keep extra columns as they are and give no rows for an empty table.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
-from xsecta.llm import bpe, jaccard, mixing, pii, quality
+from xsecta.llm import bpe, common, jaccard, mixing, pii, quality
+
+#: Scratch tables of earlier stages.
+_left: list[str] = []
+
+
+def stage(function):
+    """A stage that deletes the scratch tables of earlier ones and notes its own."""
+
+    @wraps(function)
+    def run_stage(spark, docs, sf_dir):
+        _left[:] = common.delete_paths(spark, _left, docs)
+        with common.recording() as made:
+            out = function(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
 
+    return run_stage
 
+
+@stage
 def keep_good(spark, docs, sf_dir):
-    """Documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    """Documents that the quality classifier doesn't reject (score of at least 0.3).
+
+    The score depends on the text alone, so repeated rows, and rows with a null or repeated doc_id, stay or go alike; an
+    empty text has the score of the bias.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, docs.columns).filter(F.col("score") >= 0.3).select(*docs.columns)
 
 
+@stage
 def one_of_each(spark, docs, sf_dir):
-    """Of documents that are linked by 0.8 or more of their word shingles, the one of the smallest doc_id."""
-    found = jaccard.saved(jaccard.link(docs))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.isEmpty():  # rows of one doc_id: one of them stays
-        single = kept.join(repeated, "doc_id", "left_anti")
-        kept = single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
-
-
+    """Of documents that are linked by 0.8 or more of their word shingles, the one of the smallest doc_id.
+
+    If a doc_id is null or repeated, rows are told apart by a hash of doc_id and text instead, and of each group the row
+    with the smallest hash stays; rows that are equal in both are one document, of which the first by its other columns
+    stays. Rows without words are linked with nothing and all stay.
+    """
+    unclear = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
+    number = F.xxhash64("doc_id", common.text_of()) if unclear else F.col("doc_id").cast("long")
+    numbered = docs.select(number.alias("__number"), F.struct(*docs.columns).alias("__row"))
+    found = common.saved(jaccard.link(docs.select(number.alias("doc_id"), "text")))
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__number")).distinct()
+    kept = numbered.join(common.small(gone, jaccard.BROADCAST), "__number", "left_anti")
+    if unclear:
+        twice = common.small(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__number")), jaccard.BROADCAST)
+        first = kept.join(twice, "__number", "left_semi").groupBy("__number").agg(F.min("__row").alias("__row"))
+        kept = kept.join(twice, "__number", "left_anti").unionByName(first)
+    return kept.select("__row.*")
+
+
+@stage
 def redacted(spark, docs, sf_dir):
-    """All documents, with each span of personal data replaced by its kind."""
+    """All documents, with each span of personal data replaced by its kind; a null text stays null."""
     return pii.redact(docs, docs.columns)
 
 
+@stage
 def mixed(spark, docs, sf_dir):
-    """Each document as often as the mix of sources takes it; the one at a source's cut is taken whole."""
-    plan = mixing.mix(docs).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Each document as often as the mix of sources takes it; the one at a source's cut is taken whole.
+
+    Documents without words are part of no mix and go. A null source is one of its own; a row with a null or repeated
+    doc_id counts for itself, and rows that are equal in all columns are taken as often as their number says.
+    """
+    return mixing.mixed(docs)
 
 
+@stage
 def encoded(spark, docs, sf_dir):
-    """n_tokens and digests of the ids and of the decoded text of each document."""
+    """n_tokens and digests of the ids and of the decoded text of each document, one row for each row."""
     return bpe.encode_documents(docs, bpe.default_tokenizer())
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", one_of_each), ("pii", redacted), ("mixing", mixed), ("bpe", encoded)]
 
-#: The stages' models, searches and tokens have no SQL form.
+#: The stages' models, searches and tokens have no SQL form; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = jaccard.saved(stage(spark, docs, sf_dir))
+    for i, (_, function) in enumerate(STAGES):
+        before, docs = docs, common.saved(function(spark, docs, sf_dir))
+        if i:
+            common.forget(before)
     return docs

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +28,14 @@ def shrunk(x: np.ndarray) -> np.ndarray:
     return (1 - rho) * s + rho * mean * np.eye(p)
 
 
-def _coordinates(names, s: np.ndarray) -> pd.DataFrame:
+def _coordinates(names, s: np.ndarray):
+    import pandas as pd
+
     i, j = np.tril_indices(len(names))
     return pd.DataFrame({"ticker_i": np.array(names)[j], "ticker_j": np.array(names)[i], "c": s[i, j]})
 
 
-def _dense(g: pd.DataFrame):
+def _dense(g):
     names = sorted(set(g.ticker_i) | set(g.ticker_j))
     at = {t: k for k, t in enumerate(names)}
     s = np.zeros((len(names), len(names)))
@@ -49,7 +50,7 @@ SHAPE = "ticker_i string, ticker_j string, c double"
 def repaired(cov: DataFrame) -> DataFrame:
     """cov(ticker_i, ticker_j, c) with its eigenvalues floored: N x N by nature, one group."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(g):
         names, s = _dense(g)
         return _coordinates(names, eigen_floor(s))
 
@@ -57,7 +58,7 @@ def repaired(cov: DataFrame) -> DataFrame:
 
 
 def ledoit_wolf(rets: DataFrame) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(g):
         wide = g.pivot(index="date", columns="ticker", values="ret").sort_index(axis=1).fillna(0.0)
         return _coordinates(list(wide.columns), eigen_floor(shrunk(wide.to_numpy())))
 
@@ -171,17 +172,24 @@ def covariance_of(x: np.ndarray, model: str, decay: float = 0.97) -> np.ndarray:
 
 
 def optimal_weights(alpha: DataFrame, cov: DataFrame, betas: DataFrame) -> DataFrame:
-    """date, ticker, weight: one solve for each date, in parallel; the N x N inputs are the same for all and broadcast."""
-    packed = cov.agg(F.collect_list(F.struct("ticker_i", "ticker_j", "c")).alias("cov"))
+    """date, ticker, weight: one solve for each date, in parallel; the N x N matrix is the same for all.
+
+    It is collected once and broadcast to the workers as one array of 8 N^2 bytes, which a solver needs whole anyway; names
+    that it doesn't hold are left out.
+    """
+    spark = alpha.sparkSession
+    every, s = _dense(cov.select("ticker_i", "ticker_j", "c").toPandas())
+    held = spark.sparkContext.broadcast(({t: k for k, t in enumerate(every)}, s))
     rows = alpha.join(F.broadcast(betas), "ticker", "left").withColumn("beta", F.coalesce("beta", F.lit(0.0)))
-    dates = rows.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight", "beta"))).alias("names")).crossJoin(F.broadcast(packed))
+    dates = rows.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight", "beta"))).alias("names"))
 
     def run(parts):
+        import pandas as pd
+
+        at, s = held.value
         for part in parts:
             out = []
-            for date, names, pairs in zip(part["date"], part["names"], part["cov"]):
-                every, s = _dense(pd.DataFrame(list(pairs)))
-                at = {t: k for k, t in enumerate(every)}
+            for date, names in zip(part["date"], part["names"]):
                 use = [x for x in names if x["ticker"] in at]
                 k = [at[x["ticker"]] for x in use]
                 w = mean_variance(np.array([x["weight"] for x in use]), eigen_floor(s[np.ix_(k, k)]), np.array([x["beta"] for x in use]))

@@ -4,7 +4,6 @@ which needs the weights before, runs in order."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +117,9 @@ def model_scores(feats: DataFrame, train: DataFrame, cfg: Settings) -> DataFrame
     then = then.select([F.col(c).alias(c) for c in then.columns])
     kind = np.float32 if cfg.gp_float32 else np.float64
 
-    def run(rows: pd.DataFrame, current: pd.DataFrame) -> pd.DataFrame:
+    def run(rows, current):
+        import pandas as pd
+
         if rows.empty or current.empty:
             return pd.DataFrame({"date": [], "ticker": [], "mu": []})
         rows = rows.sort_values(["date", "ticker"])
@@ -249,6 +250,8 @@ def solved(rets: DataFrame, market: DataFrame, px: DataFrame, sectors: DataFrame
     problems = ready.select("date", "next_date", "k").join(names, "date").join(history, "date").withColumn("cool", F.explode(F.array(F.lit(False), F.lit(True))))
 
     def run(parts):
+        import pandas as pd
+
         for part in parts:
             out = []
             for p in part.itertuples(index=False):
@@ -290,6 +293,8 @@ def traded(solutions: DataFrame, variants: dict[str, Settings]) -> DataFrame:
     """
 
     def run(parts):
+        import pandas as pd
+
         name, w, pnl, plain = None, {}, [], None
         for part in parts:
             out = []

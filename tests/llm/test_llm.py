@@ -234,6 +234,99 @@ def test_templates_reach_the_deepest_segment(spark):
     assert got["http://a.org/a/b/c/d/e/f/g/out/3"][1] == "/a/b/c/d/e/f/g/out/*"
 
 
+def brute_judge(pages, rules=urls.RULES):
+    """verdict, template and purity of each page, by recursion over its host's paths."""
+    said = {}
+    for u in set(pages):
+        host, _, path = u.partition("://")[2].partition("/")
+        path = "/" + path if u.partition("://")[2] != host else ""
+        fit = max((r for r in rules if (host == r[1].partition("/")[0] or host.endswith("." + r[1].partition("/")[0])) and path.startswith("/" + r[1].partition("/")[2])), key=lambda r: len(r[1]), default=None)
+        said[u] = (host, path, None if fit is None else int(fit[0] == "block"))
+    paths = {(h, p): b for h, p, b in said.values()}
+    known = [b for b in paths.values() if b is not None]
+    out = {}
+
+    def spread(ns):
+        total = sum(ns)
+        return math.exp(math.log(total) - sum(n * math.log(n) for n in ns) / total) if ns else 0
+
+    def shape(rest):
+        if len(rest) < 2:
+            return "none"
+        s = rest[1]
+        return "empty" if s == "" else "number" if re.fullmatch("[0-9]+", s) else "word" if s.isalpha() else "file" if re.search(r"\.[A-Za-z0-9]+$", s) else "other"
+
+    def split(rows, template, up):
+        ended = [r for r in rows if not r[1]]
+        if ended:
+            own = [b for _, _, b in ended if b is not None]
+            for key, _, _ in ended:
+                out[key] = (template, (sum(own) + 4 * up) / (len(own) + 4))
+        rows = [r for r in rows if r[1]]
+        if len(rows) == 1:
+            key, rest, b = rows[0]
+            own = [] if b is None else [b]
+            out[key] = (template + "/" + "/".join(rest), (sum(own) + 4 * up) / (len(own) + 4))
+            return
+        if not rows:
+            return
+        by = defaultdict(list)
+        for r in rows:
+            by[r[1][0]].append(r)
+        label = lambda rs: [b for _, _, b in rs if b is not None]
+        every, total = label(rows), len(rows)
+        up = (sum(every) + 4 * up) / (len(every) + 4)
+        rare = {s for s, rs in by.items() if len(rs) * 8 < total}
+        wild, rare_wild = spread([len(x) for x in by.values()]) >= 8 - 1e-6, spread([len(by[s]) for s in rare]) >= 8 - 1e-6
+        same = set()
+        for s, rs in by.items():
+            a, b = label(rs), len(every) - len(label(rs))
+            if a and b and len(rs) >= total / 64:
+                p = sum(every) / len(every)
+                if abs(sum(a) / len(a) - (sum(every) - sum(a)) / b) <= 1.96 * math.sqrt(p * (1 - p) * (1 / len(a) + 1 / b)):
+                    same.add(s)
+        pool = [r for s in same for r in by[s]]
+        share = lambda rs: {k: v / len(rs) for k, v in Counter(shape(r[1]) for r in rs).items()}
+        groups = defaultdict(list)
+        for s, rs in by.items():
+            mean = len(pool) / len(same) if same else 0
+            near = len(same) >= 2 and not label(rs) and len(rs) >= total / 64 and mean / 4 <= len(rs) <= 4 * mean
+            near = near and sum(abs(share(rs).get(k, 0) - share(pool).get(k, 0)) for k in urls.SHAPES) / 2 <= 0.2
+            name = "*" if wild or (s in rare and rare_wild) else "{}" if len(same) >= 2 and (s in same or near) else s
+            groups[name] += [(key, rest[1:], b) for key, rest, b in rs]
+        for name, rs in groups.items():
+            split(rs, template + "/" + name, up)
+
+    for host in {h for h, _ in paths}:
+        split([((h, p), re.sub("^/", "", p).split("/"), b) for (h, p), b in paths.items() if h == host], "", sum(known) / len(known) if known else 0.0)
+    return {u: ("block" if b == 1 or (b is None and out[h, p][1] >= 0.8) else "allow", out[h, p][0], round(out[h, p][1], 9)) for u, (h, p, b) in said.items()}
+
+
+def planted():
+    rng = random.Random(8)
+    pages = [f"http://a.bad.net/{s}/{rng.randint(0, 9999)}" for s in ("es", "fr", "de", "it") for _ in range(20)] + [f"http://a.bad.net/en/{rng.randint(0, 9999)}" for _ in range(200)]
+    pages += [f"http://few.net/{s}/{i}" for s in ("es", "en") for i in range(3)] + [f"http://new.org/{s}/{i}.html" for s in ("en", "de") for i in range(20)]
+    pages += [f"http://shop.com/{s}/{i}/item" for s in ("en", "de") for i in range(15)] + [f"http://shop.com/cart{i}/" for i in range(20)]
+    pages += [f"http://mix.example.com/{s}/{x}" for s in ("en", "de") for x in ("a", "b", "c/d", "e/f/g", "")] + ["http://bare.net", "http://bare.net/", "http://long.net/" + "x/" * 300 + "y"]
+    return pages + pages[:50]
+
+
+def test_templates_equal_brute_force(spark):
+    got, pages = judged(spark, planted()), planted()
+    assert got == brute_judge(pages)
+    own = {u: got[u][0] for u in pages}
+    assert all(own[u] == "block" for u in pages if "a.bad.net/de" in u or "a.bad.net/it" in u)  # merged with es and fr
+    assert all(got[u][1] == "/{}/*" for u in pages if "a.bad.net/de" in u) and all(got[u][1] == "/en/*" for u in pages if "a.bad.net/en" in u)
+    assert all(own[u] == "block" for u in pages if "a.bad.net/en" in u)  # by the purity of its host
+    assert all(own[u] == "allow" for u in pages if "few.net/en" in u or "new.org" in u or "bare.net" in u)
+
+
+def test_templates_by_salted_join(spark, monkeypatch):
+    want = judged(spark, planted())
+    monkeypatch.setattr(urls, "BROADCAST", 0)
+    assert judged(spark, planted()) == want
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).limit(0)
     for f in (pii.find, secrets.find, jaccard.link, suffix.deduplicate, lambda d: bpe.encode_documents(d, bpe.default_tokenizer())):

@@ -97,7 +97,7 @@ def text_of(column: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than the contracts' white space."""
     flat = F.translate(text, BLANKS, " " * len(BLANKS))
-    return F.size(F.filter(F.split(flat, " "), lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(F.split(flat, " "), "")).cast("long")
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ from .common import saved, small, text_of, word_count
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents of one range of a source, about.
-BIN_ROWS = 50_000
+BIN_ROWS = 4_000
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -34,15 +35,19 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFr
     )
 
 
+def document_key():
+    """The hash-random key of a row: of doc_id, or of the text where that is null."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of()))))
+
+
 def _placed(docs: DataFrame, weights, cap: int, bin_rows: int, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sources' targets, the documents outside the bins that a cut falls into, and those inside them.
 
     All documents have base, the words of whole epochs and, below the cut, of the last one. Those inside have upto, the
     words before the document in its bin, and rest, what of the budget is left for the bin.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of()))))
     sized = saved(
-        docs.select(*keep, F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), key.alias("key"))
+        docs.select(*keep, F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), document_key().alias("key"))
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
         .drop("source")
     )
@@ -89,25 +94,24 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, bin_rows: int = BIN_
     """The mix itself: each row of docs as often as mix() takes it, the one at a source's cut whole.
 
     No text is shuffled: a row's number of copies follows from its own key and the place of its source's cut, one row a
-    source. Only rows that equal the row at the cut in key, doc_id and size are counted out, by all their columns.
+    source. Only rows with the key and doc_id of the row at the cut are counted out, by size and all their columns.
     Documents without words are not part of any mix.
     """
     targets, whole, cut = _placed(docs, weights, cap, bin_rows, ["doc_id"])
-    own = F.struct("key", F.col("doc_id").alias("id"), F.col("size").alias("words"))
+    own = F.struct("key", F.col("doc_id").alias("id"))
     last = cut.filter((F.col("size") > 0) & (F.col("rest") > F.col("upto"))).select("skey", own.alias("at"))
-    ends = last.groupBy("skey").agg(F.max("at").alias("at"))
-    ends = last.join(ends.withColumnRenamed("at", "top"), "skey").groupBy("skey").agg(F.max("top").alias("at"), F.sum((F.col("at") == F.col("top")).cast("long")).alias("more"))
+    ends = last.groupBy("skey").agg(F.max("at").alias("top"))
+    ends = last.join(ends, "skey").groupBy("skey").agg(F.max("top").alias("at"), F.sum((F.col("at") == F.col("top")).cast("long")).alias("more"))
     done = whole.groupBy("skey").agg(F.max(F.when(F.col("base") > F.col("epochs") * F.col("size"), own)).alias("below"))
     plans = small(saved(targets.select("skey", "epochs").join(done, "skey", "left").join(ends, "skey", "left")))
-    columns = [F.col(c) for c in docs.columns]
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text_of()))))
-    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", word_count(text_of()).alias("size"), key.alias("key"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"))
-    known = keyed.filter("size > 0").join(plans, "skey").withColumn("own", own)
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_of().alias("text"), document_key().alias("key"), source.alias("skey"))
+    known = keyed.filter(F.col("text").rlike(WORD)).join(plans, "skey").withColumn("own", own)
     edge = F.coalesce(F.col("own") == F.col("at"), F.lit(False))
     extra = F.coalesce(F.col("own") <= F.coalesce("at", "below"), F.lit(False)).cast("long")
     plain = known.filter(~edge).select("row", (F.col("epochs") + extra).alias("copies"))
-    tied = known.filter(edge).groupBy("skey", "row").agg(F.count("*").alias("n"), F.max("epochs").alias("epochs"), F.max("more").alias("more"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = known.filter(edge).groupBy("skey", "row").agg(F.count("*").alias("n"), F.max("epochs").alias("epochs"), F.max("more").alias("more"), F.max(word_count(F.col("text"))).alias("size"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("size", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tied = tied.select("row", (F.col("epochs") * F.col("n") + F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - before))).alias("copies"))
     copies = plain.unionByName(tied).filter("copies > 0")
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -166,6 +166,26 @@ def test_mtree_is_exact(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 400.0])
+def test_mtree_on_any_rows(spark, scale, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 60)
+    monkeypatch.setattr(mtree, "LEAF", 8)
+    monkeypatch.setattr(mtree, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 12)) * scale * rng.choice([0.01, 1], (400, 1)), 3)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 200, 400), x)]  # repeated ids, with other and equal vectors
+    rows += [rows[0], rows[0], (50, x[7].tolist()[:5]), (None, x[8].tolist()), (100, [0.0] * 12)]
+    clash = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, key string, root int").repartition(4)
+    got = Counter(tuple(r) for r in mtree.top_k(clash).collect())
+    kept = [(i, np.floor(256 * np.pad(np.array(v), (0, 12 - len(v)))).astype(int)) for i, v in rows if i is not None]
+    want = Counter()
+    for a, (i, q) in enumerate(kept):
+        if i % 50 == 0:
+            others = sorted((-int(q @ p), j) for b, (j, p) in enumerate(kept) if a != b)[:5]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(others))
+    assert got == want
+
+
 def test_nn_descent_recall(spark):
     x, rows = vectors()
     got = defaultdict(list)

@@ -90,6 +90,11 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_sample(column, share: float):
+    """Whether a row is in a sample of that share, by the 63-bit hash of column: a share of any size keeps its meaning."""
+    return F.xxhash64(column).bitwiseAND(2**63 - 1) < F.lit(min(2**63 - 1, int(share * 2**63)))
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

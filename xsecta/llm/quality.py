@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_chunks, text_batch, text_of, word_hashes
+from .common import in_sample, mix64, row_chunks, small, text_batch, text_of, word_hashes
 
-#: Bits of the feature hash; the weights are 2**BITS floats (1 MB), whatever the corpus.
-BITS = 18
+#: Bits of the feature hash; the weights are 2**BITS floats (4 MB), whatever the corpus.
+BITS = 20
 #: Labelled rows to train on at most (in expectation: rows are chosen by hash).
 SAMPLE = 8_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 0.0005, 0.01
@@ -20,12 +20,12 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 0.0005, 0.01
 def _families(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed n-grams of each word position, by family, and the offsets of each row's words.
 
-    Families: the word; the word's form (capitals, last two bytes if they aren't letters, whether it repeats the word
-    before); two neighbouring forms; three neighbouring forms.
+    Families: one, two and three neighbouring words; and, as further features, one, two and three neighbouring forms. A
+    word's form is its capitals, its last two bytes if they aren't letters, and whether it repeats the word before.
     """
     words, at = word_hashes(data, offsets)
     if len(words) == 0:
-        return [words] * 4, at
+        return [words] * 6, at
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -45,10 +45,13 @@ def _families(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
     form = mix64(end | (caps << np.uint64(16)) | (again.astype(np.uint64) << np.uint64(20)))
     row_end = np.repeat(at[1:], np.diff(at))
     place = np.arange(len(words))
-    pair = np.where(place + 1 < row_end, np.roll(form, -1), np.uint64(1))
-    third = np.where(place + 2 < row_end, np.roll(form, -2), np.uint64(2))
-    two = mix64(form * np.uint64(3) + pair)
-    return [words, form + np.uint64(11), two, mix64(two * np.uint64(5) + third)], at
+    out = []
+    for unit in (words, form + np.uint64(11)):
+        following = np.where(place + 1 < row_end, np.roll(unit, -1), np.uint64(1))
+        third = np.where(place + 2 < row_end, np.roll(unit, -2), np.uint64(2))
+        two = mix64(unit * np.uint64(3) + following)
+        out += [unit, two, mix64(two * np.uint64(5) + third)]
+    return out, at
 
 
 def _slots(family: np.ndarray, k: int) -> np.ndarray:
@@ -133,13 +136,14 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on the labelled rows outside the held-out fold, chosen by the hash of doc_id so that about sample of them stay.
 
-    The chosen labels are at most a few times sample rows and are broadcast to the documents, so no text is shuffled;
-    one task fits the model on sparse rows. Without any labelled row all scores are 0.5.
+    The chosen labels are broadcast to the documents, so no text is shuffled, unless repeated doc_ids make them more than 20
+    times sample; one task fits the model on sparse rows. Labels that are null or not 0 or 1, and rows without doc_id,
+    are left out; a repeated doc_id counts as often as its labels and texts meet. Without any labelled row, or with empty
+    tables, all scores are 0.5.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out()).select("doc_id", F.col(label).cast("double").alias("y"))
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = known.filter(in_sample("doc_id", min(1.0, sample / max(1, known.count()))))
+    texts = docs.select("doc_id", text_of().alias("text")).join(small(chosen, 20 * sample), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sparse = texts.mapInArrow(_sparse, f"doc_id {kind}, y double, slots binary, shares binary")
     ordered = sparse.withColumn("order", F.xxhash64("doc_id", F.lit(5)))

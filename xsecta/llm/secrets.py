@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import in_sample, saved, text_of
 from .spans import listed, with_matches
 
 BASE = ["assign", "access", "hex"]
@@ -17,15 +17,19 @@ PATTERNS = {
     "assign": r"(?=[pPsStTaA])((?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?(" + VALUE + ")",
     "access": r"AKIA[A-Z0-9]{14,}+",
     "hex": r"[0-9a-f]{16,}+",
-    # a longer run of key characters with a digit, from the run's start
-    "random": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+",
+    # a run of key characters, from the run's start
+    "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+",
 }
 #: Characters of the models, in the order of their indexes.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 #: Labelled strings of each kind that the models are fitted on at most (in expectation), and documents they come from.
 SAMPLE, SAMPLE_DOCS = 20_000, 4_000
-#: Added to each count of a transition; mean log-likelihood ratio a character from which a string counts as random.
-SMOOTH, RATIO = 0.5, 0.7
+#: Classes of labelled strings: ordinary identifiers, and random strings by alphabet, as most of them are hexadecimal.
+ORDINARY, CLASSES = 0, {"hex": 1, "assign": 2, "access": 2}
+#: Transitions that a character's prior stands for, and added to each character's count in it.
+PRIOR, SMOOTH = 8.0, 0.5
+#: Log-likelihood ratio from which a string counts as random: on average over its transitions, and in all.
+RATIO, LEAST = 0.7, 9.0
 
 
 def transitions(samples: DataFrame) -> DataFrame:
@@ -36,31 +40,40 @@ def transitions(samples: DataFrame) -> DataFrame:
     return pairs.groupBy("label", "two").agg(F.count("*").alias("n")).filter(inside)
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, random over ordinary, by 68 * index(first) + index(second).
+def train(samples: DataFrame) -> dict[int, list[float]]:
+    """By class of random strings: the log-likelihood ratio of each transition, random over ordinary.
 
-    samples(value, label): label 1 are random strings, label 0 ordinary identifiers. Both models are first-order Markov
-    chains with additive smoothing; without samples all ratios are 0.
+    samples(value, label): label ORDINARY are identifiers, other labels classes of random strings; transitions are in the
+    order 68 * index(first) + index(second). All models are first-order Markov chains; a transition's probability is that
+    of its counts and of PRIOR further ones dealt by how frequent the second character is in its class, so a class with few
+    samples is told by its characters. A class without any sample is uniform.
     """
     size = len(ALPHABET)
-    counts = {0: [SMOOTH] * size**2, 1: [SMOOTH] * size**2}
+    labels = [ORDINARY, *sorted(set(CLASSES.values()))]
+    counts = {k: [[0.0] * size for _ in range(size)] for k in labels}
     for r in transitions(samples).collect():
         if r.label in counts:
-            counts[r.label][ALPHABET.index(r.two[0]) * size + ALPHABET.index(r.two[1])] += r.n
-    out = []
-    for a in range(size):
-        row = {k: counts[k][a * size : (a + 1) * size] for k in counts}
-        out += [math.log(x / sum(row[1])) - math.log(y / sum(row[0])) for x, y in zip(row[1], row[0])]
-    return out
+            counts[r.label][ALPHABET.index(r.two[0])][ALPHABET.index(r.two[1])] += r.n
+    logs = {}
+    for k, rows in counts.items():
+        single = [SMOOTH + sum(row[b] for row in rows) for b in range(size)]
+        whole = sum(single)
+        logs[k] = [math.log((row[b] + PRIOR * single[b] / whole) / (sum(row) + PRIOR)) for row in rows for b in range(size)]
+    return {k: [x - y for x, y in zip(logs[k], logs[ORDINARY])] for k in labels if k != ORDINARY}
 
 
 def ratio(value: Column, weights: list[float]) -> Column:
-    """Mean log-likelihood ratio a transition of value."""
+    """Sum of log-likelihood ratios over the transitions of value."""
     table = F.expr("cast(split('" + ",".join(f"{w:.5f}" for w in weights) + "', ',') as array<double>)")
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
     step = lambda total, i: total + F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0))
-    n = F.length(value) - 1
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), step) / n).otherwise(0.0)
+    return F.when(F.length(value) > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), F.lit(0.0), step)).otherwise(0.0)
+
+
+def is_random(value: Column, weights: dict[int, list[float]]) -> Column:
+    """Whether the best of the classes beats ordinary identifiers by RATIO a transition and by LEAST in all."""
+    best = F.greatest(*[ratio(value, w) for w in weights.values()], F.lit(float("-inf")))
+    return (best >= RATIO * (F.length(value) - 1)) & (best >= LEAST)
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -70,7 +83,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
         "assign": text.rlike(r"(?i)(?=[pstak])(passw|secret|token|api_?key)"),
         "access": F.contains(text, F.lit("AKIA")),
         "hex": text.rlike("[0-9a-f]{16}"),
-        "random": text.rlike("[0-9]"),
+        "random": text.rlike(r"[A-Za-z0-9+/_=-]{12}"),
     }
     df = docs.select(*keep, text_of().alias("__text"))
     for kind in KINDS:
@@ -89,32 +102,37 @@ def of_kind(i: int):
 
 
 def labelled(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """samples(value, label) from the corpus itself: what the base patterns find is random, words with a letter first ordinary.
+    """samples(value, label) from the corpus itself.
 
-    Both are chosen by hash, so that about SAMPLE strings and the words of about SAMPLE_DOCS documents stay.
+    What the base patterns find is random, by class; words that start with a letter are ordinary, those with digits if they
+    are shorter than any candidate. Random strings are chosen by hash so that about SAMPLE of each class stay, ordinary ones
+    from about SAMPLE_DOCS documents.
     """
-    part = lambda column, n, most: F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
-    hits = found.select(F.explode("found").alias("s")).select("s.kind", "s.value").filter(F.col("kind") < len(BASE))
-    n_hits, n_docs = hits.count(), found.count()
-    random = hits.filter(part("value", n_hits, SAMPLE)).select("value", F.lit(1).alias("label"))
-    some = docs.select("doc_id", text_of().alias("text")).filter(part("doc_id", n_docs, SAMPLE_DOCS))
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z][A-Za-z_-]{3,}+(?![0-9+/=.])"), F.lit(0))).alias("value"))
-    return random.unionByName(words.withColumn("label", F.lit(0)))
-
-
-def find(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (BASE.index(k), v)])
+    hits = found.select(F.explode("found").alias("s")).filter(F.col("s.kind") < len(BASE)).select("s.value", F.element_at(kinds, F.col("s.kind")).alias("label"))
+    share = {r.label: min(1.0, SAMPLE / r["count"]) for r in hits.groupBy("label").count().collect()}
+    chosen = F.lit(False)
+    for k, v in share.items():
+        chosen = chosen | ((F.col("label") == k) & in_sample("value", v))
+    some = docs.select("doc_id", text_of().alias("text")).filter(in_sample(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), min(1.0, SAMPLE_DOCS / max(1, found.count()))))
+    word = r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z][A-Za-z_-]{3,}+|[A-Za-z][A-Za-z0-9_-]{3,10}+)(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])"
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("value"))
+    return hits.filter(chosen).unionByName(words.withColumn("label", F.lit(ORDINARY)))
+
+
+def find(docs: DataFrame, weights: dict[int, list[float]] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (kind:start:end, joined) and spans of every whole text.
 
-    One pass finds the base matches and longer runs of key characters with a digit. A run that overlaps no base match is
-    a secret of kind random if its mean log-likelihood ratio reaches RATIO. weights come from train(); if they are not
-    given, the models are trained on labelled() samples of docs. Null texts are empty; repeated rows stay; other columns
-    are ignored.
+    One pass finds the base matches and all runs of 12 key characters or more. A run that isn't part of a base match is a
+    secret of kind random if is_random() says so; it may hold a base match. weights come from train(); if they are not
+    given, the models are trained on labelled() samples of docs. Null texts are empty; repeated rows stay; an empty table
+    gives no rows; other columns are ignored.
     """
     table = saved(candidates(docs, ["doc_id"]))
     weights = weights or train(labelled(docs, table))
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("found", lambda s: (s["kind"] == len(BASE)) & (ratio(s["value"], weights) >= RATIO) & apart(s))
+    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    more = F.filter("found", lambda s: (s["kind"] == len(BASE)) & apart(s) & is_random(s["value"], weights))
     table = table.withColumn("base", base).withColumn("more", F.when(F.exists("found", lambda s: s["kind"] == len(BASE)), more).otherwise(F.slice("found", 1, 0)))
     counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return table.select("doc_id", *counts, listed(F.col("base"), KINDS).alias("base"), listed(F.concat("base", "more"), KINDS).alias("spans"))

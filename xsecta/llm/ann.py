@@ -187,18 +187,18 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Equal vectors form one class with its smallest id as node, so the graph isn't filled by copies; the k + 1 smallest
     ids of each class are enough for any answer. Every class is in the graph, which holds 16-bit unit vectors; what the
     search finds is scored anew on the original vectors in double precision. Ties go to the smaller vec_id; a repeated
-    vec_id counts once with each of its vectors; vectors of another length than the most frequent one, or null, zero or
-    holding null or non-finite components, take no part; an empty table gives no rows.
+    vec_id counts once with each of its vectors; a shorter vector counts as padded with zeros; vectors that are null, zero
+    or hold null or non-finite components and rows without vec_id take no part; other columns are ignored; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors).withColumn("class", F.xxhash64("vec")).withColumn("mark", F.md5(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string")))))
-    rows = saved(rows)
-    dims = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    rows = usable(vectors)
+    dims = rows.agg(F.max(F.size("vec"))).first()[0]
     if dims is None:
         return spark.createDataFrame([], shape)
-    dims = dims.dims
-    rows = rows.filter(F.size("vec") == dims)
+    rows = rows.select("id", F.concat("vec", F.array_repeat(F.lit(0.0), dims - F.size("vec"))).alias("vec"))
+    rows = saved(rows.withColumn("mark", F.md5(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))))))
     first = Window.partitionBy("mark").orderBy("id")
     small = rows.select("mark", "id").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     heads = small.groupBy("mark").agg(F.min("id").alias("head"))

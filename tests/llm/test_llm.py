@@ -63,6 +63,39 @@ def test_pii_and_secrets_hold_all_base_matches(spark):
         assert b[i].base == listed(brute_secrets(t or ""), secrets.KINDS)
 
 
+def test_classifier_adds_spans_of_further_kinds(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(200):
+        made = [f"write to {name()} [at] {name()} [dot] com now", f"call ({digits(3)}) {digits(3)}-{digits(4)} today", f"mail {name()}@{name()}.com", "nothing at all"][i % 4]
+        rows.append((i, f"some words {made} and more"))
+    got = {r.doc_id: r for r in pii.find(docs(spark, rows)).collect()}
+    added = lambda i, kind: any(s.startswith(kind) for s in got[i].spans.split(","))
+    assert sum(added(i, "email_like") for i in range(0, 200, 4)) >= 45 and sum(added(i, "number_like") for i in range(1, 200, 4)) >= 45
+    assert all(got[i].spans == got[i].base != "" for i in range(2, 200, 4)) and all(got[i].spans == "" for i in range(3, 200, 4))
+
+
+def test_markov_models_find_planted_keys(spark):
+    rng = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    vowels = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 7)))
+    rows, where = [], {}
+    for i in range(240):
+        text = " ".join(vowels() for _ in range(40)) + f" file_{i} {vowels()}{vowels()}-{vowels()}"
+        if i % 4 == 1:
+            text += " deploy " + "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        if i % 4 == 0:
+            key = "".join(rng.choice(signs) for _ in range(16 + i % 3 * 8))
+            text += f" uses {key} here"
+            where[i] = f"random:{text.index(key)}:{text.index(key) + len(key)}"
+        rows.append((i, text))
+    got = {r.doc_id: r for r in secrets.find(docs(spark, rows + rows[:1])).collect()}
+    assert sum(where[i] in got[i].spans.split(",") for i in where) >= 0.95 * len(where)
+    assert all(got[i].spans == got[i].base for i in got if i not in where)
+
+
 def test_redaction_removes_spans(spark):
     got = pii.redact(docs(spark, [(1, "mail a@b.co now"), (2, "clean"), (3, None)]), ["doc_id", "text"]).collect()
     assert {r.doc_id: r.text for r in got} == {1: "mail [EMAIL] now", 2: "clean", 3: None}
@@ -221,6 +254,49 @@ def test_quality_generalises(spark):
     assert sum((got[i] >= 0.3) == (i % 3 != 0) for i in held) >= 0.95 * len(held) and 0 <= got[999] <= 1
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 6)), None) for _ in range(60)]
+    rows = [(i, rng.random(len(i))) for i, _ in rows]
+    labels = [float(rng.random() < 0.5) for _ in rows]
+    z, n, weight = defaultdict(float), defaultdict(float), {}
+    bias = 1 << quality.BITS
+    for _ in range(quality.EPOCHS):
+        for (index, value), y in zip(rows, labels):
+            x = dict(zip([*index.tolist(), bias], [*value.tolist(), 1.0]))
+            w = {i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i], n[i] = z[i] + g - s * w[i], n[i] + g * g
+    weight = {i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2) for i in z}
+    model = quality.ftrl(rows, labels)
+    assert abs(model.bias - weight.pop(bias)) < 1e-9 and all(abs(model.weights[i] - w) < 1e-6 for i, w in weight.items()) and np.count_nonzero(model.weights) <= len(weight)
+
+
+def test_scores_are_dot_products_of_word_n_grams():
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.1)
+    texts = ["one two three Two three", "", "word", "a b " * 50_000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = model.scores(data, offsets)
+    for score, (index, share) in zip(got, quality.features(data, offsets)):
+        assert abs(score - 1 / (1 + np.exp(-(model.weights[index] @ share + 0.1)))) < 1e-5
+    orders = [quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"red blue green", b"green blue red")]
+    a, b = (set(next(f)[0].tolist()) for f in orders)
+    assert a != b and a & b
+
+
+def test_quality_without_rows_or_labels(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    rows = docs(spark, [(1, "a b"), (1, "a b"), (None, "c")])
+    assert {r.score for r in quality.score(rows, quality.train(rows, labels)).collect()} == {0.5}
+    some = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    assert quality.score(rows.limit(0), quality.train(rows.limit(0), some)).count() == 0
+
+
 def test_rules_and_templates(spark):
     rows = [(1, "https://WWW.Example.com/en/1?x"), (2, "http://example.com/en/2"), (3, "http://a.net/es/3#f"), (4, None), (5, "no host"), (6, "http://net/fr/"), (7, "http://b.org/x")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

@@ -14,11 +14,11 @@ from .common import forget, matrix, ranges, saved, whole_groups
 #: Neighbours kept for each node: K at least, and WIDTH for each doubling of the table.
 K, WIDTH = 16, 1.5
 #: NN-descent ends when a round changes less than this share of the neighbour lists' entries.
-STILL = 0.01
+STILL = 0.05
 #: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins, bits of a row's place.
 PIVOTS, CELL, HOMES, BITS = 4096, 256, 2, 30
 #: Nodes that a search opens at first; they are doubled until less than this share of the answers changes.
-BEAM, SETTLED = 64, 0.02
+BEAM, SETTLED = 16, 0.02
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,20 +55,21 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _local_joins(dims: int, k: int):
-    """Within each group of (hub, id, packed, least): (node, other, sim) for a node's k best that better its worst neighbour."""
+    """(node, other, sim) of pairs within each group of (hub, id, packed, least, fresh), one of the two being fresh: for each
+    node the k best that better its worst neighbour."""
 
     def run(batches):
         import pyarrow as pa
 
         for table in whole_groups(batches, "hub"):
-            hub, ids, least = table.column("hub").to_numpy(), table.column("id").to_numpy(), table.column("least").to_numpy()
+            hub, ids, least, fresh = (table.column(c).to_numpy() for c in ("hub", "id", "least", "fresh"))
             x = _unpack(table.column("packed"), dims)
             edges = ranges(hub)
             nodes, others, sims = [], [], []
             for a, b in zip(edges[:-1], edges[1:]):
                 s = x[a:b] @ x[a:b].T
                 np.fill_diagonal(s, -2)
-                good = s > least[a:b, None]
+                good = (s > least[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
                 if b - a > k:
                     good &= s >= np.partition(s, -k, axis=1)[:, -k, None]
                 i, j = np.nonzero(good)
@@ -79,7 +80,7 @@ def _local_joins(dims: int, k: int):
 
 
 def _join_groups(groups: DataFrame, dims: int, k: int, step: int) -> DataFrame:
-    grouped = groups.select("hub", "id", "packed", "least").repartition("hub").sortWithinPartitions("hub", "id")
+    grouped = groups.select("hub", "id", "packed", "least", "fresh").repartition("hub").sortWithinPartitions("hub", "id")
     return grouped.mapInArrow(_local_joins(dims, k), "node long, other long, sim float").withColumn("born", F.lit(step))
 
 
@@ -89,9 +90,9 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
     The first graph comes from exact joins within small cells: each node joins the cells of its HOMES nearest pivots. A
     cell above CELL rows is halved by the sides of random planes through its pivot until its parts are small, so near rows
     stay together in a table of any size; only parts that planes don't divide are dealt by hash. Each round then gives
-    every node a hub with its neighbours and some of the nodes that it is a neighbour of (2 k in all), and all members of
-    a hub are compared: neighbours of neighbours. Only pairs that better what a node has are kept, so rounds ship few
-    rows once the graph is good. Similarities only rise, so rounds end: when less than STILL of the entries are new.
+    every node a hub with its neighbours and some of the nodes that it is a neighbour of (2 k in all), and members of a hub
+    are compared if one of them came in the round before: neighbours of neighbours. Hubs without a new member are left out,
+    and only pairs that better what a node has are kept, so rounds ship few rows once the graph is good. Similarities only rise, so rounds end: when less than STILL of the entries are new.
     """
     spark = nodes.sparkSession
     n = nodes.count()
@@ -122,16 +123,18 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
     hub = F.xxhash64("cell", "part", F.pmod(F.xxhash64("id", "cell"), F.col("parts")))
     split = placed.join(parts, ["cell", "part"]).select(hub.alias("hub"), "id")
     none = F.lit(-1.5).cast("float")
-    graph = saved(_best(_join_groups(split.join(nodes, "id").withColumn("least", none), dims, k, 0), k))
+    graph = saved(_best(_join_groups(split.join(nodes, "id").withColumn("least", none).withColumn("fresh", F.lit(True)), dims, k, 0), k))
     for step in itertools.count(1):
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(none).alias("least")).withColumnRenamed("node", "id")
-        both = graph.select(F.col("node").alias("hub"), F.col("other").alias("id"), F.lit(0).alias("back")).unionByName(
-            graph.select(F.col("other").alias("hub"), F.col("node").alias("id"), F.lit(1).alias("back"))
+        fresh = F.col("born") == step - 1
+        both = graph.select(F.col("node").alias("hub"), F.col("other").alias("id"), F.lit(0).alias("back"), fresh.alias("fresh")).unionByName(
+            graph.select(F.col("other").alias("hub"), F.col("node").alias("id"), F.lit(1).alias("back"), fresh.alias("fresh"))
         )
-        chosen = Window.partitionBy("hub").orderBy("back", F.xxhash64("hub", "id", F.lit(step)), "id")
-        members = both.withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= 2 * k).select("hub", "id")
+        chosen = Window.partitionBy("hub").orderBy("back", F.desc("fresh"), F.xxhash64("hub", "id", F.lit(step)), "id")
+        members = both.withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= 2 * k).groupBy("hub", "id").agg(F.max("fresh").alias("fresh"))
+        members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("hub"))).filter("any").drop("any")
         known = nodes.join(worst, "id", "left").withColumn("least", F.coalesce("least", none))
-        found = _join_groups(members.distinct().join(known, "id"), dims, k, step)
+        found = _join_groups(members.join(known, "id"), dims, k, step)
         before, graph = graph, saved(_best(graph.unionByName(found), k))
         forget(before)
         if graph.filter(F.col("born") == step).count() <= STILL * k * n:

@@ -82,3 +82,19 @@ def blend(primary: DataFrame, secondary: DataFrame, weight: float = 0.3, k: floa
     b = z_pop(z_pop(both, "p", "zp"), "s", "zs").withColumn("b", F.col("zp") + weight * F.col("zs"))
     b = z_pop(b, "b", "zb").select("date", "ticker", clip(F.col("zb"), k).alias("score"))
     return primary.select("date", "ticker").join(b, ["date", "ticker"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def reversion_from_prices(prices: DataFrame, market: DataFrame | None = None, rows: int = 3, vol_rows: int = 60, beta_rows: int = 252) -> DataFrame:
+    """(date, ticker, score): mean reversion of returns, less their market part if market(date, mkt_ret) is given, on all
+    dates of prices; 0 where there is none."""
+    rets = returns(prices)
+    resid = rets.select("date", "ticker", F.col("ret").alias("resid")) if market is None else residuals(rets, market, beta_rows)
+    scores = mean_reversion(resid, rows, vol_rows)
+    return prices.select("date", "ticker").join(scores, ["date", "ticker"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def overlay(alpha: DataFrame, reversion: DataFrame, weight: float = 0.1) -> DataFrame:
+    """(1 - weight) * alpha + weight * reversion on the dates and names of alpha(date, ticker, score); missing ones are 0."""
+    both = alpha.select("date", "ticker", "score").join(reversion.select("date", "ticker", F.col("score").alias("other")), ["date", "ticker"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return both.select("date", "ticker", ((1 - weight) * zero("score") + weight * zero("other")).alias("score"))

@@ -259,7 +259,6 @@ MR_GRID += ", ".join(
     for n in (3, 5, 10)
 )
 add("ag8_reversion_grid", lambda s, d: R.reversion_grid(_resid(s, d), _rets(s, d)), " UNION ALL ".join(f"SELECT {n} AS mr_lookback, {h} AS fwd_days, {SUMMARY} FROM j{n}_{h}" for n in (3, 5, 10) for h in (1, 3, 5)), MR_GRID, "ic_mean ic_std ic_ir_ann hit_rate_pct")
-add("ag8_blend_grid", lambda s, d: R.blend_grid(_signal(s, d), S.mean_reversion(_resid(s, d)), S.ahead(_rets(s, d), 1)))
 add("cal1_rebalance_grid", _grid, "SELECT * FROM grid", GRID)
 add("cal6_weekly_signal", lambda s, d: R.last_of_period(_signal(s, d), W.period_end(F.col("date"), "W-FRI")), "SELECT CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE) AS period_end, ticker, max_by(score, date) AS score FROM signal GROUP BY 1, 2", SIGNAL, "score")
 add(
@@ -339,3 +338,30 @@ add("bt12_ab_curves", lambda s, d: W.curves(_run(s, d, _AB)))
 
 def flagship(spark, sf_dir):
     return QUERIES["ag4_ic_summary"](spark, sf_dir)
+
+add("k3b_robust_z_std", lambda s, d: K.robust_z(_rets(s, d), "ret", "score", method="std").select("date", "ticker", "score"), "SELECT date, ticker, CASE WHEN count(ret) OVER w < 3 THEN 0.0 ELSE z - avg(z) OVER w END AS score FROM (SELECT date, ticker, ret, greatest(-3.0, least(3.0, (ret - avg(ret) OVER v) / (stddev_pop(ret) OVER v + 1e-12))) AS z FROM rets WINDOW v AS (PARTITION BY date)) WINDOW w AS (PARTITION BY date)", rounds="score")
+add("sg8_reversion_from_prices", lambda s, d: S.reversion_from_prices(P.prices(s, d), P.market(s, d), 5), "SELECT p.date, p.ticker, coalesce(m.score, 0) AS score FROM prices p LEFT JOIN mrs m ON m.date = p.date AND m.ticker = p.ticker", MR, "score")
+add("sg9_overlay", lambda s, d: S.overlay(_signal(s, d), S.mean_reversion(_resid(s, d))), "SELECT s.date, s.ticker, 0.9 * coalesce(s.score, 0) + 0.1 * coalesce(m.score, 0) AS score FROM signal s LEFT JOIN mrs m ON m.date = s.date AND m.ticker = s.ticker", SIGNAL + ", " + MR, "score")
+add(
+    "cal4_panel_periods", lambda s, d: R.panel_periods(_rets(s, d), _pnl(s, d)),
+    "SELECT period_end, ticker, coalesce(c / nullif(lag(c) OVER (PARTITION BY ticker ORDER BY period_end), 0) - 1, 0) AS ret FROM (SELECT period_end, ticker, max_by(c, g.date) AS c FROM pnl JOIN (SELECT date, ticker, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS c FROM rets) g ON g.date <= period_end GROUP BY 1, 2)", BOOK, "ret",
+)
+add("cal7_weekly_returns", lambda s, d: _rets(s, d).groupBy(W.period_end(F.col("date"), "W-FRI").alias("period_end"), "ticker").agg((F.product(1 + F.col("ret")) - 1).alias("period_ret")), "SELECT CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE) AS period_end, ticker, product(1 + ret) - 1 AS period_ret FROM rets GROUP BY 1, 2", rounds="period_ret")
+add("cal8_monthly_exposure", lambda s, d: R.monthly_exposure(M.sector_exposure(_weights(s, d), P.sectors(s, d))), "SELECT strftime(date, '%Y-%m') AS month, sector, avg(exposure) AS exposure FROM (SELECT date, sector, sum(weight) AS exposure FROM weights w JOIN sectors s ON s.ticker = w.ticker GROUP BY 1, 2) GROUP BY 1, 2", BOOK, "exposure")
+add("pl6_heatmap", lambda s, d: R.heatmap(M.sector_exposure(_weights(s, d), P.sectors(s, d)), "date", "sector", "exposure", [f"S{i}" for i in range(5)]), "SELECT date, " + ", ".join(f"avg(CASE WHEN sector = 'S{i}' THEN exposure END) AS S{i}" for i in range(5)) + " FROM (SELECT date, sector, sum(weight) AS exposure FROM weights w JOIN sectors s ON s.ticker = w.ticker GROUP BY 1, 2) GROUP BY 1", BOOK, "S0 S1 S2 S3 S4")
+add("pl1_to_equity", lambda s, d: R.to_equity(_pnl(s, d), "pnl", "period_end"), "SELECT period_end, product(1 + pnl) OVER (ORDER BY period_end) AS pnl FROM pnl", BOOK, "pnl")
+
+
+def _blended(weight: float, name: str) -> str:
+    return f"""{name} AS (SELECT s.date, s.ticker, coalesce(b.score, 0) AS score FROM signal s LEFT JOIN (SELECT date, ticker, greatest(-3.0, least(3.0, {_zpop('b')})) AS score FROM (
+  SELECT date, ticker, zp + {weight} * zs AS b FROM (SELECT date, ticker, {_zpop('p')} AS zp, {_zpop('s')} AS zs FROM (
+    SELECT a.date, a.ticker, a.score AS p, c.score AS s FROM signal a JOIN mrs c ON c.date = a.date AND c.ticker = a.ticker)))) b ON b.date = s.date AND b.ticker = s.ticker)"""
+
+
+BLENDS = (0.0, 0.1, 0.2, 0.3, 0.5)
+BLEND_GRID = SIGNAL + ", " + MR + ", nx AS (SELECT date, ticker, lead(ret) OVER (PARTITION BY ticker ORDER BY date) AS fwd_ret FROM rets), "
+BLEND_GRID += ", ".join(_blended(w, f"b{i}") + ", " + _ic_of(f"b{i}", "nx", f"bi{i}") for i, w in enumerate(BLENDS))
+add(
+    "ag8_blend_grid", lambda s, d: R.blend_grid(_signal(s, d), S.mean_reversion(_resid(s, d)), S.ahead(_rets(s, d), 1)),
+    " UNION ALL ".join(f"SELECT CAST({w} AS DOUBLE) AS mr_weight, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann FROM bi{i}" for i, w in enumerate(BLENDS)), BLEND_GRID, "ic_ir_ann",
+)

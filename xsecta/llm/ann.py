@@ -17,8 +17,10 @@ K, WIDTH = 16, 1.5
 STILL = 0.05
 #: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins, bits of a row's place.
 PIVOTS, CELL, HOMES, BITS = 4096, 256, 2, 30
-#: Nodes that a search opens at first; they are doubled until less than this share of the answers changes.
+#: Beam of a search at first; it is doubled until less than this share of the answers changes.
 BEAM, SETTLED = 16, 0.02
+#: Nodes that a query opens in one step at most, so a step's rows grow with the queries and not with the beam.
+OPEN = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -144,9 +146,10 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k: int, want: int, beam: int = BEAM) -> DataFrame:
     """(query, node, sim): the nodes that greedy search from each query's own node finds.
 
-    All queries walk at once: each step opens the unopened nodes among the beam best of every query, joins their
-    neighbours' vectors and keeps twice the beam. When no beam holds an unopened node, the beam is doubled and the walk
-    goes on, until doubling it changed less than SETTLED of the want best of all queries: the beam grows with the table.
+    All queries walk at once: each step opens the OPEN best unopened nodes among the beam best of every query, scores
+    their neighbours and keeps twice the beam. When less than SETTLED of the beams' nodes are unopened, the beam is
+    doubled and the walk goes on, what is left being opened then, until doubling it changed less than SETTLED of the want
+    best of all queries: the beam grows with the table.
     """
     links = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     order = Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other")
@@ -157,31 +160,29 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k:
 
         for batch in batches:
             sims = (_unpack(batch.column("packed"), dims) * _unpack(batch.column("target"), dims)).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(sims.astype(np.float32)), pa.array(np.zeros(len(sims), bool))], ["query", "node", "sim", "opened"])
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(sims.astype(np.float32))], ["query", "node", "sim"])
 
-    shape = "query long, node long, sim float, opened boolean"
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    walk = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened"))
-    walk = saved(walk.withColumn("r", F.lit(1)))
+    walk = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened"), F.lit(0).alias("born"))
+    walk = saved(walk.withColumns({"r": F.lit(1), "turn": F.lit(1)}))
     targets = queries.select(F.col("id").alias("query"), F.col("packed").alias("target"))
-    answers = lambda w: w.filter(F.col("r") <= want).select("query", "node")
-    held = None
-    while True:
-        opening = walk.filter(~F.col("opened") & (F.col("r") <= beam))
-        if opening.isEmpty():
-            if held is not None:
-                changed = answers(walk).join(answers(held), ["query", "node"], "left_anti").count()
-                forget(held)
-                if changed <= SETTLED * answers(walk).count():
-                    return walk.select("query", "node", "sim")
-            held, beam = saved(walk.filter(F.col("r") <= want)), 2 * beam
-            continue
-        reached = opening.select("query", "node").join(links, "node").select("query", F.col("other").alias("node")).distinct()
-        fresh = reached.join(walk.select("query", "node"), ["query", "node"], "left_anti")
-        scored = fresh.join(nodes.select(F.col("id").alias("node"), "packed"), "node").join(targets, "query").select("query", "node", "packed", "target").mapInArrow(similar, shape)
-        merged = walk.withColumn("opened", F.col("opened") | (F.col("r") <= beam)).drop("r").unionByName(scored)
-        before, walk = walk, saved(merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * beam))
+    began = 0
+    for step in itertools.count(1):
+        now = ~F.col("opened") & (F.col("r") <= beam) & (F.col("turn") <= OPEN)
+        reached = walk.filter(now).select("query", "node").join(links, "node").select("query", F.col("other").alias("node"), F.lit(False).alias("known"))
+        seen = reached.unionByName(walk.select("query", "node", F.lit(True).alias("known"))).groupBy("query", "node").agg(F.max("known").alias("known"))
+        scored = seen.filter(~F.col("known")).join(nodes.select(F.col("id").alias("node"), "packed"), "node").join(targets, "query").select("query", "node", "packed", "target").mapInArrow(similar, "query long, node long, sim float")
+        merged = walk.withColumn("opened", F.col("opened") | now).drop("r", "turn").unionByName(scored.withColumns({"opened": F.lit(False), "born": F.lit(step)}))
+        turn = F.sum(F.when(F.col("opened"), 0).otherwise(1)).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        before, walk = walk, saved(merged.withColumns({"r": F.row_number().over(best), "turn": turn}).filter(F.col("r") <= 2 * beam))
         forget(before)
+        held, top = F.col("r") <= beam, F.col("r") <= want
+        count = lambda c: F.count(F.when(c, 1))
+        unopened, size, changed, answers = walk.agg(count(held & ~F.col("opened")), count(held), count(top & (F.col("born") > began)), count(top)).first()
+        if unopened <= SETTLED * size:
+            if changed <= SETTLED * answers:
+                return walk.select("query", "node", "sim")
+            began, beam = step, 2 * beam
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:

@@ -18,9 +18,11 @@ STILL = 0.05
 #: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins, bits of a row's place.
 PIVOTS, CELL, HOMES, BITS = 4096, 256, 2, 30
 #: Beam of a search at first; it is doubled until less than this share of the answers changes.
-BEAM, SETTLED = 16, 0.02
+BEAM, SETTLED = 16, 0.005
 #: Nodes that a query opens in one step at most, so a step's rows grow with the queries and not with the beam.
 OPEN = 64
+#: A beam is done when at most this share of its nodes is unopened.
+LEFT = 0.02
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k:
     """(query, node, sim): the nodes that greedy search from each query's own node finds.
 
     All queries walk at once: each step opens the OPEN best unopened nodes among the beam best of every query, scores
-    their neighbours and keeps twice the beam. When less than SETTLED of the beams' nodes are unopened, the beam is
+    their neighbours and keeps twice the beam. When at most LEFT of the beams' nodes are unopened, the beam is
     doubled and the walk goes on, what is left being opened then, until doubling it changed less than SETTLED of the want
     best of all queries: the beam grows with the table.
     """
@@ -179,7 +181,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k:
         held, top = F.col("r") <= beam, F.col("r") <= want
         count = lambda c: F.count(F.when(c, 1))
         unopened, size, changed, answers = walk.agg(count(held & ~F.col("opened")), count(held), count(top & (F.col("born") > began)), count(top)).first()
-        if unopened <= SETTLED * size:
+        if unopened <= LEFT * size:
             if changed <= SETTLED * answers:
                 return walk.select("query", "node", "sim")
             began, beam = step, 2 * beam

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, mtree, pii, quality, secrets, suffix, urls
+from . import ann, bpe, jaccard, mixing, mtree, pii, quality, resample, secrets, suffix, urls
 
 QUERIES = {
     "op1_pii": pii.op1_query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_query,
     "op9_suffix_dedup": suffix.op9_query,
     "op10_quality": quality.op10_query,
+    "op11_importance": resample.op11_query,
 }
-ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL}
+ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op11_importance": resample.OP11_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, mixing, mtree, pii, quality, resample, secrets, suffix, urls
+from . import ann, bpe, chosenpath, jaccard, mixing, mtree, pii, quality, resample, secrets, suffix, urls
 
 QUERIES = {
     "op1_pii": pii.op1_query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_suffix_dedup": suffix.op9_query,
     "op10_quality": quality.op10_query,
     "op11_importance": resample.op11_query,
+    "op12_chosen_path": chosenpath.op12_query,
 }
-ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op11_importance": resample.OP11_SQL}
+ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op11_importance": resample.OP11_SQL, "op12_chosen_path": chosenpath.OP12_SQL}

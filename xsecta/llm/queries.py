@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chosenpath, jaccard, mixing, mtree, pii, quality, resample, secrets, suffix, urls
+from . import ann, bpe, chosenpath, conversations, jaccard, mixing, mtree, pii, quality, resample, secrets, suffix, urls
 
 QUERIES = {
     "op1_pii": pii.op1_query,
@@ -17,5 +17,12 @@ QUERIES = {
     "op10_quality": quality.op10_query,
     "op11_importance": resample.op11_query,
     "op12_chosen_path": chosenpath.op12_query,
+    "op13_conversations": conversations.op13_query,
+}
+ORACLE_SQL = {
+    "op4_mtree": mtree.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op11_importance": resample.OP11_SQL,
+    "op12_chosen_path": chosenpath.OP12_SQL,
+    "op13_conversations": conversations.OP13_SQL,
 }
-ORACLE_SQL = {"op4_mtree": mtree.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op11_importance": resample.OP11_SQL, "op12_chosen_path": chosenpath.OP12_SQL}

@@ -14,7 +14,7 @@ from ..sources import panel as P
 from . import config
 
 PANEL = """
-daily AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS paid, sum(CAST(l_quantity AS DECIMAL(18,2))) AS sold
+daily AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS paid, sum(CAST(round(l_quantity * 100) AS BIGINT)) AS sold
           FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
 dense AS (SELECT days.date, t.ticker, paid, sold FROM days CROSS JOIN (SELECT DISTINCT ticker FROM daily) t
@@ -23,8 +23,8 @@ prices AS (SELECT date, ticker, close FROM (
              SELECT date, ticker, CAST(sum(paid) OVER w AS DOUBLE) / nullif(CAST(sum(sold) OVER w AS DOUBLE), 0) AS close FROM dense
              WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW))
            WHERE isodow(date) < 6 AND date >= DATE '1995-04-03'),
-mday AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS paid, count(*) AS n FROM orders GROUP BY 1),
-mpx AS (SELECT * FROM (SELECT date, CAST(sum(paid) OVER w AS DOUBLE) / sum(n) OVER w AS px FROM mday
+mday AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS paid, count(*) AS n FROM orders GROUP BY 1),
+mpx AS (SELECT * FROM (SELECT date, CAST(sum(paid) OVER w AS DOUBLE) / 100 / sum(n) OVER w AS px FROM mday
           WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW))
         WHERE isodow(date) < 6 AND date >= DATE '1995-04-03'),
 market AS (SELECT * FROM (SELECT date, px / lag(px) OVER (ORDER BY date) - 1 AS mkt_ret FROM mpx) WHERE mkt_ret IS NOT NULL),

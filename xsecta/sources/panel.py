@@ -6,37 +6,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 START = "1995-04-03"
-MONEY = "decimal(18,2)"
+#: Days of the trailing window.
+SPAN = 90
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(amount: str):
+    """An amount in hundredths as a long: sums don't depend on the order of rows, and cost what sums of numbers cost."""
+    return F.round(F.col(amount) * 100).cast("long")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, ticker, close): trailing 90-day average price of each brand on weekdays.
 
-    Amounts are summed as decimals, so the result doesn't depend on the order of rows.
+    Amounts are summed as hundredths, so a window's sum is the exact difference of two running sums: one pass a brand,
+    however long the window.
     """
     day = F.col("l_shipdate").cast("date")
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", day.alias("date"), F.col("l_extendedprice").cast(MONEY).alias("paid"), F.col("l_quantity").cast(MONEY).alias("sold"))
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", day.alias("date"), cents("l_extendedprice").alias("paid"), cents("l_quantity").alias("sold"))
     daily = lines.join(part, lines.l_partkey == part.p_partkey).groupBy("date", "ticker").agg(F.sum("paid").alias("paid"), F.sum("sold").alias("sold"))
     span = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = span.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("date"))
     grid = days.crossJoin(F.broadcast(daily.select("ticker").distinct()))
-    trailing = Window.partitionBy("ticker").orderBy(F.datediff("date", F.lit("1990-01-01").cast("date"))).rangeBetween(-89, 0)
-    dense = grid.join(daily, ["date", "ticker"], "left")
-    close = F.sum("paid").over(trailing).cast("double") / F.nullif(F.sum("sold").over(trailing).cast("double"), F.lit(0.0))
+    order = Window.partitionBy("ticker").orderBy("date")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    running = {c: F.coalesce(F.sum(c).over(upto), F.lit(0).cast("long")) for c in ("paid", "sold")}
+    dense = grid.join(daily, ["date", "ticker"], "left").withColumns(running)
+    within = lambda c: (F.col(c) - F.coalesce(F.lag(c, SPAN).over(order), F.lit(0).cast("long"))).cast("double")
+    close = within("paid") / F.nullif(within("sold"), F.lit(0.0))
     return dense.select("date", "ticker", close.alias("close")).filter((F.weekday("date") < 5) & (F.col("date") >= F.lit(START).cast("date")))
 
 
 def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, px): trailing 90-day mean order price, on weekdays."""
-    daily = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("paid"), F.count("*").alias("n"))
+    daily = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.sum(cents("o_totalprice")).alias("paid"), F.count("*").alias("n"))
     # one row a day: these windows have no key, and at most as many rows as there are days
-    trailing = Window.orderBy(F.datediff("date", F.lit("1990-01-01").cast("date"))).rangeBetween(-89, 0)
-    px = daily.select("date", (F.sum("paid").over(trailing).cast("double") / F.sum("n").over(trailing)).alias("px"))
+    trailing = Window.orderBy(F.datediff("date", F.lit("1990-01-01").cast("date"))).rangeBetween(1 - SPAN, 0)
+    px = daily.select("date", (F.sum("paid").over(trailing).cast("double") / 100 / F.sum("n").over(trailing)).alias("px"))
     return px.filter((F.weekday("date") < 5) & (F.col("date") >= F.lit(START).cast("date")))
 
 

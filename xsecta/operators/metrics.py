@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import average_rank, percent_rank
+from .gram import covariance, pair_sums  # noqa: F401
 
 
 def corr(x, y):
@@ -108,19 +109,9 @@ def sector_exposure(weights: DataFrame, sectors: DataFrame) -> DataFrame:
     return j.groupBy("date", "sector").agg(F.sum("weight").alias("exposure"))
 
 
-def covariance(rets: DataFrame) -> DataFrame:
-    """Sample covariance of all pairs in coordinate form: a self-join on date, lower half only."""
-    a, b = rets.alias("a"), rets.alias("b")
-    pairs = a.join(b, F.col("a.date") == F.col("b.date")).filter(F.col("a.ticker") <= F.col("b.ticker"))
-    return pairs.groupBy(F.col("a.ticker").alias("ticker_i"), F.col("b.ticker").alias("ticker_j")).agg(F.covar_samp("a.ret", "b.ret").alias("c"))
-
-
 def ewma_covariance(rets: DataFrame, decay: float = 0.94, normalised: bool = False) -> DataFrame:
-    """The recursion S <- decay S + (1 - decay) r r' in closed form, from zero."""
+    """The recursion S <- decay S + (1 - decay) r r' in closed form, from zero, as sums of weighed products by blocks."""
     days = rets.select("date").distinct().withColumn("ord", F.row_number().over(Window.orderBy("date")))
     last = days.agg(F.max("ord").alias("last"))
     r = rets.join(F.broadcast(days.crossJoin(last)), "date").withColumn("w", F.lit(1 - decay) * F.pow(F.lit(decay), F.col("last") - F.col("ord")))
-    a, b = r.alias("a"), r.select("date", "ticker", "ret").alias("b")
-    pairs = a.join(b, F.col("a.date") == F.col("b.date")).filter(F.col("a.ticker") <= F.col("b.ticker"))
-    total = F.sum(F.col("a.w") * F.col("a.ret") * F.col("b.ret"))
-    return pairs.groupBy(F.col("a.ticker").alias("ticker_i"), F.col("b.ticker").alias("ticker_j")).agg((total / F.sum("a.w") if normalised else total).alias("c"))
+    return pair_sums(r, "ret", "w").select("ticker_i", "ticker_j", (F.col("sij") / F.col("sw") if normalised else F.col("sij")).alias("c"))

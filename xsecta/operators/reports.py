@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import X
 from ..plans import config
 from ..sources.panel import write_wide
+from .gram import pair_sums
 from .metrics import binding, decile_long_short, equity, ic_summary, information_coefficient, return_stats, rolling_sharpe, sector_exposure
 from .signals import ahead, blend, mean_reversion, momentum_signal
 
@@ -110,9 +111,7 @@ def kernel_covariance(rets: DataFrame, kind: str = "matern32", scale: float = 32
     r = rets.join(F.broadcast(kernel_weights(rets, kind, scale)), "date")
     if not zero_mean:
         r = r.withColumn("ret", F.col("ret") - F.sum(F.col("w") * F.col("ret")).over(Window.partitionBy("ticker")))
-    a, b = r.alias("a"), r.select("date", "ticker", "ret").alias("b")
-    pairs = a.join(b, F.col("a.date") == F.col("b.date")).filter(F.col("a.ticker") <= F.col("b.ticker"))
-    c = pairs.groupBy(F.col("a.ticker").alias("ticker_i"), F.col("b.ticker").alias("ticker_j")).agg(F.sum(F.col("a.w") * F.col("a.ret") * F.col("b.ret")).alias("c"))
+    c = pair_sums(r, "ret", "w").select("ticker_i", "ticker_j", F.col("sij").alias("c"))
     return c if not shrink else blended(c, F.lit(float(shrink)))
 
 

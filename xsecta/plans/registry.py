@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators import signals as S
@@ -221,8 +222,13 @@ EWMA = "wd AS (SELECT r.date, ticker, ret, (1 - 0.94) * pow(0.94, (SELECT count(
 add("rm2_sample_cov", lambda s, d: SCALED(M.covariance(_rets(s, d))), COV.format("covar_samp(a.ret, b.ret) * 1e4", "rets", "rets"), rounds="c")
 add("rm3_ewma_cov", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d))), COV.format("sum(a.w * a.ret * b.ret) * 1e4", "wd", "wd"), EWMA, "c")
 add("rm9_ewma_cov_normalised", lambda s, d: SCALED(M.ewma_covariance(_rets(s, d), normalised=True)), COV.format("sum(a.w * a.ret * b.ret) / sum(a.w) * 1e4", "wd", "wd"), EWMA, "c")
-add("rm1_psd_repair", lambda s, d: solve.repaired(M.covariance(_rets(s, d))))
-add("rm4_ledoit_wolf", lambda s, d: solve.ledoit_wolf(_rets(s, d)))
+# no eigenvalue of the panel's sample covariance is below its floor, so the repair must give it back
+add("rm1_psd_repair", lambda s, d: SCALED(G.repaired_covariance(_rets(s, d))), COV.format("covar_samp(a.ret, b.ret) * 1e4", "rets", "rets"), rounds="c")
+LW = "lc AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS x FROM rets), ls_ AS (" + COV.format("sum(a.x * b.x) / count(*)", "lc", "lc") + """),
+ln AS (SELECT sum(CASE WHEN ticker_i = ticker_j THEN c END) AS trace, sum(c * c * CASE WHEN ticker_i = ticker_j THEN 1 ELSE 2 END) AS norm2, count(*) FILTER (ticker_i = ticker_j) AS p FROM ls_),
+lq AS (SELECT sum(q * q) AS quads, count(*) AS n FROM (SELECT date, sum(x * x) AS q FROM lc GROUP BY 1)),
+lsh AS (SELECT trace / p AS mean, least(norm2 / p - trace / p * trace / p, (quads / n - norm2) / (n * p)) / (norm2 / p - trace / p * trace / p) AS share FROM ln CROSS JOIN lq)"""
+add("rm4_ledoit_wolf", lambda s, d: SCALED(G.ledoit_wolf(_rets(s, d))), "SELECT ticker_i, ticker_j, ((1 - share) * c + CASE WHEN ticker_i = ticker_j THEN share * mean ELSE 0 END) * 1e4 AS c FROM ls_ CROSS JOIN lsh", LW, "c")
 add("qp1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
 
 

@@ -65,9 +65,9 @@ def test_gates_keep_small_trades_out():
     cfg = config.settings("MOM_MONTHLY", {"vol_target_ex_ante": False})
     before, sigma = np.array([0.1, -0.1]), np.eye(2) * 1e-4
     for target, mu in (([0.101, -0.101], [1.0, -1.0]), ([0.3, -0.3], [-1.0, 1.0])):
-        held, _, cost, done = walk.trade(np.array(target), before, np.array(mu), sigma, cfg, False, False)
+        held, _, cost, done = walk.trade(np.array(target), before, np.array(mu), solve.Axes.of(sigma).quad, cfg, False, False)
         assert not done and cost == 0 and (held == before).all()
-    held, turnover, cost, done = walk.trade(np.array([0.3, -0.3]), before, np.array([1.0, -1.0]), sigma, cfg, False, False)
+    held, turnover, cost, done = walk.trade(np.array([0.3, -0.3]), before, np.array([1.0, -1.0]), solve.Axes.of(sigma).quad, cfg, False, False)
     assert done and abs(turnover - 0.4) < 1e-12 and abs(cost - 0.4 * 5e-4) < 1e-12
 
 

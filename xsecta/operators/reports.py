@@ -49,16 +49,17 @@ def repriced(pnl: DataFrame, turn: DataFrame, now: float = 5.0, tests=(0.0, 5.0,
 
 
 def binding_summary(binding: DataFrame) -> DataFrame:
-    """(constraint, bind_pct): mean of each numeric column in per cent."""
+    """(constraint, bind_pct): mean of each numeric column in per cent; write_csv() sorts it downwards by share."""
     names = [c for c in binding.columns if c != "date"]
     means = binding.agg(*[(F.avg(c) * 100).alias(c) for c in names])
     return means.unpivot([], names, "constraint", "bind_pct")
 
 
-def exposure(weights: DataFrame, loads: DataFrame, load: str = "beta") -> DataFrame:
-    """(date, exposure): sum of weight times load(ticker[, date]) of each date, unknown loads as 0."""
+def exposure(weights: DataFrame, loads: DataFrame, load: str = "beta", inner: bool = False) -> DataFrame:
+    """(date, exposure): sum of weight times load(ticker[, date]) of each date, unknown loads as 0; inner leaves out what
+    the one or the other lacks, as two aligned tables do."""
     on = ["date", "ticker"] if "date" in loads.columns else ["ticker"]
-    return weights.join(loads, on, "left").groupBy("date").agg(F.sum(F.col("weight") * F.coalesce(load, F.lit(0.0))).alias("exposure"))
+    return weights.join(loads, on, "inner" if inner else "left").groupBy("date").agg(F.sum(F.col("weight") * F.coalesce(load, F.lit(0.0))).alias("exposure"))
 
 
 def alignment(signal: DataFrame, weights: DataFrame, method: str = "spearman") -> DataFrame:
@@ -197,6 +198,45 @@ def panel_periods(daily: DataFrame, ends: DataFrame) -> DataFrame:
     return held.select(F.col("date").alias("period_end"), "ticker", F.coalesce(F.col("c") / F.nullif(before, F.lit(0.0)) - 1, F.lit(0.0)).alias("ret"))
 
 
+def period_betas(rets: DataFrame, market: DataFrame, ends: DataFrame, rows: int) -> DataFrame:
+    """(date, ticker, beta) at ends(period_end): rolling betas on the calendar of a portfolio's periods.
+
+    Returns of names and market between the ends are compounded first; the beta of the last rows periods is the mean product
+    less the product of means over the market's sample variance, and missing where fewer are known.
+    """
+    names = panel_periods(rets, ends)
+    whole = panel_periods(market.select("date", F.lit("market").alias("ticker"), F.col("mkt_ret").alias("ret")), ends)
+    j = names.join(F.broadcast(whole.select("period_end", F.col("ret").alias("mkt_ret"))), "period_end")
+    w = Window.partitionBy("ticker").orderBy("period_end").rowsBetween(1 - rows, 0)
+    cov = F.avg(F.col("ret") * F.col("mkt_ret")).over(w) - F.avg("ret").over(w) * F.avg("mkt_ret").over(w)
+    beta = F.when(F.count("*").over(w) >= rows, cov / F.nullif(F.var_samp("mkt_ret").over(w), F.lit(0.0)))
+    return j.select(F.col("period_end").alias("date"), "ticker", beta.alias("beta"))
+
+
+def period_lookback(periods: int, annual: int) -> int:
+    """Rows of rolling betas for a run of so many periods."""
+    return max(6, min(annual, periods))
+
+
+def to_growth(rets: DataFrame) -> DataFrame:
+    """(date, growth) of rets(date, ret): compounded from the first date."""
+    return rets.select("date", F.product(1 + F.col("ret")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("growth"))
+
+
+def aligned(curves: DataFrame, back: bool = True) -> DataFrame:
+    """(name, date, value) of curves(name, date, value) on the union of all their dates, 1 at each one's first known value.
+
+    Values are carried forward, and the first one backward if asked. Dates and names meet as two short lists, and each
+    curve is filled by itself.
+    """
+    every = curves.select("date").distinct().crossJoin(F.broadcast(curves.select("name").distinct()))
+    order = Window.partitionBy("name").orderBy("date")
+    first = F.first("value", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carried = F.last("value", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    value = (F.coalesce(carried, first) if back else carried) / F.coalesce(F.nullif(first, F.lit(0.0)), F.lit(1.0))
+    return every.join(curves, ["name", "date"], "left").select("name", "date", value.alias("value"))
+
+
 def monthly_exposure(exposure: DataFrame) -> DataFrame:
     """(month, sector, exposure): means by month, as a heatmap shows them."""
     return exposure.groupBy(F.date_format("date", "yyyy-MM").alias("month"), "sector").agg(F.avg("exposure").alias("exposure"))

@@ -94,7 +94,7 @@ def training_rows(feats: DataFrame, rets: DataFrame, grid: DataFrame, cfg: Setti
     y = next_returns(rets, grid, cfg.rebalance_freq).withColumnRenamed("next_ret", "y").filter("y is not null")
     share = cfg.gp_per_date_name_frac
     if share is not None and 0 < share < 1:
-        turn = F.row_number().over(X().orderBy(F.xxhash64("date", "ticker")))
+        turn = F.row_number().over(X().orderBy(F.md5(F.concat_ws(" ", "date", "ticker"))))
         y = y.withColumn("turn", turn).withColumn("n", F.count("*").over(X())).filter(F.col("turn") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).drop("turn", "n")
     rows = feats.join(labelled(y, cfg.gp_label_mode), ["date", "ticker"])
     step = 7 if cfg.rebalance_freq.upper().startswith("W") else 28
@@ -228,25 +228,81 @@ def is_cool(pnl: list[float], recent: int = 2, span: int = 4, loss: float = -0.0
     return bool((np.nansum(last) < loss or (last < 0).sum() >= 2) and down > fall and down > near)
 
 
-SOLVED = "date date, next_date date, k int, cool boolean, tickers array<string>, mu array<double>, next_ret array<double>, target array<double>, residual double, sigma array<double>"
+def cooldowns(pnl: DataFrame, recent: int = 2, span: int = 4, loss: float = -0.002, fall: float = 0.10) -> DataFrame:
+    """(period_end, sum_recent, losses, drawdown, cool) of pnl(period_end, pnl): is_cool() after each period, by windows.
+
+    drawdown is from the highest of the last span + 1 points of equity, of which the first is 1 before the first period.
+    """
+    order = Window.orderBy("period_end")  # one row a period
+    near, n = order.rowsBetween(1 - recent, 0), F.row_number().over(order)
+    equity = pnl.withColumn("n", n).withColumn("equity", F.product(1 + F.col("pnl")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.greatest(F.max("equity").over(order.rowsBetween(-span, 0)), F.when(F.col("n") <= span, 1.0))
+    out = equity.select("period_end", "n", F.sum("pnl").over(near).alias("sum_recent"), F.sum((F.col("pnl") < 0).cast("long")).over(near).alias("losses"), (1 - F.col("equity") / F.nullif(top, F.lit(0.0))).alias("drawdown"))
+    cool = (F.col("n") >= max(recent, span)) & ((F.col("sum_recent") < loss) | (F.col("losses") >= 2)) & (F.col("drawdown") > fall)
+    return out.select("period_end", "sum_recent", "losses", "drawdown", F.coalesce(cool, F.lit(False)).alias("cool"))
+
+
+def ready_dates(rets: DataFrame, grid: DataFrame, rows: int, least: int = LEAST) -> DataFrame:
+    """Grid dates whose training window of up to rows days holds enough returns."""
+    return grid.filter(F.least("ord", F.lit(rows)) >= least)
+
+
+def sector_constraints(names: DataFrame, unit: bool = False) -> DataFrame:
+    """(date, row, ticker, coefficient) of names(date, ticker, sector): a sparse row of ones for each sector of two names or
+    more, of unit length if asked; none for a date with fewer than two such sectors. A missing sector is Other."""
+    named = names.withColumn("sector", F.coalesce("sector", F.lit("Other")))
+    counts = named.groupBy("date", "sector").agg(F.count("*").alias("n")).filter("n >= 2")
+    kept = counts.withColumn("rows", F.count("*").over(Window.partitionBy("date"))).filter("rows >= 2")
+    size = 1 / F.sqrt("n") if unit else F.lit(1.0)
+    return named.join(kept, ["date", "sector"]).select("date", F.col("sector").alias("row"), "ticker", size.alias("coefficient"))
+
+
+def histories(rets: DataFrame, ready: DataFrame, rows: int) -> DataFrame:
+    """(date, tickers, history) of grid dates: the last rows days of returns of all names, which reach each date by an
+    equi-join on day numbers."""
+    packed = F.sort_array(F.collect_list(F.struct("ticker", "ret")))
+    wide = rets.groupBy("date").agg(packed.alias("r")).join(F.broadcast(ordinals(rets)), "date").select("ord", F.col("r.ret").alias("x"), F.col("r.ticker").alias("tickers"))
+    used = ready.select("date", F.explode(F.sequence(F.greatest(F.lit(1), F.col("ord") - rows + 1), "ord")).alias("ord"))
+    return used.join(wide, "ord").groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ord", "x"))).alias("h"), F.max_by("tickers", "ord").alias("tickers")).select("date", "tickers", F.col("h.x").alias("history"))
+
+
+def covariances(rets: DataFrame, grid: DataFrame, model: str, decay: float, rows: int) -> DataFrame:
+    """(date, ticker_i, ticker_j, c): the risk model of each ready grid date, floored twice as the solver takes it."""
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            for p in part.itertuples(index=False):
+                s = solve.covariance_of(np.array([list(r) for r in p.history], float), model, decay).dense()
+                i, j = np.triu_indices(len(s))
+                names = np.array(p.tickers, dtype=object)
+                yield pd.DataFrame({"date": p.date, "ticker_i": names[i], "ticker_j": names[j], "c": s[i, j]})
+
+    found = histories(rets, ready_dates(rets, grid, rows), rows)
+    return found.repartition("date").mapInPandas(run, "date date, ticker_i string, ticker_j string, c double")
+
+
+SOLVED = "date date, next_date date, k int, cool boolean, tickers array<string>, mu array<double>, next_ret array<double>, target array<double>, status string, residual double, first_residual double, base double, loads array<double>"
 
 
 def solved(rets: DataFrame, market: DataFrame, px: DataFrame, sectors: DataFrame | None, cfg: Settings) -> DataFrame:
     """One row for each grid date with enough returns and each state of the cooldown: the solver's weights and its inputs.
 
-    Each row is a problem of its own: the last train_window_days rows of returns reach it by an equi-join on day numbers.
+    Each row is a problem of its own. The covariance goes on as axes, names times the lesser of names and days; a sector's
+    constraint row comes with the names as its coefficients.
     """
-    grid = rebalance_grid(rets, cfg.rebalance_freq).cache()
-    ready = grid.filter(F.least("ord", F.lit(cfg.train_window_days)) >= LEAST)
-    wide = rets.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "ret"))).alias("r")).join(F.broadcast(ordinals(rets)), "date").select("ord", F.col("r.ret").alias("x"))
-    rows = ready.select("date", F.explode(F.sequence(F.greatest(F.lit(1), F.col("ord") - cfg.train_window_days + 1), "ord")).alias("ord"))
-    history = rows.join(wide, "ord").groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ord", "x"))).alias("h")).select("date", F.col("h.x").alias("history"))
+    grid = rebalance_grid(rets, cfg.rebalance_freq)
+    ready = ready_dates(rets, grid, cfg.train_window_days)
+    history = histories(rets, ready, cfg.train_window_days).select("date", "history")
     names = alpha(rets, market, px, sectors, grid, cfg).join(window_betas(rets, market, grid, cfg.beta_lookback), ["date", "ticker"], "left").join(next_returns(rets, grid, cfg.rebalance_freq), ["date", "ticker"], "left")
-    label = F.lit("Other")
-    if sectors is not None:
-        names, label = names.join(F.broadcast(sectors), "ticker", "left"), F.coalesce("sector", F.lit("Other"))
+    row, coefficient = F.lit(None).cast("string").alias("row"), F.lit(None).cast("double").alias("coefficient")
+    if sectors is not None and cfg.sector_neutral and not cfg.long_only:
+        own = names.select("date", "ticker").join(F.broadcast(sectors), "ticker", "left")
+        names = names.join(sector_constraints(own, cfg.sector_neutral_tol is not None and cfg.sector_soft_row_norm), ["date", "ticker"], "left")
+        row, coefficient = F.col("row"), F.col("coefficient")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    names = names.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", zero("mu"), zero("beta"), zero("next_ret"), label.alias("sector")))).alias("names"))
+    names = names.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", zero("mu"), zero("beta"), zero("next_ret"), row, coefficient))).alias("names"))
     problems = ready.select("date", "next_date", "k").join(names, "date").join(history, "date").withColumn("cool", F.explode(F.array(F.lit(False), F.lit(True))))
 
     def run(parts):
@@ -257,32 +313,35 @@ def solved(rets: DataFrame, market: DataFrame, px: DataFrame, sectors: DataFrame
             for p in part.itertuples(index=False):
                 mu, beta, ret = (np.array([n[c] for n in p.names], float) for c in ("mu", "beta", "next_ret"))
                 sigma = solve.covariance_of(np.array([list(r) for r in p.history], float), cfg.risk_model, cfg.ewma_lambda)
-                w, off = solve_one(mu * factor("mu", p.cool), sigma, beta, [n["sector"] for n in p.names], cfg, p.cool)
-                out.append((p.date, p.next_date, p.k, p.cool, [n["ticker"] for n in p.names], mu, ret, w, off, None if p.cool else sigma.ravel()))
+                labels = [n["row"] for n in p.names]
+                rows = [np.array([n["coefficient"] if n["row"] == label else 0.0 for n in p.names]) for label in sorted(set(labels) - {None})]
+                w, status, off, first = solve_one(mu * factor("mu", p.cool), sigma, beta, rows, cfg, p.cool)
+                loads = (None, None) if p.cool else (sigma.base, sigma.rows().ravel())
+                out.append((p.date, p.next_date, p.k, p.cool, [n["ticker"] for n in p.names], mu, ret, w, status, off, first, *loads))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SOLVED.split(", ")])
 
     return problems.repartition("date", "cool").mapInPandas(run, SOLVED)
 
 
-def solve_one(mu, sigma, beta, sectors, cfg: Settings, cool: bool):
+def solve_one(mu, sigma, beta, rows, cfg: Settings, cool: bool):
     hard, soft = [], []
-    for on, rows, cap in (
-        (cfg.sector_neutral, lambda: solve.sector_rows(sectors, cfg.sector_neutral_tol is not None and cfg.sector_soft_row_norm), cfg.sector_neutral_tol),
+    for on, made, cap in (
+        (cfg.sector_neutral, lambda: rows, cfg.sector_neutral_tol),
         (cfg.pca_neutralize and cfg.pca_k > 0, lambda: solve.principal_rows(sigma, cfg.pca_k, cfg.pca_equalize_risk), cfg.pca_neutral_tol),
     ):
-        for row in rows() if on and not cfg.long_only else []:
+        for row in made() if on and not cfg.long_only else []:
             hard.append(row) if cap is None else soft.append((row, cap))
     budget = None if cfg.risk_budget_annual is None else cfg.risk_budget_annual * factor("budget", cool) / np.sqrt(252.0)
     gross = None if cfg.gross_limit is None else cfg.gross_limit * factor("gross", cool)
-    return solve.mean_variance_status(
-        mu, sigma, beta if cfg.beta_neutralize else None, cfg.risk_aversion * factor("aversion", cool), cfg.position_bound * factor("bound", cool), gross, cfg.beta_limit, 4000,
+    return solve.cascade(
+        mu, sigma, beta if cfg.beta_neutralize else None, cfg.risk_aversion * factor("aversion", cool), cfg.position_bound * factor("bound", cool), gross, cfg.beta_limit, 1500,
         neutral=cfg.dollar_neutral, long_only=cfg.long_only, budget=budget, hard=hard, soft=soft,
     )
 
 
-TRADED = "variant string, date date, next_date date, cool boolean, failed boolean, executed boolean, turnover double, cost double, pnl double, tickers array<string>, weights array<double>"
-#: A solve fails if its largest violation is above this; the weights before stay then.
-FAILED = 1e-3
+TRADED = "variant string, date date, next_date date, cool boolean, failed boolean, status string, residual double, first_residual double, executed boolean, turnover double, cost double, pnl double, tickers array<string>, weights array<double>"
+#: The largest violation of a solve that counts; if both solvers leave more, the weights before stay.
+FAILED = solve.FAILED
 
 
 def traded(solutions: DataFrame, variants: dict[str, Settings]) -> DataFrame:
@@ -307,29 +366,33 @@ def traded(solutions: DataFrame, variants: dict[str, Settings]) -> DataFrame:
                 cfg, cool = variants[name], is_cool(pnl)
                 chosen = p if cool else plain
                 tickers, n = list(p.tickers), len(p.tickers)
-                before, sigma = np.array([w.get(t, 0.0) for t in tickers]), np.array(plain.sigma, float).reshape(n, n)
-                mu, failed = np.array(p.mu, float) * factor("mu", cool), not chosen.residual <= FAILED
+                before, loads = np.array([w.get(t, 0.0) for t in tickers]), np.array(plain.loads, float).reshape(-1, n)
+                variance = lambda v: plain.base * (v @ v) + ((loads @ v) ** 2).sum()  # noqa: E731, B023
+                mu, failed = np.array(p.mu, float) * factor("mu", cool), chosen.status == "failed"
                 target = before.copy() if failed else np.array(chosen.target, float)
-                new, turnover, cost, executed = trade(target, before, mu, sigma, cfg, cool, first=p.k == 0)
+                new, turnover, cost, executed = trade(target, before, mu, variance, cfg, cool, first=p.k == 0)
                 gain = None
                 if p.next_date is not None and not pd.isna(p.next_date):
                     gain = float(new @ np.array(p.next_ret, float)) - cost
                     pnl.append(gain)
                 w = dict(zip(tickers, new))
-                out.append((name, p.date, p.next_date, cool, failed, executed, turnover, cost, gain, tickers, new))
+                out.append((name, p.date, p.next_date, cool, failed, chosen.status, chosen.residual, chosen.first_residual, executed, turnover, cost, gain, tickers, new))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRADED.split(", ")])
 
     return solutions.repartition("variant").sortWithinPartitions("variant", "k", "cool").mapInPandas(run, TRADED)
 
 
-def trade(target, before, mu, sigma, cfg: Settings, cool: bool, first: bool):
-    """(weights, proposed turnover, cost, executed): volatility target, the gates of names, book and utility, then a step."""
+def trade(target, before, mu, variance, cfg: Settings, cool: bool, first: bool):
+    """(weights, proposed turnover, cost, executed): volatility target, the gates of names, book and utility, then a step.
+
+    variance gives the variance of weights.
+    """
     if cfg.vol_target_ex_ante and cfg.risk_budget_annual is not None:
         wanted = cfg.risk_budget_annual * factor("budget", cool) / np.sqrt(252.0)
-        target = target * np.clip(wanted / np.sqrt(max(1e-12, target @ sigma @ target)), *cfg.vol_scale_bounds)
+        target = target * np.clip(wanted / np.sqrt(max(1e-12, variance(target))), *cfg.vol_scale_bounds)
     proposed = np.where(np.abs(target - before) < cfg.min_name_change, before, target)
     turnover, rate = float(np.abs(proposed - before).sum()), cfg.transaction_cost_bps / 1e4
-    utility = lambda v: mu @ v - cfg.risk_aversion * (v @ sigma @ v)
+    utility = lambda v: mu @ v - cfg.risk_aversion * variance(v)
     worth = utility(proposed) - utility(before) > cfg.benefit_cost_buffer * factor("buffer", cool) * rate * turnover
     if not (first or (turnover >= cfg.min_port_change * factor("port_change", cool) and worth)):
         return before, turnover, 0.0, False
@@ -380,10 +443,30 @@ def summary(run: DataFrame, rf_daily: DataFrame, variants: dict[str, Settings])
 
 def curves(run: DataFrame) -> DataFrame:
     """(variant, date, nav): equity of each variant on the union of all dates, carried forward, 1 at its first known one."""
-    v = Window.partitionBy("variant").orderBy("date")
-    upto = v.rowsBetween(Window.unboundedPreceding, 0)
-    own = run.filter("pnl is not null").select("variant", F.col("next_date").alias("date"), F.product(1 + F.col("pnl")).over(Window.partitionBy("variant").orderBy("next_date").rowsBetween(Window.unboundedPreceding, 0)).alias("nav"))
-    all_ = own.select("date").distinct().crossJoin(F.broadcast(own.select("variant").distinct()))
-    filled = all_.join(own, ["variant", "date"], "left").withColumn("nav", F.last("nav", True).over(upto))
-    first = F.first("nav", True).over(v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return filled.select("variant", "date", (F.col("nav") / F.coalesce(F.nullif(first, F.lit(0.0)), F.lit(1.0))).alias("nav"))
+    from .reports import aligned
+
+    upto = Window.partitionBy("variant").orderBy("next_date").rowsBetween(Window.unboundedPreceding, 0)
+    own = run.filter("pnl is not null").select(F.col("variant").alias("name"), F.col("next_date").alias("date"), F.product(1 + F.col("pnl")).over(upto).alias("value"))
+    return aligned(own, back=False).toDF("variant", "date", "nav")
+
+
+def invariants(run: DataFrame, rets: DataFrame, cfg: Settings) -> DataFrame:
+    """One row for each date of a one-variant run: whether what must hold of its decision holds.
+
+    profit_holds: the profit is the weights' return over the next period less the cost, or absent at the last date;
+    cost_holds: the cost is the rate times the weights' change; still_holds: weights that weren't traded are those before;
+    solve_holds: a solve that isn't called failed leaves no larger violation than it may.
+    """
+    held = book(run).select("date", "ticker", "weight")
+    before = F.coalesce(F.lag("weight").over(Window.partitionBy("ticker").orderBy("date")), F.lit(0.0))
+    nxt = next_returns(rets, rebalance_grid(rets, cfg.rebalance_freq), cfg.rebalance_freq)
+    sums = held.withColumn("before", before).join(nxt, ["date", "ticker"], "left").groupBy("date").agg(
+        F.sum(F.col("weight") * F.coalesce("next_ret", F.lit(0.0))).alias("gain"), F.sum(F.abs(F.col("weight") - F.col("before"))).alias("change")
+    )
+    j = run.join(sums, "date")
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    profit = F.when(F.col("next_date").isNull(), F.col("pnl").isNull()).otherwise(near(F.col("pnl"), F.col("gain") - F.col("cost")))
+    return j.select(
+        "date", F.coalesce(profit, F.lit(False)).alias("profit_holds"), near(F.col("cost"), F.col("change") * cfg.transaction_cost_bps / 1e4).alias("cost_holds"),
+        (F.col("executed") | near(F.col("change"), F.lit(0.0))).alias("still_holds"), (F.col("failed") == (F.col("residual") > FAILED)).alias("solve_holds"),
+    )

@@ -229,7 +229,7 @@ ln AS (SELECT sum(CASE WHEN ticker_i = ticker_j THEN c END) AS trace, sum(c * c
 lq AS (SELECT sum(q * q) AS quads, count(*) AS n FROM (SELECT date, sum(x * x) AS q FROM lc GROUP BY 1)),
 lsh AS (SELECT trace / p AS mean, least(norm2 / p - trace / p * trace / p, (quads / n - norm2) / (n * p)) / (norm2 / p - trace / p * trace / p) AS share FROM ln CROSS JOIN lq)"""
 add("rm4_ledoit_wolf", lambda s, d: SCALED(G.ledoit_wolf(_rets(s, d))), "SELECT ticker_i, ticker_j, ((1 - share) * c + CASE WHEN ticker_i = ticker_j THEN share * mean ELSE 0 END) * 1e4 AS c FROM ls_ CROSS JOIN lsh", LW, "c")
-add("qp1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), M.covariance(_rets(s, d)), _betas(s, d)))
+add("qp1_optimal_weights", lambda s, d: solve.optimal_weights(_weights(s, d), G.sample_axes(_rets(s, d)), _betas(s, d)))
 
 
 GRID = """gk AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM rets)),
@@ -277,8 +277,7 @@ add(
     "SELECT bps, avg(p) * 12 AS ann_return, stddev_samp(p) * sqrt(12) AS ann_vol, coalesce(avg(p) * 12 / nullif(stddev_samp(p) * sqrt(12), 0), 0) AS sharpe FROM (SELECT bps, pnl + (5.0 - bps) * 1e-4 * coalesce(turnover, 0) AS p FROM pnl LEFT JOIN tp USING (period_end) CROSS JOIN (SELECT CAST(unnest([0, 5, 10, 20]) AS DOUBLE) AS bps)) GROUP BY 1", BOOK + ", " + PRICED, "ann_return ann_vol sharpe",
 )
 BIND = "bind AS (SELECT w.date, avg(CASE WHEN abs(weight) >= 0.1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS pos_bind_rate, CAST(sum(abs(weight)) >= 2.0 - 1e-6 AS DOUBLE) AS gross_bind, sum(weight * coalesce(beta, 0)) AS beta_exposure, CAST(abs(sum(weight * coalesce(beta, 0))) >= 0.02 - 1e-6 AS DOUBLE) AS beta_bind FROM weights w LEFT JOIN sb ON sb.ticker = w.ticker GROUP BY 1)"
-# the gross exposure is exactly at its limit, so whether it binds hangs on rounding: not compared here
-add("ag13_binding_summary", lambda s, d: R.binding_summary(M.binding(_weights(s, d), _betas(s, d)).drop("gross_bind")), " UNION ALL ".join(f"SELECT '{c}' AS \"constraint\", avg({c}) * 100 AS bind_pct FROM bind" for c in ("pos_bind_rate", "beta_exposure", "beta_bind")), BOOK + ", " + BIND, "bind_pct")
+add("ag13_binding_summary", lambda s, d: R.binding_summary(M.binding(_weights(s, d), _betas(s, d))), " UNION ALL ".join(f"SELECT '{c}' AS \"constraint\", avg({c}) * 100 AS bind_pct FROM bind" for c in ("pos_bind_rate", "gross_bind", "beta_exposure", "beta_bind")), BOOK + ", " + BIND, "bind_pct")
 add("ag11_beta_exposure", lambda s, d: R.exposure(_weights(s, d), _betas(s, d)), "SELECT date, sum(weight * coalesce(beta, 0)) AS exposure FROM weights LEFT JOIN sb USING (ticker) GROUP BY 1", BOOK, "exposure")
 add("ag16_alignment", lambda s, d: R.alignment(_signal(s, d), S.momentum_ratio(P.prices(s, d), 21, 126).withColumnRenamed("mom", "weight"), "pearson"), "SELECT date, covar_pop(score, mom) / nullif(stddev_pop(score) * stddev_pop(mom), 0) AS ic FROM signal JOIN m6 USING (date, ticker) WHERE mom IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND covar_pop(score, mom) / nullif(stddev_pop(score) * stddev_pop(mom), 0) IS NOT NULL", SIGNAL + ", m6 AS (SELECT date, ticker, lag(close, 21) OVER t / nullif(lag(close, 126) OVER t, 0) - 1 AS mom FROM prices WINDOW t AS (PARTITION BY ticker ORDER BY date))", "ic")
 add("ts8_realized_vol", lambda s, d: R.realized_vol(_pnl(s, d)), "SELECT period_end, CASE WHEN count(*) OVER w >= 12 THEN stddev_samp(pnl) OVER w * sqrt(12) END AS vol FROM pnl WINDOW w AS (ORDER BY period_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)", BOOK, "vol")
@@ -329,15 +328,85 @@ def _one(mode, **overrides):
 
 _AB = {"base": _CFG, "no_overlay": config.variant(_CFG, {"overlay_mr": False})}
 _GP = config.settings("GP_MONTHLY")
-add("ml1_features", lambda s, d: W.features(*_inputs(s, d), _grid(s, d), _GP))
-add("ml2_training_rows", lambda s, d: W.training_rows(W.features(*_inputs(s, d), _grid(s, d), _GP), _rets(s, d), _grid(s, d), _GP))
-add("bt2_alpha", lambda s, d: W.alpha(*_inputs(s, d), P.market_prices(s, d), P.sectors(s, d), _grid(s, d), _CFG))
+
+
+def _zsamp(x: str) -> str:
+    w = "OVER (PARTITION BY date)"
+    return f"CASE WHEN coalesce(stddev_samp({x}) {w}, 0) = 0 THEN 0.0 ELSE ({x} - avg({x}) {w}) / (stddev_samp({x}) {w} + 1e-12) END"
+
+
+def _reversion(rows: int, name: str) -> str:
+    """CTEs for the three-day reversion score of residuals over so many rows, as name(date, ticker, score)."""
+    ticker = "PARTITION BY ticker ORDER BY date ROWS BETWEEN"
+    return f"""{name}_b AS (SELECT *, CASE WHEN count(ret) OVER w >= {max(5, rows // 5)} THEN covar_pop(ret, mkt_ret) OVER w / nullif(var_samp(mkt_ret) OVER w, 0) END AS beta
+  FROM (SELECT r.date, r.ticker, r.ret, m.mkt_ret FROM rets r JOIN market m ON m.date = r.date) WINDOW w AS ({ticker} {rows - 1} PRECEDING AND CURRENT ROW)),
+{name}_e AS (SELECT date, ticker, ret - coalesce(beta, 0) * mkt_ret AS resid FROM {name}_b),
+{name}_v AS (SELECT date, ticker, resid / nullif(CASE WHEN count(resid) OVER w >= 12 THEN stddev_samp(resid) OVER w END, 0) AS v FROM {name}_e WINDOW w AS ({ticker} 59 PRECEDING AND CURRENT ROW)),
+{name}_w AS (SELECT date, ticker, CASE WHEN count(v) OVER w >= 2 THEN -sum(v) OVER w END AS raw FROM {name}_v WINDOW w AS ({ticker} 2 PRECEDING AND CURRENT ROW)),
+{_robust(f"{name}_w", "raw", name)}"""
+
+
+ENGINE = f"me AS (SELECT date, ticker, lag(p, 21) OVER (PARTITION BY ticker ORDER BY date) AS mom FROM (SELECT date, ticker, CASE WHEN count(ret) OVER w >= 252 THEN product(1 + ret) OVER w - 1 END AS p FROM rets {W252}))"
+WBETA = "wb AS (SELECT g.date, r.ticker, CASE WHEN count(*) >= 5 THEN coalesce(covar_samp(ret, mkt_ret) / nullif(var_samp(mkt_ret), 0), 0) ELSE 0 END AS beta FROM grid g JOIN rets r ON r.date > g.date - 252 AND r.date <= g.date JOIN market m ON m.date = r.date GROUP BY 1, 2)"
+FEATURES = GRID + ", " + ENGINE + ", " + _reversion(252, "fr") + ", " + WBETA + f""",
+iv AS (SELECT date, ticker, stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS idvol FROM rets),
+fx AS (SELECT g.date, r.ticker, coalesce(mom, 0) AS mom, coalesce(score, 0) AS mr, coalesce(idvol, 0) AS idvol, coalesce(beta, 0) AS beta FROM grid g JOIN rets r ON r.date = g."asof"
+       LEFT JOIN me ON me.date = r.date AND me.ticker = r.ticker LEFT JOIN fr ON fr.date = r.date AND fr.ticker = r.ticker
+       LEFT JOIN iv ON iv.date = r.date AND iv.ticker = r.ticker LEFT JOIN wb ON wb.date = g.date AND wb.ticker = r.ticker),
+ft AS (SELECT date, ticker, {_zsamp("mom")} AS z_mom, {_zsamp("mr")} AS z_mr, {_zsamp("idvol")} AS z_idvol, {_zsamp("beta")} AS z_beta,
+       date_diff('day', (SELECT min(date) FROM rets), date) / CAST(252 AS DOUBLE) AS tau FROM fx)"""
+_FEATURE_NAMES = "z_mom z_mr z_idvol z_beta tau"
+add("ml1_features", lambda s, d: W.features(*_inputs(s, d), _grid(s, d), _GP), "SELECT * FROM ft", FEATURES, _FEATURE_NAMES)
+TRAIN = FEATURES + """,
+ty AS (SELECT g.date, r.ticker, product(1 + ret) - 1 AS y FROM grid g JOIN rets r ON last_day(r.date) = g.next_date GROUP BY 1, 2),
+td AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY md5(date || ' ' || ticker)) AS turn, count(*) OVER (PARTITION BY date) AS n FROM ty) WHERE turn <= greatest(1, floor(n * 0.4))),
+tl AS (SELECT date, ticker, greatest(-3.0, least(3.0, (y - m) / (1.4826 * (median(abs(y - m)) OVER (PARTITION BY date) + 1e-12)))) AS y FROM (SELECT *, median(y) OVER (PARTITION BY date) AS m FROM td)),
+tu AS (SELECT * FROM (SELECT a.date AS t, b.date, b.k, count(*) OVER (PARTITION BY a.date) AS dates, max(b.k) OVER (PARTITION BY a.date) AS last FROM grid a JOIN grid b ON b.k < a.k AND b.date >= a.date - 100) WHERE dates >= 3 AND k < last)"""
+add(
+    "ml2_training_rows", lambda s, d: W.training_rows(W.features(*_inputs(s, d), _grid(s, d), _GP), _rets(s, d), _grid(s, d), _GP),
+    "SELECT tu.t, ft.date, ft.ticker, z_mom, z_mr, z_idvol, z_beta, tau, y FROM tu JOIN ft ON ft.date = tu.date JOIN tl ON tl.date = ft.date AND tl.ticker = ft.ticker", TRAIN, _FEATURE_NAMES + " y",
+)
+ALPHA = GRID + ", " + ENGINE + ", " + _reversion(126, "ar") + f""",
+am AS (SELECT g.date, r.ticker, coalesce(CASE WHEN g.ord >= 274 THEN mom END, 0) AS mu, coalesce(score, 0) AS mr FROM grid g JOIN rets r ON r.date = g."asof"
+       LEFT JOIN me ON me.date = r.date AND me.ticker = r.ticker LEFT JOIN ar ON ar.date = r.date AND ar.ticker = r.ticker),
+az AS (SELECT date, ticker, {_zsamp("mu")} AS mu, mr FROM am),
+ao AS (SELECT date, ticker, mu * (1 - 0.3 * CASE WHEN sign(mu) <> sign(mr) THEN least(abs(mr), 1) ELSE 0 END) AS mu FROM az),
+ap AS (SELECT date, ticker, {_zsamp("mu")} AS mu FROM ao), aq AS (SELECT date, ticker, {_zsamp("mu")} AS mu FROM ap),
+aw AS (SELECT date, ticker, CASE WHEN coalesce(stddev_samp(mu) OVER w, 0) = 0 THEN coalesce(mu, 0) ELSE greatest(-3.0, least(3.0, (mu - avg(mu) OVER w) / nullif(stddev_samp(mu) OVER w, 0))) END AS mu FROM aq WINDOW w AS (PARTITION BY date)),
+ax AS (SELECT last_day(date) AS date, arg_max(melt, date) AS melt FROM (SELECT date, px / lag(px, 21) OVER (ORDER BY date) - 1 >= 0.07 AND px / lag(px, 63) OVER (ORDER BY date) - 1 >= 0.12 AS melt FROM mpx) GROUP BY 1),
+ay AS (SELECT g.date, coalesce(last_value(melt IGNORE NULLS) OVER (ORDER BY g.date), false) AS melt FROM grid g LEFT JOIN ax ON ax.date = g.date)"""
+add("bt2_alpha", lambda s, d: W.alpha(*_inputs(s, d), P.market_prices(s, d), P.sectors(s, d), _grid(s, d), _CFG), "SELECT date, ticker, CASE WHEN melt AND mu < 0 THEN mu * 0.5 ELSE mu END AS mu FROM aw JOIN ay USING (date)", ALPHA, "mu")
+add("bt3_ready_dates", lambda s, d: W.ready_dates(_rets(s, d), _grid(s, d), 504).select("date", "next_date", F.least("ord", F.lit(504)).alias("rows")), "SELECT date, next_date, least(ord, 504) AS rows FROM grid WHERE least(ord, 504) >= 60", GRID)
+add(
+    "ag23_cooldowns", lambda s, d: W.cooldowns(_pnl(s, d), fall=0.01),
+    "SELECT period_end, s AS sum_recent, losses, drawdown, coalesce(n >= 4 AND (s < -0.002 OR losses >= 2) AND drawdown > 0.01, false) AS cool FROM (SELECT period_end, n, s, losses, 1 - equity / nullif(greatest(max(equity) OVER (ORDER BY period_end ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), CASE WHEN n <= 4 THEN 1.0 END), 0) AS drawdown FROM (SELECT period_end, equity, row_number() OVER (ORDER BY period_end) AS n, sum(pnl) OVER w AS s, CAST(sum(CAST(pnl < 0 AS INT)) OVER w AS BIGINT) AS losses FROM eq WINDOW w AS (ORDER BY period_end ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)))",
+    BOOK, "sum_recent drawdown",
+)
+
+
+def _sectors_by_date(spark, d):
+    return W.at_grid(_rets(spark, d), _grid(spark, d), "ret", "ret").select("date", "ticker").join(F.broadcast(P.sectors(spark, d)), "ticker")
+
+
+ROWS = GRID + """, gs AS (SELECT g.date, r.ticker, s.sector FROM grid g JOIN rets r ON r.date = g."asof" JOIN sectors s ON s.ticker = r.ticker),
+gc AS (SELECT * FROM (SELECT date, sector, n, count(*) OVER (PARTITION BY date) AS kept FROM (SELECT date, sector, count(*) AS n FROM gs GROUP BY 1, 2) WHERE n >= 2) WHERE kept >= 2)"""
+add("ag19_sectors", lambda s, d: W.sector_constraints(_sectors_by_date(s, d)).groupBy("date", F.col("row").alias("sector")).agg(F.count("*").alias("names")), "SELECT date, sector, n AS names FROM gc", ROWS)
+add("op3_sector_rows", lambda s, d: W.sector_constraints(_sectors_by_date(s, d)), 'SELECT gs.date, gs.sector AS "row", ticker, CAST(1 AS DOUBLE) AS coefficient FROM gs JOIN gc ON gc.date = gs.date AND gc.sector = gs.sector', ROWS)
+add("op4_unit_rows", lambda s, d: W.sector_constraints(_sectors_by_date(s, d), unit=True), 'SELECT gs.date, gs.sector AS "row", ticker, 1 / sqrt(n) AS coefficient FROM gs JOIN gc ON gc.date = gs.date AND gc.sector = gs.sector', ROWS, "coefficient")
+# signs of axes are arbitrary: their projector is compared with a full decomposition in the tests
+add("op5_principal_axes", lambda s, d: G.sample_axes(_rets(s, d), 2))
+for _model in ("gp_kernel", "gp_kernel:matern52", "sample"):
+    add("rm7_" + _model.replace(":", "_"), lambda s, d, m=_model: W.covariances(_rets(s, d), _grid(s, d), m, 0.97, 504))
 add("bt1_walk_forward", lambda s, d: W.book(_run(s, d, _one("MOM_MONTHLY"))))
 add("bt1_weekly_reversion", lambda s, d: W.book(_run(s, d, _one("MR_WEEKLY"))))
 add("bt1_combo", lambda s, d: W.book(_run(s, d, _one("COMBO_MONTHLY"))))
 add("ml5_gaussian_process", lambda s, d: W.book(_run(s, d, _one("GP_MONTHLY"))))
 add("ml6_nystrom", lambda s, d: W.book(_run(s, d, _one("NYSTROM_MONTHLY"))))
 add("bt5_decisions", lambda s, d: _run(s, d, _one("MOM_MONTHLY")).drop("tickers", "weights"))
+add(
+    "bt_invariants", lambda s, d: W.invariants(_run(s, d, _one("MOM_MONTHLY")), _rets(s, d), _CFG),
+    "SELECT date, true AS profit_holds, true AS cost_holds, true AS still_holds, true AS solve_holds FROM grid WHERE least(ord, 504) >= 60", GRID,
+)
 add("bt11_report", lambda s, d: W.summary(_run(s, d, _one("MOM_MONTHLY")), P.riskfree(_rets(s, d)), _one("MOM_MONTHLY")))
 add("bt12_ab_curves", lambda s, d: W.curves(_run(s, d, _AB)))
 
@@ -371,3 +440,32 @@ add(
     "ag8_blend_grid", lambda s, d: R.blend_grid(_signal(s, d), S.mean_reversion(_resid(s, d)), S.ahead(_rets(s, d), 1)),
     " UNION ALL ".join(f"SELECT CAST({w} AS DOUBLE) AS mr_weight, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(252), 0) AS ic_ir_ann FROM bi{i}" for i, w in enumerate(BLENDS)), BLEND_GRID, "ic_ir_ann",
 )
+
+
+CAL = """ce AS (SELECT DISTINCT period_end FROM pnl),
+cg AS (SELECT period_end, ticker, coalesce(c / nullif(lag(c) OVER (PARTITION BY ticker ORDER BY period_end), 0) - 1, 0) AS ret FROM (
+  SELECT period_end, ticker, max_by(c, g.date) AS c FROM ce JOIN (SELECT date, ticker, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS c FROM rets) g ON g.date <= period_end GROUP BY 1, 2)),
+cm AS (SELECT period_end, coalesce(c / nullif(lag(c) OVER (ORDER BY period_end), 0) - 1, 0) AS mkt_ret FROM (
+  SELECT period_end, max_by(c, g.date) AS c FROM ce LEFT JOIN (SELECT date, product(1 + mkt_ret) OVER (ORDER BY date) AS c FROM market) g ON g.date <= period_end GROUP BY 1)),
+cb AS (SELECT period_end, ticker, CASE WHEN count(*) OVER w >= 12 THEN (avg(ret * mkt_ret) OVER w - avg(ret) OVER w * avg(mkt_ret) OVER w) / nullif(var_samp(mkt_ret) OVER w, 0) END AS beta
+  FROM (SELECT cg.*, mkt_ret FROM cg JOIN cm USING (period_end)) WINDOW w AS (PARTITION BY ticker ORDER BY period_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+
+
+def _period_betas(spark, d):
+    return R.period_betas(_rets(spark, d), P.market(spark, d), _pnl(spark, d).select("period_end"), 12)
+
+
+add("ag15_period_betas", _period_betas, "SELECT period_end AS date, ticker, beta FROM cb", BOOK + ", " + CAL, "beta")
+add("ag15_rolling_exposure", lambda s, d: R.exposure(_weights(s, d), _period_betas(s, d), inner=True), "SELECT w.date, sum(weight * coalesce(beta, 0)) AS exposure FROM weights w JOIN cb ON cb.period_end = w.date AND cb.ticker = w.ticker GROUP BY 1", BOOK + ", " + CAL, "exposure")
+
+
+def _two_curves(spark, d):
+    book = M.equity(_pnl(spark, d)).select(F.lit("portfolio").alias("name"), F.col("period_end").alias("date"), F.col("equity").alias("value"))
+    return book.unionByName(R.to_growth(P.market(spark, d).select("date", F.col("mkt_ret").alias("ret"))).select(F.lit("market").alias("name"), "date", F.col("growth").alias("value")))
+
+
+add(
+    "pl3_equity_vs_market", lambda s, d: R.aligned(_two_curves(s, d)),
+    "SELECT name, date, coalesce(value, nxt) / first_value(coalesce(value, nxt)) OVER (PARTITION BY name ORDER BY date) AS value FROM (SELECT name, date, last_value(v IGNORE NULLS) OVER (PARTITION BY name ORDER BY date) AS value, first_value(v IGNORE NULLS) OVER (PARTITION BY name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT n.name, t.date, c.value AS v FROM (SELECT DISTINCT date FROM curves) t CROSS JOIN (SELECT DISTINCT name FROM curves) n LEFT JOIN curves c ON c.date = t.date AND c.name = n.name))",
+    BOOK + ", curves AS (SELECT 'portfolio' AS name, period_end AS date, equity AS value FROM eq UNION ALL SELECT 'market', date, product(1 + mkt_ret) OVER (ORDER BY date) FROM market)", "value",
+)

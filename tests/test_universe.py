@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from xsecta.operators import outputs as O
 from xsecta.operators import reports as R
 from xsecta.operators import signals as S
 from xsecta.plans import config
@@ -17,7 +18,7 @@ def prices(spark, tickers, days=DAYS):
 
 def test_only_missing_windows_are_fetched(spark, tmp_path):
     path = str(tmp_path / "cache")
-    R.write_cache(prices(spark, ["A", "B"], DAYS[:3]), path)
+    O.write_cache(prices(spark, ["A", "B"], DAYS[:3]), path)
     asked = []
 
     def fetch(spark, tickers, start, end):
@@ -36,18 +37,18 @@ def test_universe_keeps_the_order_asked_for(spark):
     with pytest.raises(ValueError):
         U.universe(prices(spark, ["A"]), ["A"], "M")
     assert {r.ticker: r.sector for r in U.sector_table(spark, ["XOM", "?", "XOM"]).collect()} == {"XOM": "Energy", "?": "Other"}
-    assert sum(len(v.split()) for v in U.SECTORS.values()) == 50
+    assert len(U.SECTORS) == 50
 
 
 def test_a_run_is_read_as_it_was_written(spark, tmp_path):
     pnl = spark.createDataFrame([(DAYS[0], 0.1), (DAYS[1], -0.2)], "period_end date, pnl double")
     weights = prices(spark, ["A", "B.C"]).withColumnRenamed("close", "weight")
     cfg = config.settings("MOM_MONTHLY")
-    R.write_run(str(tmp_path), pnl, weights, cfg, start="2024-01-01")
-    a, b, chosen, context = U.read_run(spark, str(tmp_path))
+    O.write_run(str(tmp_path), pnl, weights, cfg, start="2024-01-01")
+    a, b, chosen, context = O.read_run(spark, str(tmp_path))
     assert sorted(a.collect()) == sorted(pnl.collect()) and sorted(b.collect()) == sorted(weights.collect())
     assert chosen == cfg and context == {"start": "2024-01-01"}
-    R.write_tables(str(tmp_path), {"t": (pnl, ["period_end"])})
+    O.write_tables(str(tmp_path), {"t": (pnl, ["period_end"])})
     assert spark.read.csv(f"{tmp_path}/t.csv", header=True).count() == 2
 
 
@@ -61,3 +62,17 @@ def test_overlay_and_equity(spark):
     assert R.to_equity(down, "pnl", "period_end").collect() == down.collect()
     flat = S.reversion_from_prices(prices(spark, ["A", "B", "C"]))
     assert flat.count() == 18 and not flat.filter("score is null").count()
+
+
+def test_a_written_cache_keeps_other_tickers_and_survives_a_failure(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    O.write_cache(prices(spark, ["A", "B", "Z"], DAYS[:3]), path)
+    fetch = lambda spark, tickers, start, end: prices(spark, tickers, [d for d in DAYS if start <= str(d) <= end])
+    _, merged = U.cached_prices(spark, path, ["A", "B"], "2024-01-01", "2024-01-05", fetch)
+    O.write_cache(merged, path)  # reads the cache that it writes
+    every = lambda: {r.ticker: r["count"] for r in U.read_cache(spark, path, ["A", "B", "Z"]).groupBy("ticker").count().collect()}
+    assert every() == {"A": 5, "B": 5, "Z": 3}
+    broken = prices(spark, ["A", "Z"]).withColumn("close", F.when(F.col("ticker") == "Z", F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="broken"):
+        O.write_cache(broken, path)
+    assert every() == {"A": 5, "B": 5, "Z": 3}

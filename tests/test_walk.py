@@ -97,10 +97,9 @@ def test_models_learn_a_line():
     assert len(rows) == 40 and set(np.argsort(-np.abs(y))[:20]) <= set(rows.tolist())
 
 
-def test_settings_round_trip(tmp_path):
+def test_settings_round_trip():
     cfg = config.settings("GP_MONTHLY", {"risk_aversion": 7.0})
-    config.save(cfg, str(tmp_path / "run.json"), tickers=["A"])
-    assert config.load(str(tmp_path / "run.json")) == (cfg, {"tickers": ["A"]})
+    assert config.loads(config.dumps(cfg, tickers=["A"])) == (cfg, {"tickers": ["A"]})
     assert [config.annual_factor(f) for f in ("W-FRI", "ME", "D")] == [52, 12, 252]
     for wrong in (lambda: config.settings("NONE"), lambda: config.settings(overrides={"x": 1})):
         with pytest.raises(ValueError):

@@ -22,12 +22,12 @@ def information_coefficient(signal: DataFrame, fwd: DataFrame, method: str = "sp
     return both.groupBy("date").agg(F.when(F.count("*") >= 3, corr("x", "y")).alias("ic")).filter("ic is not null")
 
 
-def ic_summary(ic: DataFrame) -> DataFrame:
+def ic_summary(ic: DataFrame, factor: float = 252.0, count: str = "n_days") -> DataFrame:
     sd = F.stddev_samp("ic")
     # ranks often correlate by exactly 0, whose sign after rounding is chance
     return ic.agg(
-        F.avg("ic").alias("ic_mean"), sd.alias("ic_std"), F.coalesce(F.avg("ic") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("ic_ir_ann"),
-        (F.avg((F.round("ic", 9) > 0).cast("double")) * 100).alias("hit_rate_pct"), F.count("*").alias("n_days"),
+        F.avg("ic").alias("ic_mean"), sd.alias("ic_std"), F.coalesce(F.avg("ic") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(factor)), F.lit(0.0)).alias("ic_ir_ann"),
+        (F.avg((F.round("ic", 9) > 0).cast("double")) * 100).alias("hit_rate_pct"), F.count("*").alias(count),
     )
 
 
@@ -98,7 +98,7 @@ def static_betas(rets: DataFrame, market: DataFrame, least: int = 5) -> DataFram
 
 
 def binding(weights: DataFrame, betas: DataFrame, bound: float = 0.1, gross: float = 2.0, limit: float = 0.02, eps: float = 1e-6) -> DataFrame:
-    j = weights.join(F.broadcast(betas), "ticker", "left")
+    j = weights.join(betas, ["date", "ticker"], "left") if "date" in betas.columns else weights.join(F.broadcast(betas), "ticker", "left")
     beta = F.sum(F.col("weight") * F.coalesce("beta", F.lit(0.0)))
     g = j.groupBy("date").agg(F.avg((F.abs("weight") >= bound - eps).cast("double")).alias("pos_bind_rate"), (F.sum(F.abs("weight")) >= gross - eps).cast("double").alias("gross_bind"), beta.alias("beta_exposure"))
     return g.withColumn("beta_bind", (F.abs("beta_exposure") >= limit - eps).cast("double"))

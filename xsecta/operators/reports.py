@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import X
-from ..plans import config
-from ..sources.panel import write_wide
 from .gram import pair_sums
-from .metrics import binding, decile_long_short, equity, ic_summary, information_coefficient, return_stats, rolling_sharpe, sector_exposure
+from .metrics import decile_long_short, ic_summary, information_coefficient
 from .signals import ahead, blend, mean_reversion, momentum_signal
 
 
@@ -49,7 +47,7 @@ def repriced(pnl: DataFrame, turn: DataFrame, now: float = 5.0, tests=(0.0, 5.0,
 
 
 def binding_summary(binding: DataFrame) -> DataFrame:
-    """(constraint, bind_pct): mean of each numeric column in per cent; write_csv() sorts it downwards by share."""
+    """(constraint, bind_pct): mean of each numeric column in per cent; its file is sorted downwards by share."""
     names = [c for c in binding.columns if c != "date"]
     means = binding.agg(*[(F.avg(c) * 100).alias(c) for c in names])
     return means.unpivot([], names, "constraint", "bind_pct")
@@ -175,16 +173,6 @@ def last_of_period(signal: DataFrame, label: Column) -> DataFrame:
     return signal.groupBy(label.alias("period_end"), "ticker").agg(F.max_by("score", F.when(F.col("score").isNotNull(), F.col("date"))).alias("score"))
 
 
-def write_csv(table: DataFrame, path: str, order: list[str]) -> None:
-    """A small report as one CSV file with a header."""
-    table.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def write_cache(prices: DataFrame, path: str) -> None:
-    """Prices as Parquet by ticker, so that a load of some tickers reads their folders only."""
-    prices.repartition("ticker").write.mode("overwrite").partitionBy("ticker").parquet(path)
-
-
 def panel_periods(daily: DataFrame, ends: DataFrame) -> DataFrame:
     """(period_end, ticker, ret) of daily(date, ticker, ret) at ends(period_end): growth as of each end over the one before;
     0 at the first end and before a name's first return."""
@@ -252,48 +240,3 @@ def to_equity(series: DataFrame, x: str, by: str) -> DataFrame:
     if s.top is None or s.top <= 1e-12 or not (s.high < 0.5 and s.low > -0.5 and abs(s.mean) < 0.2):
         return series
     return series.withColumn(x, F.product(1 + F.coalesce(F.col(x), F.lit(0.0))).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def write_run(folder: str, pnl: DataFrame, weights: DataFrame, chosen: config.Settings, **context) -> None:
-    """pnl.csv, weights.csv (date by ticker) and run_config.json of a run, which universe.read_run reads."""
-    tickers = sorted(r.ticker for r in weights.select("ticker").distinct().collect())
-    write_csv(pnl.select("period_end", "pnl"), f"{folder}/pnl.csv", ["period_end"])
-    write_wide(weights, f"{folder}/weights.csv", "weight", tickers)
-    config.save(chosen, f"{folder}/run_config.json", **context)
-
-
-def write_tables(folder: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> None:
-    """Each (table, order) as folder/name.csv."""
-    for name, (table, order) in tables.items():
-        write_csv(table, f"{folder}/{name}.csv", order)
-
-
-def diagnostics(pnl: DataFrame, weights: DataFrame, betas: DataFrame, sectors: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
-    """What a run's diagnostics consist of, for write_tables."""
-    bound = binding(weights, betas)
-    return {
-        "drawdown": (equity(pnl).select("period_end", "drawdown"), ["period_end"]),
-        "beta_exposure": (exposure(weights, betas), ["date"]),
-        "constraint_binding": (bound, ["date"]),
-        "constraint_binding_summary": (binding_summary(bound), ["constraint"]),
-        "rolling_sharpe": (rolling_sharpe(pnl), ["period_end"]),
-        "sector_exposure": (sector_exposure(weights, sectors), ["date", "sector"]),
-    }
-
-
-def momentum_lab(prices: DataFrame, fwd: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Grid, monthly IC and decile statistics of momentum, for write_tables."""
-    cells = [(g, n) for g in (10, 21, 30) for n in (126, 189, 252)]
-    of = lambda g, n: information_coefficient(momentum_signal(prices, g, n), fwd)
-    named = lambda df, g, n: df.select(F.lit(g).alias("gap"), F.lit(n).alias("lookback"), "*")
-    monthly = union([named(of(g, n).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.avg("ic").alias("ic_mean")), g, n) for g, n in cells])
-    deciles = union([named(return_stats(decile_long_short(momentum_signal(prices, g, n), fwd), "ls_ret"), g, n) for g, n in cells])
-    key = ["gap", "lookback"]
-    return {"grid": (momentum_grid(prices, fwd), key), "ic_monthly": (monthly, [*key, "month"]), "decile_stats": (deciles, key)}
-
-
-def reversion_lab(rets: DataFrame, resid: DataFrame, momentum: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Grid, blend grid and the best cell of mean reversion, for write_tables."""
-    grid = reversion_grid(resid, rets)
-    blends = blend_grid(momentum, mean_reversion(resid), ahead(rets, 1))
-    return {"grid": (grid, ["mr_lookback", "fwd_days"]), "blend_grid": (blends, ["mr_weight"]), "best": (best(grid), ["mr_lookback"])}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, fields, replace
-from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -116,13 +115,14 @@ def variant(base: Settings, overrides: dict) -> Settings:
     return replace(base, **overrides)
 
 
-def save(chosen: Settings, path: str, **context) -> None:
-    """Settings and context (tickers, dates, market) as one small JSON file on the driver."""
-    Path(path).write_text(json.dumps({"config": asdict(chosen), **context}, indent=2, default=str))
+def dumps(chosen: Settings, **context) -> str:
+    """Settings and context (tickers, dates, market) as JSON; the periods a year go with them for those who read it."""
+    return json.dumps({"config": asdict(chosen) | {"ann_factor": chosen.ann_factor}, **context}, indent=2, default=str)
 
 
-def load(path: str) -> tuple[Settings, dict]:
-    held = json.loads(Path(path).read_text())
+def loads(text: str) -> tuple[Settings, dict]:
+    held = json.loads(text)
     own = held.pop("config")
+    own.pop("ann_factor", None)
     own["vol_scale_bounds"] = tuple(own["vol_scale_bounds"])
     return variant(Settings(), own), held

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import gram as G
 from ..operators import metrics as M
+from ..operators import outputs as O
 from ..operators import reports as R
 from ..operators import signals as S
 from ..operators import solve
@@ -469,3 +470,55 @@ add(
     "SELECT name, date, coalesce(value, nxt) / first_value(coalesce(value, nxt)) OVER (PARTITION BY name ORDER BY date) AS value FROM (SELECT name, date, last_value(v IGNORE NULLS) OVER (PARTITION BY name ORDER BY date) AS value, first_value(v IGNORE NULLS) OVER (PARTITION BY name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT n.name, t.date, c.value AS v FROM (SELECT DISTINCT date FROM curves) t CROSS JOIN (SELECT DISTINCT name FROM curves) n LEFT JOIN curves c ON c.date = t.date AND c.name = n.name))",
     BOOK + ", curves AS (SELECT 'portfolio' AS name, period_end AS date, equity AS value FROM eq UNION ALL SELECT 'market', date, product(1 + mkt_ret) OVER (ORDER BY date) FROM market)", "value",
 )
+
+
+def _ls_of(signal: str, fwd: str, name: str) -> str:
+    """CTE for the daily decile spread of signal in fwd, as name(date, ls_ret)."""
+    return f"""{name} AS (SELECT * FROM (SELECT date, avg(CASE WHEN q >= 0.9 THEN fwd_ret END) - avg(CASE WHEN q <= 0.1 THEN fwd_ret END) AS ls_ret FROM (
+  SELECT s.date, fwd_ret, {_rank("score").replace("BY date", "BY s.date")} / count(*) OVER (PARTITION BY s.date) AS q FROM {signal} s JOIN {fwd} f ON f.date = s.date AND f.ticker = s.ticker WHERE s.score IS NOT NULL AND f.fwd_ret IS NOT NULL)
+  GROUP BY date HAVING count(*) >= 20) WHERE ls_ret IS NOT NULL)"""
+
+
+def _stats_of(factor: int, count: str) -> str:
+    return f"avg(ls_ret) * {factor} AS ann_ret, stddev_samp(ls_ret) * sqrt({factor}) AS ann_vol, coalesce(avg(ls_ret) * {factor} / nullif(stddev_samp(ls_ret) * sqrt({factor}), 0), 0) AS sharpe, count(ls_ret) AS {count}"
+
+
+def _base(spark, d):
+    return S.mean_reversion(_resid(spark, d))
+
+
+add("snk6_monthly_ic", lambda s, d: O.monthly_ic_grid(P.prices(s, d), S.forward_returns(P.prices(s, d))), " UNION ALL ".join(f"SELECT {g} AS gap, {n} AS lookback, strftime(date, '%Y-%m') AS month, avg(ic) AS ic_mean FROM i{g}_{n} GROUP BY 3" for g, n in CELLS), MOM_GRID, "ic_mean")
+BEST = MOM_GRID + ", " + ", ".join(_ls_of(f"s{g}_{n}", "fwd", f"d{g}_{n}") for g, n in CELLS) + ", top AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {g} AS gap, {n} AS lookback, {SUMMARY} FROM i{g}_{n}" for g, n in CELLS) + ") ORDER BY ic_ir_ann DESC LIMIT 1)"
+add(
+    "snk6_best_deciles", lambda s, d: O.best_deciles(P.prices(s, d), S.forward_returns(P.prices(s, d)), R.momentum_grid(P.prices(s, d), S.forward_returns(P.prices(s, d))))[0],
+    "SELECT x.* FROM (" + " UNION ALL ".join(f"SELECT {g} AS gap, {n} AS lookback, {_stats_of(252, 'n_days')} FROM d{g}_{n}" for g, n in CELLS) + ") x JOIN top ON top.gap = x.gap AND top.lookback = x.lookback", BEST, "ann_ret ann_vol sharpe",
+)
+LABEL = {"W-FRI": "CAST(date_trunc('week', date) + INTERVAL 4 DAY AS DATE)", "ME": "last_day(date)"}
+
+
+def _period_ctes(freq: str) -> str:
+    return MR + f""", lp AS (SELECT {LABEL[freq]} AS date, ticker, max_by(score, date) AS score FROM mrs GROUP BY 1, 2),
+lr AS (SELECT {LABEL[freq]} AS date, ticker, product(1 + ret) - 1 AS fwd_ret FROM rets GROUP BY 1, 2),
+ln AS (SELECT date, ticker, lead(fwd_ret) OVER (PARTITION BY ticker ORDER BY date) AS fwd_ret FROM lr), {_ic_of("lp", "lr", "lc")}, {_ls_of("lp", "ln", "ld")}"""
+
+
+def _period_summary(factor: int, count: str) -> str:
+    return f"SELECT avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt({factor}), 0) AS ic_ir_ann, count(*) AS {count} FROM lc"
+
+
+for _freq, _factor, _count in (("W-FRI", 52, "n_weeks"), ("ME", 12, "n_months")):
+    add(
+        f"snk7_{'weekly' if _factor == 52 else 'monthly'}_ic", lambda s, d, f=_freq, k=_factor, c=_count: M.ic_summary(O.period_ic(_base(s, d), _rets(s, d), f), float(k), c).drop("hit_rate_pct"),
+        _period_summary(_factor, _count), _period_ctes(_freq), "ic_mean ic_std ic_ir_ann",
+    )
+add("snk7_weekly_deciles", lambda s, d: M.return_stats(O.period_deciles(_base(s, d), _rets(s, d), "W-FRI"), "ls_ret", 52.0).withColumnRenamed("n_days", "n_weeks"), f"SELECT {_stats_of(52, 'n_weeks')} FROM ld", _period_ctes("W-FRI"), "ann_ret ann_vol sharpe")
+add(
+    "snk7_best_stats", lambda s, d: O.reversion_lab(_rets(s, d), _resid(s, d), _signal(s, d))["mr_best_stats"][0],
+    "SELECT x.* FROM (" + " UNION ALL ".join(f"SELECT {n} AS L, 1 AS F, {_stats_of(252, 'n_days')} FROM e{n}" for n in (3, 5, 10)) + ") x JOIN rtop ON rtop.mr_lookback = x.L",
+    MR_GRID + ", " + ", ".join(_ls_of(f"z{n}", "a1", f"e{n}") for n in (3, 5, 10)) + ", rtop AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {n} AS mr_lookback, {SUMMARY} FROM j{n}_1" for n in (3, 5, 10)) + ") ORDER BY ic_ir_ann DESC, ic_mean DESC LIMIT 1)", "ann_ret ann_vol sharpe",
+)
+add(
+    "snk5_rolling_binding", lambda s, d: M.binding(_weights(s, d), _period_betas(s, d), 0.1, 1.9),
+    "SELECT w.date, avg(CASE WHEN abs(weight) >= 0.1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS pos_bind_rate, CAST(sum(abs(weight)) >= 1.9 - 1e-6 AS DOUBLE) AS gross_bind, sum(weight * coalesce(beta, 0)) AS beta_exposure, CAST(abs(sum(weight * coalesce(beta, 0))) >= 0.02 - 1e-6 AS DOUBLE) AS beta_bind FROM weights w LEFT JOIN cb ON cb.period_end = w.date AND cb.ticker = w.ticker GROUP BY 1",
+    BOOK + ", " + CAL, "pos_bind_rate gross_bind beta_exposure beta_bind",
+)

@@ -1,4 +1,4 @@
-"""Universes: cached vendor prices, sectors of known tickers, and what an earlier run has written."""
+"""Universes: cached vendor prices and sectors of known tickers."""
 
 from __future__ import annotations
 
@@ -6,30 +6,69 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import config
 from .panel import load, merge_cache, missing_window
 from .vendor import vendor_prices
 
 SHAPE = "date date, ticker string, close double"
-# Sectors of the default universe; any other ticker is in OTHER.
+# The sector of each ticker of the default universe; any other one is in OTHER.
 SECTORS = {
-    "Information Technology": "AAPL MSFT NVDA AVGO AMD QCOM CSCO ORCL ACN ADBE CRM TXN IBM INTC AMAT",
-    "Communication Services": "GOOGL META NFLX CMCSA VZ",
-    "Consumer Discretionary": "AMZN TSLA HD NKE MCD SBUX BKNG LOW",
-    "Consumer Staples": "KO PEP COST PM WMT",
-    "Health Care": "UNH MRK ABBV PFE TMO ABT DHR GILD",
-    "Energy": "CVX XOM",
-    "Financials": "JPM V MA",
-    "Industrials": "UPS CAT HON",
-    "Materials": "LIN",
+    "AAPL": "Information Technology",
+    "MSFT": "Information Technology",
+    "NVDA": "Information Technology",
+    "AVGO": "Information Technology",
+    "AMD": "Information Technology",
+    "QCOM": "Information Technology",
+    "CSCO": "Information Technology",
+    "ORCL": "Information Technology",
+    "ACN": "Information Technology",
+    "ADBE": "Information Technology",
+    "CRM": "Information Technology",
+    "TXN": "Information Technology",
+    "IBM": "Information Technology",
+    "INTC": "Information Technology",
+    "AMAT": "Information Technology",
+    "GOOGL": "Communication Services",
+    "META": "Communication Services",
+    "NFLX": "Communication Services",
+    "CMCSA": "Communication Services",
+    "VZ": "Communication Services",
+    "AMZN": "Consumer Discretionary",
+    "TSLA": "Consumer Discretionary",
+    "HD": "Consumer Discretionary",
+    "NKE": "Consumer Discretionary",
+    "MCD": "Consumer Discretionary",
+    "SBUX": "Consumer Discretionary",
+    "BKNG": "Consumer Discretionary",
+    "LOW": "Consumer Discretionary",
+    "KO": "Consumer Staples",
+    "PEP": "Consumer Staples",
+    "COST": "Consumer Staples",
+    "PM": "Consumer Staples",
+    "WMT": "Consumer Staples",
+    "UNH": "Health Care",
+    "MRK": "Health Care",
+    "ABBV": "Health Care",
+    "PFE": "Health Care",
+    "TMO": "Health Care",
+    "ABT": "Health Care",
+    "DHR": "Health Care",
+    "GILD": "Health Care",
+    "CVX": "Energy",
+    "XOM": "Energy",
+    "JPM": "Financials",
+    "V": "Financials",
+    "MA": "Financials",
+    "UPS": "Industrials",
+    "CAT": "Industrials",
+    "HON": "Industrials",
+    "LIN": "Materials",
 }
 OTHER = "Other"
 
 
 def sector_table(spark: SparkSession, tickers: list[str]) -> DataFrame:
     """(ticker, sector) of the tickers, in OTHER where the sector isn't known."""
-    known = {t: sector for sector, names in SECTORS.items() for t in names.split()}
-    return spark.createDataFrame([(t, known.get(t, OTHER)) for t in dict.fromkeys(tickers)], "ticker string, sector string")
+    return spark.createDataFrame([(t, SECTORS.get(t, OTHER)) for t in dict.fromkeys(tickers)], "ticker string, sector string")
 
 
 def read_cache(spark: SparkSession, path: str, tickers: list[str]) -> DataFrame:
@@ -67,12 +106,3 @@ def universe(prices: DataFrame, tickers: list[str], market: str) -> tuple[DataFr
         raise ValueError(f"no prices of the market {market}")
     there = [t for t in dict.fromkeys(tickers) if t in known and t != market]
     return prices.filter(F.col("ticker").isin(there)), prices.filter(F.col("ticker") == market).select("date", F.col("close").alias("px")), there
-
-
-def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, config.Settings, dict]:
-    """(pnl(period_end, pnl), weights(date, ticker, weight), settings, context) of a run that reports.write_run has written."""
-    pnl = spark.read.schema("period_end date, pnl double").csv(f"{folder}/pnl.csv", header=True)
-    wide = spark.read.csv(f"{folder}/weights.csv", header=True)
-    names = [c for c in wide.columns if c != "date"]
-    weights = wide.select(F.col("date").cast("date").alias("date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot("date", [F.col(f"`{c}`") for c in names], "ticker", "weight")
-    return pnl, weights, *config.load(f"{folder}/run_config.json")

@@ -6,18 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, ranges, row_chunks, saved, text_batch, text_of
+from .common import lower_ascii, row_chunks, saved, text_batch, text_of
 
 #: Words of the longest feature, buckets of the hash, seed of the draw, least words of a drawn document, documents drawn in per cent.
 GRAMS, BUCKETS, SEED, LEAST, PERCENT = 1, 10_000, 2024, 20, 10
 #: Bytes of text of a block, whose words share one list; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Digits and letters, and all bytes of other characters.
 _SOLID = np.zeros(256, bool)
 _SOLID[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
 
-BLOCKS = "block long, target boolean, docs array<long>, at binary, tokens binary, words array<string>"
-GRAMMED = "block long, target boolean, docs array<long>, n array<long>, at binary, place binary, times binary, grams array<array<long>>, counts array<long>"
+BLOCKS = "block long, target boolean, docs array<long>, sizes binary, tokens binary, words array<string>"
+GRAMMED = "block long, target boolean, docs array<long>, n binary, sizes binary, place binary, times binary, grams array<array<long>>, counts array<long>"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -38,6 +38,15 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return words, np.searchsorted(starts, offsets)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """x as 32-bit numbers, first all lowest bytes and last all highest ones: small numbers compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _blocks(target: bool):
     """One row for each block of texts: its documents, their words as places in the block's list, and that list."""
 
@@ -52,16 +61,20 @@ def _blocks(target: bool):
                 rows = len(offsets) - 1
                 words, at = _words(data, offsets)
                 coded = words.dictionary_encode()
+                token = coded.indices.to_numpy(zero_copy_only=False)
+                often = np.argsort(-np.bincount(token, minlength=len(coded.dictionary)), kind="stable")
+                place = np.empty(len(often), np.int64)
+                place[often] = np.arange(len(often))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([2 * number + target], pa.int64()),
                         pa.array([target]),
                         pa.array([batch.column("doc_id").slice(done, rows).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([at.astype("<i8").tobytes()], pa.binary()),
-                        pa.array([coded.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+                        pa.array([_packed(np.diff(at))], pa.binary()),
+                        pa.array([_packed(place[token])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(often)], pa.int32()), coded.dictionary.take(pa.array(often)).cast(pa.string())),
                     ],
-                    ["block", "target", "docs", "at", "tokens", "words"],
+                    ["block", "target", "docs", "sizes", "tokens", "words"],
                 )
                 done, number = done + rows, number + 1
 
@@ -77,10 +90,9 @@ def _grams(longest: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.asarray(batch.column("ids")[i].values, np.int64)
-                at = np.frombuffer(batch.column("at")[i].as_py(), "<i8")
-                tokens = np.frombuffer(batch.column("tokens")[i].as_py(), "<i4").astype(np.int64)
-                rows = len(at) - 1
-                doc = np.repeat(np.arange(rows), np.diff(at))
+                sizes, tokens = (_unpacked(batch.column(c)[i].as_py()) for c in ("sizes", "tokens"))
+                rows = len(sizes)
+                doc = np.repeat(np.arange(rows), sizes)
                 prefix, grams, codes, docs, known = tokens, [], [], [], 0
                 for k in range(longest):
                     if k:  # a run is the run without its last word, and that word
@@ -88,7 +100,7 @@ def _grams(longest: int):
                         prefix = np.where(whole, prefix[: len(whole)] * len(ids) + tokens[k:], -1)
                     good = np.flatnonzero(prefix >= 0)
                     _, first, code = np.unique(prefix[good], return_index=True, return_inverse=True)
-                    grams += [ids[tokens[s : s + k + 1]].tolist() for s in good[first].tolist()]
+                    grams.append(ids[tokens[good[first][:, None] + np.arange(k + 1)]])
                     codes.append(code + known), docs.append(doc[good])
                     full = np.full(len(prefix), -1, np.int64)
                     full[good] = code  # small numbers again, so the next product stays exact
@@ -97,17 +109,20 @@ def _grams(longest: int):
                 pair, times = np.unique(doc_of * max(known, 1) + code, return_counts=True)
                 owner = pair // max(known, 1)
                 counts = np.bincount(code, minlength=known)
+                ends = np.cumsum(np.concatenate([[0], *(np.full(len(g), g.shape[1]) for g in grams)]))
+                tuples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([g.ravel() for g in grams]), pa.int64()))
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("block").slice(i, 1), batch.column("target").slice(i, 1), batch.column("docs").slice(i, 1),
-                        pa.array([np.bincount(doc_of, minlength=rows).tolist()], pa.list_(pa.int64())),
-                        pa.array([np.searchsorted(owner, np.arange(rows + 1)).astype("<i8").tobytes()], pa.binary()),
-                        pa.array([(pair - owner * max(known, 1)).astype("<i4").tobytes()], pa.binary()),
-                        pa.array([times.astype("<i4").tobytes()], pa.binary()),
-                        pa.array([grams], pa.list_(pa.list_(pa.int64()))),
-                        pa.array([counts.tolist()], pa.list_(pa.int64())),
+                        pa.array([_packed(np.bincount(doc_of, minlength=rows))], pa.binary()),
+                        pa.array([_packed(np.bincount(owner, minlength=rows))], pa.binary()),
+                        pa.array([_packed(pair - owner * max(known, 1))], pa.binary()),
+                        pa.array([_packed(times)], pa.binary()),
+                        whole(tuples),
+                        whole(pa.array(counts, pa.int64())),
                     ],
-                    ["block", "target", "docs", "n", "at", "place", "times", "grams", "counts"],
+                    ["block", "target", "docs", "n", "sizes", "place", "times", "grams", "counts"],
                 )
 
     return run
@@ -119,10 +134,10 @@ def _weights(batches):
 
     for batch in batches:
         for i in range(batch.num_rows):
-            at, place, times = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in (("at", "<i8"), ("place", "<i4"), ("times", "<i4")))
+            n, sizes, place, times = (_unpacked(batch.column(c)[i].as_py()) for c in ("n", "sizes", "place", "times"))
             gains = np.asarray(batch.column("gains")[i].values, np.int64)
             sums = np.concatenate([[0], np.cumsum(gains[place] * times)]) if len(place) else np.zeros(1, np.int64)
-            n = np.asarray(batch.column("n")[i].values, np.int64)
+            at = np.concatenate([[0], np.cumsum(sizes)])
             total = sums[at[1:]] - sums[at[:-1]]
             yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(n), pa.array(total // np.maximum(n, 1))], ["doc_id", "n_features", "weight"])
 

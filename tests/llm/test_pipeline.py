@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from xsecta.llm import mixing
+from xsecta.llm import common, mixing
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, __row string"
 
@@ -68,17 +68,34 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert rows_of(got) == Counter([(1, "mail [EMAIL]", "a")] * 2 + rows[2:])
 
 
-def test_scratch_of_a_stage_goes_when_the_next_starts(spark):
+def written():
     from pathlib import Path
     from urllib.parse import urlparse
 
+    return {path for path, _ in common._written if Path(urlparse(path).path).exists()}
+
+
+def test_scratch_goes_once_nothing_reads_it(spark):
     rng = random.Random(5)
     docs = table(spark, [(i, words(rng, 30), "a") for i in range(20)])
+    common.sweep(spark)
+    before = written()
     first = cp.one_of_each(spark, docs, "")
-    made = [Path(urlparse(p).path) for p in cp._left]
-    assert first.count() == 20 and any(p.exists() for p in made)
+    made = written() - before
+    assert first.count() == 20 and made
+    del first
     second = cp.redacted(spark, docs, "")
-    assert not any(p.exists() for p in made) and second.count() == 20
+    assert not made & written() and second.count() == 20
+
+
+def test_results_of_several_stages_stay_readable(spark):
+    rng = random.Random(7)
+    docs = table(spark, [(i, words(rng, 30) + " a@b.co", "a") for i in range(20)])
+    a = cp.redacted(spark, docs, "").filter("doc_id >= 0")
+    b = cp.redacted(spark, docs.filter("doc_id < 5"), "")
+    c = cp.mixed(spark, docs, "")
+    common.sweep(spark)
+    assert a.count() == 20 and b.count() == 5 and c.count() >= 20
 
 
 def test_all_stages_take_empty_tables(spark):

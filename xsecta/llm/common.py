@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scratch tables that are recorded at present, see recording().
-_recorded: list[str] | None = None
+#: Paths that saved() has written, each with a weak reference to the file list in the JVM that plans read it by.
+_written: list[tuple[str, object]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,39 +50,39 @@ def saved(df: DataFrame) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage ends here, and any executor can reread it."""
     spark = df.sparkSession
     path = scratch_dir(spark) + "/t"
-    if _recorded is not None:
-        _recorded.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
+    _written.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(files)))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _place(spark, path)
+    files.delete(where, True)
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete what saved() wrote for the tables; nothing may read it any more."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where, files = _place(df.sparkSession, folder)
-            files.delete(where, True)
-
-
-@contextmanager
-def recording():
-    """The list of the paths that saved() writes within the block."""
-    global _recorded
-    outer, _recorded = _recorded, []
-    try:
-        yield _recorded
-    finally:
-        _recorded = outer
-
-
-def delete_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
-    """Delete the scratch tables of these paths that keep doesn't read; returns the others."""
-    read = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if paths else set()
-    stay = [p for p in paths if any(r.endswith(p.split("://")[-1]) for r in read)]
-    for path in set(paths) - set(stay):
-        where, files = _place(spark, path)
-        files.delete(where, True)
-    return stay
+            _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch tables that nothing can read any more: those whose file lists the JVM has collected.
+
+    Every plan that reads a table, of whatever DataFrame was derived from it, holds its file list, as does a job that runs.
+    So what a caller still holds stays, and no order of calls is assumed.
+    """
+    for _ in range(3):  # Python's proxies let go of their objects a little after they are collected themselves
+        gc.collect()
+        spark.range(1).collect()  # the session keeps the plan of its last query
+        spark.sparkContext._jvm.System.gc()
+    for path, files in list(_written):
+        if files.get() is None:
+            _delete(spark, path)
+            _written.remove((path, files))
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

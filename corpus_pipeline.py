@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, near duplicates, personal data, source mix and tokens, in this order.
 
-Each stage gets what the one before it kept and reads nothing of that stage's scratch tables, so they are deleted when it
-starts. All stages take null texts as empty, keep extra columns as they are and give no rows for an empty table.
+Each stage gets what the one before it kept. When it starts, scratch tables that no DataFrame reads any more are deleted, so
+those of a stage go once its result is written and dropped, and results that are still held stay whole. All stages take
+null texts as empty, keep extra columns as they are and give no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -12,20 +13,14 @@ from pyspark.sql import functions as F
 
 from xsecta.llm import bpe, common, jaccard, mixing, pii, quality
 
-#: Scratch tables of earlier stages.
-_left: list[str] = []
-
 
 def stage(function):
-    """A stage that deletes the scratch tables of earlier ones and notes its own."""
+    """A stage that sweeps before it starts."""
 
     @wraps(function)
     def run_stage(spark, docs, sf_dir):
-        _left[:] = common.delete_paths(spark, _left, docs)
-        with common.recording() as made:
-            out = function(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
+        common.sweep(spark)
+        return function(spark, docs, sf_dir)
 
     return run_stage
 
@@ -92,8 +87,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, function) in enumerate(STAGES):
-        before, docs = docs, common.saved(function(spark, docs, sf_dir))
-        if i:
-            common.forget(before)
+    for _, function in STAGES:
+        docs = common.saved(function(spark, docs, sf_dir))
+    common.sweep(spark)
     return docs

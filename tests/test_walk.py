@@ -85,6 +85,70 @@ def test_solver_holds_every_constraint():
     assert solve.mean_variance_status(mu, sigma, None, bound=0.01, long_only=True, rounds=200)[1] > walk.FAILED
 
 
+def problem(seed, n=14):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(n, n)) * 0.01
+    return rng.normal(size=n), a @ a.T + np.eye(n) * 1e-5, rng.uniform(0.5, 1.5, n)
+
+
+def test_axes_stand_for_the_matrix():
+    x = np.random.default_rng(4).normal(size=(9, 15)) / 100
+    v = np.random.default_rng(5).normal(size=15)
+    for model in ("sample", "ewma", "lw", "gp_kernel", "gp_kernel:matern52"):
+        s = solve.covariance_of(x, model)
+        d = s.dense()
+        assert len(s.g) <= 9 and np.linalg.eigvalsh(d).min() > 9e-7
+        assert np.allclose(d @ v, s.times(v)) and np.isclose(v @ d @ v, s.quad(v)) and np.allclose(np.linalg.solve(3 * d + 2 * np.eye(15), v), s.solve(3, 2, v))
+    w = solve.kernel_ages(9, "rbf", max(1.0, -1 / np.log(0.97)))
+    plain = (x * w[:, None]).T @ x
+    assert np.allclose(solve.covariance_of(x, "gp_kernel", 0.97).dense(), solve.eigen_floor(solve.eigen_floor(plain), 0.0, 1e-6))
+    with pytest.raises(ValueError):
+        solve.covariance_of(x, "none")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_both_solvers_find_the_same_worth(seed):
+    mu, sigma, beta = problem(seed)
+    options = {"bound": 0.3, "gross": 1.5, "budget": 0.01 if seed % 2 else None, "soft": [(r, 0.03) for r in solve.principal_rows(sigma, 2)] if seed > 1 else []}
+    worth = lambda w: mu @ w - 5 * w @ sigma @ w
+    a, off = solve.mean_variance_status(mu, sigma, beta, **options)
+    b = solve.interior_point(mu, sigma, beta, **options)
+    assert off < 1e-5 and abs(worth(a) - worth(b)) < 1e-3 and solve.violation(b, sigma, beta, **options) < 1e-9
+
+
+def test_the_second_solver_takes_over_and_tells_what_is_infeasible():
+    mu, sigma, beta = problem(9)
+    w, status, off, first = solve.cascade(mu, sigma, beta, bound=0.3, rounds=3)
+    assert status == "fallback" and first > solve.FAILED and off < 1e-9 and abs(w.sum()) < 1e-9
+    _, status, off, first = solve.cascade(mu, sigma, None, bound=0.01, long_only=True, rounds=200)
+    assert status == "failed" and off > walk.FAILED
+    narrow = solve.interior_point(mu, sigma, beta, bound=0.6, long_only=True, beta_limit=beta.min() + 0.2)
+    assert abs(narrow.sum() - 1) < 1e-9 and beta @ narrow <= beta.min() + 0.2 and narrow.min() >= 0
+    assert solve.interior_point(mu, sigma, beta, bound=0.6, long_only=True, beta_limit=beta.min() - 0.2) is None
+
+
+def test_cooldowns_by_windows_equal_the_fold_s(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(6)
+    pnl = [float(v) for v in rng.normal(-0.02, 0.06, 60)]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    got = walk.cooldowns(spark.createDataFrame(list(zip(days, pnl)), "period_end date, pnl double")).orderBy("period_end").collect()
+    want = [walk.is_cool(pnl[: i + 1]) for i in range(60)]
+    assert [r.cool for r in got] == want and any(want) and not all(want)
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_constraint_rows_by_group_equal_the_dense_ones(spark, unit):
+    labels = {"2020-01-31": ["a", "b", "a", None, "Other", "c"], "2020-02-29": ["a", "a", "b", "c", "d", "e"]}
+    names = spark.createDataFrame([(d, f"N{i}", s) for d, row in labels.items() for i, s in enumerate(row)], "date string, ticker string, sector string")
+    got = {}
+    for r in walk.sector_constraints(names, unit).collect():
+        got.setdefault((r.date, r.row), np.zeros(6))[int(r.ticker[1])] = r.coefficient
+    want = solve.sector_rows(["a", "b", "a", "Other", "Other", "c"], unit)
+    assert set(got) == {("2020-01-31", "a"), ("2020-01-31", "Other")} and np.allclose(sorted(map(tuple, got.values())), sorted(map(tuple, want)))
+
+
 def test_models_learn_a_line():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 3))

@@ -17,12 +17,16 @@ K, WIDTH = 16, 1.5
 STILL = 0.05
 #: First cells: at most PIVOTS pivots (a bounded sample), CELL rows of a cell, cells that a row joins, bits of a row's place.
 PIVOTS, CELL, HOMES, BITS = 4096, 256, 2, 30
-#: Beam of a search at first; it is doubled until less than this share of the answers changes.
-BEAM, SETTLED = 16, 0.005
+#: Beam of a search at first, in widths of the graph; it is doubled until less than this share of the answers changes.
+BEAM, SETTLED = 4, 0.005
 #: Nodes that a query opens in one step at most, so a step's rows grow with the queries and not with the beam.
-OPEN = 64
+OPEN = 256
 #: A beam is done when at most this share of its nodes is unopened.
 LEFT = 0.02
+#: Bytes of packed vectors and rows of opened nodes that are broadcast at most; beyond that they are joined by shuffles.
+HELD, OPENED = 64 << 20, 1_000_000
+#: Candidates of a query that are scored exactly, for each neighbour wanted.
+EXACT = 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -51,6 +55,11 @@ def width(n: int) -> int:
     return max(K, math.ceil(WIDTH * math.log2(max(n, 2))))
 
 
+def _held(nodes: DataFrame, n: int, dims: int) -> DataFrame:
+    """nodes with a broadcast hint if n packed vectors of dims numbers are small."""
+    return F.broadcast(nodes) if n * (2 * dims + 32) <= HELD else nodes
+
+
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best (node, other, sim, born) of each node, once each; the window's limit also works before the shuffle."""
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
@@ -83,8 +92,10 @@ def _local_joins(dims: int, k: int):
     return run
 
 
-def _join_groups(groups: DataFrame, dims: int, k: int, step: int) -> DataFrame:
-    grouped = groups.select("hub", "id", "packed", "least", "fresh").repartition("hub").sortWithinPartitions("hub", "id")
+def _join_groups(groups: DataFrame, dims: int, k: int, step: int, dealt: bool = False) -> DataFrame:
+    """Pairs of _local_joins(); dealt says that a hub's rows are in one partition already."""
+    grouped = groups.select("hub", "id", "packed", "least", "fresh")
+    grouped = (grouped if dealt else grouped.repartition("hub")).sortWithinPartitions("hub", "id")
     return grouped.mapInArrow(_local_joins(dims, k), "node long, other long, sim float").withColumn("born", F.lit(step))
 
 
@@ -100,6 +111,7 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
     """
     spark = nodes.sparkSession
     n = nodes.count()
+    near = n * (2 * dims + 32) <= HELD
     pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, HOMES * n // CELL))).collect()
     held = spark.sparkContext.broadcast(np.frombuffer(b"".join(p.packed for p in pivots), np.float16).reshape(-1, dims).astype(np.float32))
 
@@ -127,7 +139,7 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
     hub = F.xxhash64("cell", "part", F.pmod(F.xxhash64("id", "cell"), F.col("parts")))
     split = placed.join(parts, ["cell", "part"]).select(hub.alias("hub"), "id")
     none = F.lit(-1.5).cast("float")
-    graph = saved(_best(_join_groups(split.join(nodes, "id").withColumn("least", none).withColumn("fresh", F.lit(True)), dims, k, 0), k))
+    graph = saved(_best(_join_groups(split.join(_held(nodes, n, dims), "id").withColumn("least", none).withColumn("fresh", F.lit(True)), dims, k, 0), k))
     for step in itertools.count(1):
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(none).alias("least")).withColumnRenamed("node", "id")
         fresh = F.col("born") == step - 1
@@ -138,21 +150,26 @@ def build_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
         members = both.withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= 2 * k).groupBy("hub", "id").agg(F.max("fresh").alias("fresh"))
         members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("hub"))).filter("any").drop("any")
         known = nodes.join(worst, "id", "left").withColumn("least", F.coalesce("least", none))
-        found = _join_groups(members.join(known, "id"), dims, k, step)
+        # the windows have dealt the rows by hub, and a broadcast leaves them there
+        found = _join_groups(members.join(_held(known, n, dims), "id"), dims, k, step, dealt=near)
         before, graph = graph, saved(_best(graph.unionByName(found), k))
         forget(before)
         if graph.filter(F.col("born") == step).count() <= STILL * k * n:
             return graph.drop("born")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k: int, want: int, beam: int = BEAM) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k: int, want: int, beam: int | None = None) -> DataFrame:
     """(query, node, sim): the nodes that greedy search from each query's own node finds.
 
     All queries walk at once: each step opens the OPEN best unopened nodes among the beam best of every query, scores
     their neighbours and keeps twice the beam. When at most LEFT of the beams' nodes are unopened, the beam is
     doubled and the walk goes on, what is left being opened then, until doubling it changed less than SETTLED of the want
-    best of all queries: the beam grows with the table.
+    best of all queries: the beam grows with the table. It starts at BEAM times k, as a query starts in its own
+    neighbourhood. A step joins the links with the nodes that all queries open, and vectors with what is new; either is
+    broadcast while it is small, and both are shuffled beyond.
     """
+    n, asked = nodes.count(), queries.count()
+    beam = beam or BEAM * k
     links = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     order = Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other")
     links = saved(links.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * k).drop("r"))
@@ -168,23 +185,24 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, k:
     walk = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened"), F.lit(0).alias("born"))
     walk = saved(walk.withColumns({"r": F.lit(1), "turn": F.lit(1)}))
     targets = queries.select(F.col("id").alias("query"), F.col("packed").alias("target"))
-    began = 0
+    still = 0
     for step in itertools.count(1):
         now = ~F.col("opened") & (F.col("r") <= beam) & (F.col("turn") <= OPEN)
-        reached = walk.filter(now).select("query", "node").join(links, "node").select("query", F.col("other").alias("node"), F.lit(False).alias("known"))
+        opened = walk.filter(now).select("query", "node")
+        reached = (F.broadcast(opened) if asked * OPEN <= OPENED else opened).join(links, "node").select("query", F.col("other").alias("node"), F.lit(False).alias("known"))
         seen = reached.unionByName(walk.select("query", "node", F.lit(True).alias("known"))).groupBy("query", "node").agg(F.max("known").alias("known"))
-        scored = seen.filter(~F.col("known")).join(nodes.select(F.col("id").alias("node"), "packed"), "node").join(targets, "query").select("query", "node", "packed", "target").mapInArrow(similar, "query long, node long, sim float")
+        scored = seen.filter(~F.col("known")).join(_held(nodes.select(F.col("id").alias("node"), "packed"), n, dims), "node").join(_held(targets, asked, dims), "query").select("query", "node", "packed", "target").mapInArrow(similar, "query long, node long, sim float")
         merged = walk.withColumn("opened", F.col("opened") | now).drop("r", "turn").unionByName(scored.withColumns({"opened": F.lit(False), "born": F.lit(step)}))
         turn = F.sum(F.when(F.col("opened"), 0).otherwise(1)).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         before, walk = walk, saved(merged.withColumns({"r": F.row_number().over(best), "turn": turn}).filter(F.col("r") <= 2 * beam))
         forget(before)
         held, top = F.col("r") <= beam, F.col("r") <= want
         count = lambda c: F.count(F.when(c, 1))
-        unopened, size, changed, answers = walk.agg(count(held & ~F.col("opened")), count(held), count(top & (F.col("born") > began)), count(top)).first()
-        if unopened <= LEFT * size:
-            if changed <= SETTLED * answers:
-                return walk.select("query", "node", "sim")
-            began, beam = step, 2 * beam
+        unopened, size, changed, answers = walk.agg(count(held & ~F.col("opened")), count(held), count(top & (F.col("born") == step)), count(top)).first()
+        still = still + 1 if step > 1 and changed <= SETTLED * answers else 0
+        if still == 2 or not unopened:
+            return walk.filter(F.col("r") <= EXACT * want).select("query", "node", "sim")
+        beam *= 2
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -222,10 +240,11 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     wide = width(nodes.count())
     graph = build_graph(nodes, dims, wide)
     found = search(graph, nodes, saved(nodes.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi")), dims, wide, k + 1)
-    # whole classes by exact score: at least k + 1 of the best classes stand for k + 1 rows
+    # whole classes by exact score: the best k + 1 classes of a head, and those equal to the last, hold its k best rows
     a, b = exact.select(F.col("id").alias("query"), F.col("vec").alias("x")), exact.select(F.col("id").alias("node"), F.col("vec").alias("y"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, v: acc + v)
     scored = found.join(a, "query").join(b, "node").select("query", "node", (dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))).alias("score"))
+    scored = scored.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1).drop("r")
     rows_found = asked.join(scored, F.col("head") == F.col("query")).drop("head").join(members, F.col("node") == F.col("head"))
     rows_found = rows_found.filter(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

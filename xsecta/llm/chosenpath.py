@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, row_chunks, saved, small, text_batch, text_of, word_hashes
+from .common import forget, mix64, row_chunks, saved, small, text_batch, text_of, texts_of_pairs, word_hashes
 from .components import components
-from .jaccard import open_places
+from .jaccard import BITMAP, BITS, open_places
 
 #: Words of a shingle, and the least similarity of a link in per cent.
 WORDS, PERCENT = 2, 80
@@ -23,10 +23,10 @@ LIMIT, SHRINK = 32, 20
 SECOND = 1 / 4
 #: Share of the pairs at the least similarity that the forest may miss by its size.
 MISSED = 1e-5
-#: Differing tokens of a pair that is made: seven standard deviations above what the least similarity leaves.
-APART = 30
-#: Rounds of star pairs before all pairs of what is left, and members of a hub that meet one copy of its text.
-STARS, HUB = 2, 2_000
+#: Differing tokens of a pair that is made: five standard deviations above what the least similarity leaves.
+APART = 24
+#: Members of a hub that meet one copy of its text.
+HUB = 2_000
 #: Ids of pairs that are broadcast at most to pick texts by; above that the texts are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Levels that are branched without counting.
@@ -88,11 +88,20 @@ def _bits(flags: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=1).view(">i8").astype(np.int64).ravel()
 
 
-MARKED = "doc_id long, mark long, n long, one long, two long, k1 long, k2 long, sketch binary"
+def _parities(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A bit for each hashed place and row: whether an odd number of the row's shingles falls there."""
+    places, rows = 64 * BITMAP, len(at) - 1
+    place = (mix64(value ^ np.uint64(0xC3C3C3C3C3C3C3C3)) % np.uint64(places)).astype(np.int64)
+    odd = np.bincount(place + np.repeat(np.arange(rows), np.diff(at)) * places, minlength=rows * places) & 1
+    return np.packbits(odd.reshape(rows, places).astype(np.uint8), axis=1).view(np.int64)
+
+
+MARKED = ", ".join(["doc_id long, mark long, n long, one long, two long, k1 long, k2 long, sketch binary", *[f"{b} long" for b in BITS]])
 
 
 def _marked(batches):
-    """Size, 128-bit fingerprint, minwise tokens and their compared bits of each text's set; none for an empty set."""
+    """Size, 128-bit fingerprint, minwise tokens, their compared bits and parity bits of each text's set; no tokens of an
+    empty set."""
     import pyarrow as pa
 
     for batch in batches:
@@ -111,8 +120,8 @@ def _marked(batches):
             keys = [_bits((tokens >> np.uint64(b)) & np.uint64(1) == 1) for b in (40, 41)]
             raw = [r.tobytes() if n[i] else None for i, r in enumerate(tokens.astype("<u4"))]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).slice(done, rows) for c in ("doc_id", "mark")], pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(k) for k in keys], pa.array(raw, pa.binary())],
-                ["doc_id", "mark", "n", "one", "two", "k1", "k2", "sketch"],
+                [*[batch.column(c).slice(done, rows) for c in ("doc_id", "mark")], pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(k) for k in keys], pa.array(raw, pa.binary()), *[pa.array(b) for b in _parities(value, at).T.copy()]],
+                ["doc_id", "mark", "n", "one", "two", "k1", "k2", "sketch", *BITS],
             )
             done += rows
 
@@ -180,34 +189,38 @@ def _close(x: str, y: str):
     return size & (differ <= APART)
 
 
-def star_pairs(places: DataFrame, seed: int) -> DataFrame:
+def star_pairs(places: DataFrame) -> DataFrame:
     """One pair (a, b) of each member at most: with the hub that most of its nodes share and that is close enough.
 
-    In the first round a node's hub is its member with the largest nodes, which is likely what others are copies of;
-    later ones draw it by hash.
+    A node's hub is its member with the largest nodes, which is likely what others are copies of.
     """
-    if seed == 0:
-        size = places.groupBy("token").agg(F.count("*").alias("members"))
-        weight = places.join(size, "token").groupBy("e").agg(F.sum("members").alias("weight"))
-        hubs = places.join(weight, "e").groupBy("token").agg(F.max_by(F.struct("e", "n", "k1", "k2", "part"), F.struct("weight", "e")).alias("h"))
-    else:
-        hubs = places.groupBy("token").agg(F.min_by(F.struct("e", "n", "k1", "k2", "part"), F.struct(F.xxhash64("e", F.lit(seed)), "e")).alias("h"))
+    size = places.groupBy("token").agg(F.count("*").alias("members"))
+    weight = places.join(size, "token").groupBy("e").agg(F.sum("members").alias("weight"))
+    hubs = places.join(weight, "e").groupBy("token").agg(F.max_by(F.struct("e", "n", "k1", "k2", "part"), F.struct("weight", "e")).alias("h"))
     x, y = places.alias("x"), hubs.select("token", "h.*").alias("y")
     met = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.part") != F.col("y.part")) & _close("x", "y"))
     counted = met.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.count("*").alias("c"))
     return counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def crossing_pairs(places: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a node's members of different components that are close enough.
+def crossing_pairs(places: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a node's members of different components that are close enough, bitmaps(e, BITS) giving parities.
+
+    Each parity bit in which two sets differ takes an element that one of them lacks, so too many of them rule a link out:
+    pairs a little below the least similarity go before they are made, as far as sets aren't much larger than the bitmap.
 
     A node's largest component meets the others only, never itself, so a node costs no more than a few times its
-    crossing pairs.
+    crossing pairs. A pair is made at the first node that both share, not at each: members bring their open nodes along,
+    a few for each tree.
     """
+    own = places.groupBy("e").agg(F.collect_list("token").alias("tokens")).join(bitmaps, "e")
     largest = places.groupBy("token", "part").count().groupBy("token").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
-    marked = saved(places.join(largest, "token").withColumn("main", F.col("part") == F.col("top")).drop("top"))
+    marked = saved(places.join(largest, "token").withColumn("main", F.col("part") == F.col("top")).drop("top").join(own, "e"))
     x, y = marked.alias("x"), marked.filter("not main").alias("y")
-    crossing = (F.col("x.part") != F.col("y.part")) & (F.col("x.main") | (F.col("x.e") < F.col("y.e"))) & _close("x", "y")
+    lacking = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
+    alike = (100 + PERCENT) * lacking <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
+    crossing = (F.col("x.part") != F.col("y.part")) & (F.col("x.main") | (F.col("x.e") < F.col("y.e"))) & _close("x", "y") & alike
+    crossing = crossing & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & crossing)
     return met.select(F.greatest("x.e", "y.e").alias("a"), F.least("x.e", "y.e").alias("b")).distinct()
 
@@ -219,12 +232,13 @@ def _linked(batches):
     last, held = None, None
     for batch in batches:
         ok = np.zeros(batch.num_rows, bool)
-        hubs, texts = batch.column("b").to_pylist(), batch.column("text_b")
+        texts = batch.column("text_b")
         i = 0
         for value, at in _sets(batch.column("text_a")):
             for k in range(len(at) - 1):
-                if hubs[i] != last or held is None:
-                    last, held = hubs[i], next(_sets(texts.slice(i, 1)))[0]
+                text = texts[i].as_py()
+                if text != last:
+                    last, held = text, next(_sets(texts.slice(i, 1)))[0]
                 own = value[at[k] : at[k + 1]]
                 common = len(np.intersect1d(own, held, assume_unique=True))
                 ok[i] = 100 * common >= PERCENT * (len(own) + len(held) - common)
@@ -233,20 +247,8 @@ def _linked(batches):
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets, of texts(e, text), are similar enough.
-
-    A hub b with many members is dealt out: HUB members each meet a copy of its text, so no task gets all of them. Up to
-    BROADCAST pairs are sent to the texts, which are not shuffled to be picked.
-    """
-    fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).alias("salts"))
-    salted = pairs.join(fans, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
-    hubs = fans.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    if pairs.count() <= BROADCAST:
-        salted, hubs = F.broadcast(salted), F.broadcast(hubs)
-    left = texts.select(F.col("e").alias("a"), F.col("text").alias("text_a")).join(salted, "a")
-    right = texts.select(F.col("e").alias("b"), F.col("text").alias("text_b")).join(hubs, "b")
-    met = left.hint("merge").join(right.hint("merge"), ["b", "salt"])
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    """Those of pairs(a, b) whose whole sets, of texts(e, text), are similar enough."""
+    return texts_of_pairs(pairs, texts, HUB, BROADCAST).mapInArrow(_linked, "a long, b long")
 
 
 def link(docs: DataFrame, missed: float = MISSED) -> DataFrame:
@@ -256,9 +258,9 @@ def link(docs: DataFrame, missed: float = MISSED) -> DataFrame:
     2. trees(levels(n)) independent trees branch the members: a node selects one or two tokens, and members go to a child for
        each of their tokens there. Nodes of LIMIT members or fewer are leaves; so are larger ones at the last level, which
        hold mostly copies. Two sets of the least similarity share a leaf but for a chance of missed.
-    3. Members of a leaf are compared: in STARS rounds each with one hub only, so a group of near copies costs as many
-       pairs as members, then all that are still in different components. A pair needs similar sizes and few differing
-       token bits to be made (APART, a chance below 1e-6 for a link), and whole sets that are similar enough to be a link.
+    3. Members of a leaf are compared: first each with one hub only, so a group of near copies costs as many pairs as
+       members, then all that are still in different components. A pair needs similar sizes and few differing
+       token and parity bits to be made (APART, a chance of about 1e-6 for a link), and whole sets that are similar enough to be a link.
 
     A null text is empty: 0 shingles, linked with nothing, kept. A document of fewer words than a shingle is one shingle.
     Texts of any length are whole. Repeated rows are one member and stay in the result; of rows that share a doc_id each
@@ -270,7 +272,7 @@ def link(docs: DataFrame, missed: float = MISSED) -> DataFrame:
     marked = saved(texts.mapInArrow(_marked, MARKED))
     members = marked.select("doc_id", "n", "one", "two")
     full = marked.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    same = [F.first(c).alias(c) for c in ("k1", "k2", "sketch")]
+    same = [F.first(c).alias(c) for c in ("k1", "k2", "sketch", *BITS)]
     sets = full.groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "mark")).alias("pick"), *same)
     sets = saved(sets.withColumn("e", F.monotonically_increasing_id()))
     depth = levels(sets.count())
@@ -282,9 +284,8 @@ def link(docs: DataFrame, missed: float = MISSED) -> DataFrame:
         alike = alike.dropDuplicates(["e"])
     alike = saved(alike)
     links = parts = None
-    for step in range(STARS + 1):
-        left = open_places(places, parts)
-        pairs = saved(star_pairs(left, step) if step < STARS else crossing_pairs(left))
+    for made in (star_pairs, lambda left: crossing_pairs(left, sets.select("e", *BITS))):
+        pairs = saved(made(open_places(places, parts)))
         found = saved(verified(pairs, alike))
         links = found if links is None else links.unionByName(found)
         forget(pairs)

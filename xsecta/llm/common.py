@@ -90,6 +90,22 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def texts_of_pairs(pairs: DataFrame, texts: DataFrame, members: int = 2_000, most: int = 1_000_000) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs(a, b) from texts(e, text), one row a text; rows of one b follow each other.
+
+    A b with many partners is dealt out: so many of them each meet a copy of its text, and no task gets all. Up to most
+    pairs are sent to the texts, which aren't shuffled to be picked.
+    """
+    fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / members).alias("salts"))
+    salted = pairs.join(fans, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    hubs = fans.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    if pairs.count() <= most:
+        salted, hubs = F.broadcast(salted), F.broadcast(hubs)
+    left = texts.select(F.col("e").alias("a"), F.col("text").alias("text_a")).join(salted, "a")
+    right = texts.select(F.col("e").alias("b"), F.col("text").alias("text_b")).join(hubs, "b")
+    return left.hint("merge").join(right.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
+
+
 def in_sample(column, share: float):
     """Whether a row is in a sample of that share, by the 63-bit hash of column: a share of any size keeps its meaning."""
     return F.xxhash64(column).bitwiseAND(2**63 - 1) < F.lit(min(2**63 - 1, int(share * 2**63)))

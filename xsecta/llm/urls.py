@@ -20,6 +20,8 @@ ALIKE, SHAPES_APART, TIMES = 1.96, 0.2, 4.0
 SMOOTHING, REJECT = 4.0, 0.8
 #: Bytes of a level's decisions that are broadcast at most; above that, paths are salted so often for the join.
 BROADCAST, SALTS = 64 << 20, 32
+#: Pages of one path that are shuffled to it at most.
+HOT = 10_000
 #: Shapes of a branch's children: what the next segment is like.
 SHAPES = ("none", "empty", "number", "word", "file", "other")
 
@@ -148,6 +150,17 @@ def with_templates(paths: DataFrame) -> DataFrame:
         )
 
 
+def _with_paths(known: DataFrame, judged: DataFrame) -> DataFrame:
+    """known with its path's judgement. Paths of more than HOT pages, null urls among them, are few: their judgements are
+    sent to the pages, so no task gets all pages of one path; the others meet by a shuffle."""
+    keys = ["host", "path"]
+    hot = judged.join(known.groupBy(keys).count().filter(F.col("count") > HOT).select(*keys), keys, "left_semi")
+    if (hot.agg(F.sum(F.length("host") + 2 * F.length("path") + 100)).first()[0] or 0) > BROADCAST:
+        return known.join(judged, keys)
+    hot = F.broadcast(hot)
+    return known.join(hot, keys).unionByName(known.join(hot, keys, "left_anti").join(judged, keys))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for each row of pages(page_id, url).
 
@@ -167,7 +180,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     purity = (F.coalesce(F.sum("bad"), F.lit(0)) + SMOOTHING * F.max("up")) / (F.count("bad") + SMOOTHING)
     templates = shaped.groupBy("host", "template").agg(purity.alias("purity"))
     judged = shaped.select("host", "path", "template").join(_few(templates, F.length("host") + F.length("template") + 48), ["host", "template"])
-    out = known.join(judged, ["host", "path"])
+    out = _with_paths(known, judged)
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 

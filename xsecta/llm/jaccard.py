@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, ranges, row_chunks, saved, text_batch, text_of, word_hashes
+from .common import forget, mix64, ranges, row_chunks, saved, text_batch, text_of, texts_of_pairs, word_hashes
 from .components import components
 
 #: Words of a shingle. Two sets are linked if NUM * intersection >= DEN * (sum of sizes), which is a similarity of 0.8.
@@ -15,6 +15,8 @@ WORDS, NUM, DEN = 5, 9, 4
 FREQUENT = 1 << 17
 #: A batch reports the shingles that this many of its documents hold.
 REPORTED = 4
+#: Members of a hub that meet one copy of its text.
+HUB = 2_000
 #: Ids that are broadcast at most to pick texts by; above that the texts are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Rounds of star pairs before all pairs of what is left.
@@ -180,34 +182,25 @@ def _marked(shape):
 
 
 def _linked(batches):
+    """Those (a, b) whose sets are similar enough; rows of one b follow each other, so its set is made once."""
     import pyarrow as pa
 
+    last = held = None
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        held: dict[int, np.ndarray] = {}
-        ok = []
-        right = _sets_of(batch.column("text_b"))
-        lefts = batch.column("text_a")
-        for i, y in enumerate(right):
-            if a[i] not in held:
-                if len(held) > 256:
-                    held.clear()
-                held[a[i]] = next(_sets_of(lefts.slice(i, 1)))
-            x = held[a[i]]
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            ok.append(NUM * common >= DEN * (len(x) + len(y)))
-        ok = np.array(ok, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok])], ["a", "b"])
+        ok = np.zeros(batch.num_rows, bool)
+        texts = batch.column("text_b")
+        for i, x in enumerate(_sets_of(batch.column("text_a"))):
+            text = texts[i].as_py()
+            if text != last:
+                last, held = text, next(_sets_of(texts.slice(i, 1)))
+            common = len(np.intersect1d(x, held, assume_unique=True))
+            ok[i] = NUM * common >= DEN * (len(x) + len(held))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets are similar enough. Up to BROADCAST pairs are sent to the texts, not shuffled."""
-    left = texts.select(F.col("e").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("e").alias("b"), F.col("text").alias("text_b"))
-    if pairs.count() <= BROADCAST:
-        pairs = F.broadcast(pairs)
-        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-    return left.join(pairs, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
+    """Those of pairs(a, b) whose whole sets, of texts(e, text), are similar enough."""
+    return texts_of_pairs(pairs, texts, HUB, BROADCAST).mapInArrow(_linked, "a long, b long")
 
 
 def _prefix(n):

@@ -22,6 +22,11 @@ def clip(x: Column, k: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(-float(k)), F.least(F.lit(float(k)), x)))
 
 
+def by_confidence(mu: Column, spread: Column, floor: float = 0.25) -> Column:
+    """mu over its spread, which counts as floor at least."""
+    return mu / F.sqrt(F.pow(F.greatest(spread, F.lit(float(floor))), 2) + EPS)
+
+
 def rolling(x: Column, aggregate, rows: int, least: int) -> Column:
     """aggregate over the last rows rows of a ticker, null where fewer than least of them are known."""
     w = T().rowsBetween(-(rows - 1), 0)

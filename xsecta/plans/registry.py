@@ -522,3 +522,40 @@ add(
     "SELECT w.date, avg(CASE WHEN abs(weight) >= 0.1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS pos_bind_rate, CAST(sum(abs(weight)) >= 1.9 - 1e-6 AS DOUBLE) AS gross_bind, sum(weight * coalesce(beta, 0)) AS beta_exposure, CAST(abs(sum(weight * coalesce(beta, 0))) >= 0.02 - 1e-6 AS DOUBLE) AS beta_bind FROM weights w LEFT JOIN cb ON cb.period_end = w.date AND cb.ticker = w.ticker GROUP BY 1",
     BOOK + ", " + CAL, "pos_bind_rate gross_bind beta_exposure beta_bind",
 )
+
+
+add("k2_clip", lambda s, d: S.momentum_ratio(P.prices(s, d)).select("date", "ticker", K.clip(F.col("mom"), 0.1).alias("mom")), "SELECT date, ticker, CASE WHEN mom IS NOT NULL THEN greatest(-0.1, least(0.1, mom)) END AS mom FROM mom", rounds="mom")
+add(
+    "k15_labels", lambda s, d: P.prices(s, d).select("date", "ticker", F.date_format("date", "yyyy-MM").alias("month"), F.lower("ticker").alias("low"), F.upper("ticker").alias("up"), F.col("ticker").startswith("Brand#1").alias("first"), F.get(F.split("ticker", "#"), F.lit(1)).alias("number")),
+    "SELECT date, ticker, strftime(date, '%Y-%m') AS month, lower(ticker) AS low, upper(ticker) AS up, starts_with(ticker, 'Brand#1') AS \"first\", split_part(ticker, '#', 2) AS number FROM prices",
+)
+add(
+    "k17_confidence", lambda s, d: _rets(s, d).withColumn("sd", K.rolling(F.col("ret"), F.stddev_samp, 21, 21)).filter("sd is not null").select("date", "ticker", K.by_confidence(F.col("ret"), F.col("sd"), 0.01).alias("mu")),
+    "SELECT date, ticker, ret / sqrt(pow(greatest(sd, 0.01), 2) + 1e-12) AS mu FROM (SELECT date, ticker, ret, CASE WHEN count(ret) OVER w >= 21 THEN stddev_samp(ret) OVER w END AS sd FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) WHERE sd IS NOT NULL", rounds="mu",
+)
+add(
+    "j10_semi_anti", lambda s, d: (lambda p, k: p.join(k, "ticker", "left_semi").groupBy("ticker").agg(F.count("close").alias("n")).withColumn("held", F.lit(True)).unionByName(p.join(k, "ticker", "left_anti").groupBy("ticker").agg(F.count("close").alias("n")).withColumn("held", F.lit(False))))(P.prices(s, d), _betas(s, d).filter("beta > 0").select("ticker")),
+    "SELECT ticker, count(close) AS n, ticker IN (SELECT ticker FROM sb WHERE beta > 0) AS held FROM prices GROUP BY 1", BOOK,
+)
+
+
+def _mu(spark, d, **overrides):
+    return W.raw_alpha(*_inputs(spark, d), _grid(spark, d), config.variant(_CFG, overrides))
+
+
+add("sg10_momentum_mu", lambda s, d: _mu(s, d, overlay_mr=False), "SELECT date, ticker, mu FROM am", ALPHA, "mu")
+add("sg11_reversion_mu", lambda s, d: _mu(s, d, signal_type="mr_3"), "SELECT date, ticker, mr AS mu FROM am", ALPHA, "mu")
+COMBO = ALPHA + f""", cm AS (SELECT g.date, me.ticker, mom, score FROM grid g JOIN me ON me.date = g."asof" JOIN ar ON ar.date = me.date AND ar.ticker = me.ticker WHERE g.ord >= 274 AND mom IS NOT NULL),
+cz AS (SELECT date, ticker, {_zsamp("mom")} + 0.2 * {_zsamp("score")} AS mu FROM cm)"""
+add("sg12_combo_mu", lambda s, d: _mu(s, d, signal_type="combo_mom_mr"), "SELECT am.date, am.ticker, coalesce(cz.mu, 0) AS mu FROM am LEFT JOIN cz ON cz.date = am.date AND cz.ticker = am.ticker", COMBO, "mu")
+add("sg13_disagreement", lambda s, d: _mu(s, d), "SELECT date, ticker, mu FROM ap", ALPHA, "mu")
+FINAL = ALPHA + f""", fd AS (SELECT ap.date, ap.ticker, mu - avg(mu) OVER (PARTITION BY ap.date, sector) AS mu FROM ap JOIN sectors ON sectors.ticker = ap.ticker), fz AS (SELECT date, ticker, {_zsamp("mu")} AS mu FROM fd)"""
+WINSOR = "CASE WHEN coalesce(stddev_samp(mu) OVER w, 0) = 0 THEN coalesce(mu, 0) ELSE greatest(-3.0, least(3.0, (mu - avg(mu) OVER w) / nullif(stddev_samp(mu) OVER w, 0))) END AS mu"
+add("sg14_finalized", lambda s, d: W.finalized(_mu(s, d), P.sectors(s, d), config.variant(_CFG, {"sector_neutral_signal": True})), f"SELECT date, ticker, {WINSOR} FROM fz WINDOW w AS (PARTITION BY date)", FINAL, "mu")
+OFF = ALPHA + f""", us AS (SELECT last_day(date) AS date, arg_max(up, date) AS up FROM (SELECT date, avg(px) OVER (ORDER BY date ROWS 62 PRECEDING) > avg(px) OVER (ORDER BY date ROWS 251 PRECEDING) AS up FROM mpx) GROUP BY 1),
+uf AS (SELECT g.date, NOT coalesce(last_value(up IGNORE NULLS) OVER (ORDER BY g.date), false) AS off FROM grid g LEFT JOIN us ON us.date = g.date),
+um AS (SELECT ap.date, ticker, CASE WHEN off THEN 0 ELSE mu END AS mu FROM ap JOIN uf USING (date)), uz AS (SELECT date, ticker, {_zsamp("mu")} AS mu FROM um)"""
+add(
+    "sg15_risk_off", lambda s, d: W.alpha(*_inputs(s, d), P.market_prices(s, d), P.sectors(s, d), _grid(s, d), config.variant(_CFG, {"market_filter": True, "risk_off_shrink": 0.0, "crash_protect": False})),
+    f"SELECT date, ticker, {WINSOR} FROM uz WINDOW w AS (PARTITION BY date)", OFF, "mu",
+)

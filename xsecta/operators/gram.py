@@ -52,21 +52,28 @@ def _pair_sums(batches):
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def pair_sums(panel: DataFrame, value: str = "ret", weight: str | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+def sizes_of(panel: DataFrame) -> tuple[int, int]:
+    """Numbers of names and dates, about."""
+    found = panel.agg(F.approx_count_distinct("ticker").alias("p"), F.approx_count_distinct("date").alias("t")).first()
+    return found.p or 0, found.t or 0
+
+
+def pair_sums(panel: DataFrame, value: str = "ret", weight: str | None = None, by: list[str] = [], sizes: tuple[int, int] | None = None) -> DataFrame:  # noqa: B006
     """(by, ticker_i, ticker_j, n, sw, si, sj, sij) of panel(by, date, ticker, value[, weight]) for ticker_i <= ticker_j.
 
     n counts the dates on which both are known, sw sums their weights, and si, sj and sij weigh the one value, the other,
-    and their product there. The weight belongs to the date. Pairs without a common date have no row.
+    and their product there. The weight belongs to the date. Pairs without a common date have no row. sizes are the numbers of
+    names and dates, where they are known.
 
     Names and dates are dealt into blocks by hash. A block of names meets each other one at the same block of dates once, as
     two small matrices whose product holds all their pairs: what is shuffled is the panel times half the number of blocks of
     names, then one row a pair and block of dates, while a join of the panel with itself makes one a pair and date.
     """
     known = panel.filter(F.col(value).isNotNull())
-    sizes = known.agg(F.approx_count_distinct("ticker").alias("p"), F.approx_count_distinct("date").alias("t")).first()
-    part = lambda c, n, most: F.pmod(F.xxhash64(c), F.lit(max(1, math.ceil((n or 1) / most))))
+    p, t = sizes or sizes_of(known)
+    part = lambda c, n, most: F.pmod(F.xxhash64(c), F.lit(max(1, math.ceil(n / most))))
     row = F.struct(F.unix_date("date").alias("date") if dict(panel.dtypes)["date"] == "date" else F.col("date"), "ticker", F.col(value).cast("double").alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    packed = known.groupBy(*by, part("date", sizes.t, DATES).alias("days"), part("ticker", sizes.p, NAMES).alias("names")).agg(F.collect_list(row).alias("rows"))
+    packed = known.groupBy(*by, part("date", t, DATES).alias("days"), part("ticker", p, NAMES).alias("names")).agg(F.collect_list(row).alias("rows"))
     a = packed.select(*by, "days", F.col("names").alias("a"), F.col("rows").alias("rows_a"))
     b = packed.select(*by, "days", F.col("names").alias("b"), F.col("rows").alias("rows_b"))
     met = a.join(b, [*by, "days"]).filter(F.col("a") <= F.col("b"))
@@ -120,7 +127,7 @@ def ledoit_wolf(rets: DataFrame) -> DataFrame:
     0. The result has no eigenvalue below intensity * mean. One date gives 1e-8 times the identity.
     """
     x = centred(rets)
-    s = pair_sums(x, "x").select("ticker_i", "ticker_j", (F.col("sij") / F.col("n")).alias("c"))
+    s = pair_sums(x, "x", sizes=sizes_of(rets)).select("ticker_i", "ticker_j", (F.col("sij") / F.col("n")).alias("c"))
     by_date = x.groupBy("date").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
     quads = by_date.agg(F.sum(F.col("q") * F.col("q")).alias("quads"), F.count("*").alias("dates"))
     mean, p, n = F.col("trace") / F.col("names"), F.col("names"), F.col("dates")
@@ -164,9 +171,9 @@ def axes(panel: DataFrame, value: str = "x", count: int | None = None) -> DataFr
         raise ValueError(f"axes of {sizes.p} names over {sizes.t} dates: one side must be at most {SIDE}")
     shape = "k int, g double, name string, u double"
     if sizes.p <= sizes.t:
-        return pair_sums(panel, value).groupBy(F.lit(1).alias("one")).applyInPandas(_leading(count), shape).withColumnRenamed("name", "ticker").withColumnRenamed("u", "v")
+        return pair_sums(panel, value, sizes=(sizes.p, sizes.t)).groupBy(F.lit(1).alias("one")).applyInPandas(_leading(count), shape).withColumnRenamed("name", "ticker").withColumnRenamed("u", "v")
     turned = panel.select(F.col("ticker").alias("date"), F.col("date").cast("string").alias("ticker"), F.col(value).alias("x"))
-    dual = pair_sums(turned.withColumn("date", F.xxhash64("date")), "x").groupBy(F.lit(1).alias("one")).applyInPandas(_leading(count), shape)
+    dual = pair_sums(turned.withColumn("date", F.xxhash64("date")), "x", sizes=(sizes.t, sizes.p)).groupBy(F.lit(1).alias("one")).applyInPandas(_leading(count), shape)
     met = panel.withColumn("name", F.col("date").cast("string")).join(dual, "name")
     return met.groupBy("k", "g", "ticker").agg((F.sum(F.col(value) * F.col("u")) / F.sqrt("g")).alias("v"))
 
@@ -188,4 +195,5 @@ def repaired_covariance(rets: DataFrame, share: float = 1e-6, least: float = 1e-
     floor = per_axis.agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("trace")).crossJoin(names.agg(F.count("*").alias("p"))).select(F.greatest(share * F.col("trace") / F.col("p"), F.lit(least)).alias("floor"))
     scaled = found.crossJoin(F.broadcast(floor)).filter(F.col("g") > F.col("floor")).select(F.col("k").cast("long").alias("date"), "ticker", (F.col("v") * F.sqrt(F.col("g") - F.col("floor"))).alias("x"))
     own = names.select(F.col("ticker").alias("ticker_i"), F.col("ticker").alias("ticker_j")).crossJoin(F.broadcast(floor)).select("ticker_i", "ticker_j", F.col("floor").alias("c"))
-    return pair_sums(scaled, "x").select("ticker_i", "ticker_j", F.col("sij").alias("c")).unionByName(own).groupBy("ticker_i", "ticker_j").agg(F.sum("c").alias("c"))
+    p, t = sizes_of(rets)
+    return pair_sums(scaled, "x", sizes=(p, min(p, t))).select("ticker_i", "ticker_j", F.col("sij").alias("c")).unionByName(own).groupBy("ticker_i", "ticker_j").agg(F.sum("c").alias("c"))

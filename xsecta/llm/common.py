@@ -69,6 +69,12 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete the scratch tables that nothing can read any more: those whose file lists the JVM has collected.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, ranges, row_chunks, saved, text_batch, text_of, texts_of_pairs, word_hashes
+from .common import forget, mix64, ranges, release, row_chunks, saved, text_batch, text_of, texts_of_pairs, word_hashes
 from .components import components
 
 #: Words of a shingle. Two sets are linked if NUM * intersection >= DEN * (sum of sizes), which is a similarity of 0.8.
@@ -302,11 +302,13 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     expanded = shared.select("token", "grp", "place").join(sets.select("grp", "e", "n"), "grp").select("token", "e", "n", "place", F.lit(False).alias("whole"))
     places = saved(expanded.unionByName(within))
     forget(first)
+    release(spark)
     wanted = places.select("e").distinct().join(sets.select("e", "one", "two"), "e")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     picked = texts.join(near.select(F.col("e").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_marked(["e", "text", "one", "two", *BITS]), ", ".join(["e long, text string, one long, two long", *[f"{b} long" for b in BITS]]))
     held = saved(picked.join(near, ["e", "one", "two"], "left_semi").dropDuplicates(["e", "one", "two"]).select("e", "text", *BITS))
 
+    release(spark)
     links = parts = None
     for step in range(STARS + 1):
         left = open_places(places, parts)
@@ -314,6 +316,7 @@ def link(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         found = saved(verified(pairs, held))
         links = found if links is None else links.unionByName(found)
         forget(pairs)
+        release(spark)
         if parts is None or not found.isEmpty():
             parts = saved(components(links))
     forget(places, held)

@@ -120,12 +120,22 @@ def _sparse(batches):
         )
 
 
+def _views(got) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The order of the rows, and (slots, shares) of each in it: views of the table's buffers, as copies would be several times its size."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum([0, *(len(c) for c in got.column("slots").chunks)])
+    rows = pc.sort_indices(got, sort_keys=[("order", "ascending")]).to_numpy().astype(np.int64)
+    chunks = np.searchsorted(ends, rows, side="right") - 1
+    view = lambda name, kind, c, i: np.frombuffer(got.column(name).chunk(c)[i].as_buffer(), kind)
+    return rows, [(view("slots", "<i4", c, i), view("shares", "<f4", c, i)) for c, i in zip(chunks.tolist(), (rows - ends[chunks]).tolist())]
+
+
 def _fit(got):
     import pyarrow as pa
 
-    got = got.sort_by("order")
-    rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got.column("slots").to_pylist(), got.column("shares").to_pylist())]
-    model = ftrl(rows, got.column("y").to_pylist())
+    order, rows = _views(got)
+    model = ftrl(rows, got.column("y").to_numpy()[order].tolist())
     return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_chunks, saved, text_batch, text_of
+from .common import lower_ascii, row_chunks, saved, shuffled, text_batch, text_of
 
 #: Words of the longest feature, buckets of the hash, seed of the draw, least words of a drawn document, documents drawn in per cent.
 GRAMS, BUCKETS, SEED, LEAST, PERCENT = 1, 10_000, 2024, 20, 10
@@ -173,23 +173,23 @@ def weights(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int
     blocks = saved(cut(docs, False, F.col("doc_id")).unionByName(cut(target, True, F.lit(0))))
     listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
     dictionary = saved(listed.select("word").distinct().withColumn("id", F.monotonically_increasing_id()))
-    ids = _listed(listed.join(dictionary, "word").select("block", "place", "id"), "id", "ids")
-    known = blocks.drop("words").join(ids, "block", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    ids = _listed(listed.join(shuffled(dictionary), "word").select("block", "place", "id"), "id", "ids")
+    known = blocks.drop("words").join(shuffled(ids), "block", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
     counted = saved(known.mapInArrow(_grams(grams), GRAMMED))
     side = lambda flag: F.sum(F.when(F.col("target") == flag, F.col("v.counts")).otherwise(0))
     tuples = counted.select("target", F.explode(F.arrays_zip("grams", "counts")).alias("v")).groupBy(F.col("v.grams").alias("gram")).agg(side(False).alias("s"), side(True).alias("t"))
     if grams == 1:
-        spelled = tuples.withColumn("id", F.col("gram")[0]).join(dictionary, "id").withColumnRenamed("word", "bytes")
+        spelled = tuples.withColumn("id", F.col("gram")[0]).join(shuffled(dictionary), "id").withColumnRenamed("word", "bytes")
     else:
-        places = tuples.select("gram", "s", "t", F.posexplode("gram").alias("place", "id")).join(dictionary, "id")
+        places = tuples.select("gram", "s", "t", F.posexplode("gram").alias("place", "id")).join(shuffled(dictionary), "id")
         spelled = places.groupBy("gram").agg(F.first("s").alias("s"), F.first("t").alias("t"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w")).withColumn("bytes", F.array_join(F.col("w.word"), " "))
     hashed = saved(spelled.select("gram", "s", "t", (F.crc32(F.encode("bytes", "UTF-8")) % buckets).alias("bucket")))
     sums = hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     totals = sums.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     gains = sums.crossJoin(F.broadcast(totals)).select("bucket", bucket_gain(F.col("s"), F.col("t"), F.col("all_s"), F.col("all_t"), buckets).alias("gain"))
     own = hashed.join(F.broadcast(gains), "bucket").select("gram", "gain")
-    back = counted.filter("not target").select("block", F.posexplode("grams").alias("place", "gram")).join(own, "gram").select("block", "place", "gain")
-    met = counted.filter("not target").drop("grams", "counts", "target").join(_listed(back, "gain", "gains"), "block", "left")
+    back = counted.filter("not target").select("block", F.posexplode("grams").alias("place", "gram")).join(shuffled(own), "gram").select("block", "place", "gain")
+    met = counted.filter("not target").drop("grams", "counts", "target").join(shuffled(_listed(back, "gain", "gains")), "block", "left")
     met = met.withColumn("gains", F.coalesce("gains", F.array().cast("array<long>")))
     return met.mapInArrow(_weights, "doc_id long, n_features long, weight long")
 
@@ -222,7 +222,7 @@ def importance(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets:
     order = Window.partitionBy("score").orderBy("doc_id", "n_features").rowsBetween(Window.unboundedPreceding, 0)
     ranked = fit.join(F.broadcast(offsets), "score").withColumn("last", F.col("above") + F.sum("copies").over(order))
     ranks = ranked.select("doc_id", "n_features", "weight", "score", F.col("last") - F.col("copies") + 1, F.least("last", "drawn")).toDF("d", "n", "w", "sc", "first", "upto")
-    met = same.join(ranks.filter("first <= upto"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_features") == F.col("n")) & (F.col("weight") == F.col("w")) & (F.col("score") == F.col("sc")), "left")
+    met = same.join(shuffled(ranks.filter("first <= upto")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_features") == F.col("n")) & (F.col("weight") == F.col("w")) & (F.col("score") == F.col("sc")), "left")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     rank = F.col("first") + F.col("copy")
     return met.withColumn("copy", each).select("doc_id", "n_features", "weight", "score", F.when(rank <= F.col("upto"), rank).alias("rank"))

@@ -10,6 +10,8 @@ from xsecta.operators import signals as S
 from xsecta.operators import solve
 from xsecta.sources import panel as P
 
+SF = "/root/testdata/sf0.001"
+
 
 def panel(spark, columns, start=dt.date(2020, 1, 1)):
     rows = [(start + dt.timedelta(days=i), t, v) for t, values in columns.items() for i, v in enumerate(values)]
@@ -67,3 +69,27 @@ def test_solver_is_feasible():
 def test_eigen_floor():
     s = solve.eigen_floor(np.array([[1.0, 2.0], [2.0, 1.0]]))
     assert np.linalg.eigvalsh(s).min() > 0 and np.allclose(s, s.T)
+
+
+def rows_read(spark, name):
+    """Rows that all stages read from files while the query is made and run."""
+    from xsecta.plans import registry
+
+    sc = spark.sparkContext._jsc.sc()
+    store, none = sc.statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return [found.apply(i) for i in range(found.size())]
+
+    sc.listenerBus().waitUntilEmpty(30_000)
+    last = max([-1, *(s.stageId() for s in stages())])
+    registry.QUERIES[name](spark, SF).collect()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(s.inputRecords() for s in stages() if s.stageId() > last)
+
+
+@pytest.mark.parametrize("name", ["op3_sector_rows"])
+def test_lines_are_read_once(spark, name):
+    lines = P.read(spark, SF, "lineitem").count()
+    assert lines <= rows_read(spark, name) < 2 * lines

@@ -89,7 +89,7 @@ def rows_read(spark, name):
     return sum(s.inputRecords() for s in stages() if s.stageId() > last)
 
 
-@pytest.mark.parametrize("name", ["op3_sector_rows", "op5_principal_axes"])
+@pytest.mark.parametrize("name", ["op3_sector_rows", "op4_unit_rows", "op5_principal_axes"])
 def test_lines_are_read_once(spark, name):
     lines = P.read(spark, SF, "lineitem").count()
     assert lines <= rows_read(spark, name) < 2 * lines
